@@ -32,7 +32,7 @@ BLOCK = 32
 SHARD = 4096
 SEED = "mix-1"
 #: Id range whose documents are laid out together.
-RANGE = 4096
+RANGE = 1024
 #: Pieces of the line of slots by which draws find their source without comparing all sources.
 CELLS = 4096
 

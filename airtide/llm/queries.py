@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, secrets
+from . import fingerprints, langid, mixing, packing, quality, secrets, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -26,14 +30,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_table(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_mixing, op5_secrets, op7_quality, op10_langid)}
+    return {f.__name__: f for f in (op1_warc, op3_packing, op4_mixing, op5_secrets, op7_quality, op9_fingerprints, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express whole."""
-    return {"op4_mixing": mixing.mixture_sql(), "op7_quality": quality.quality_sql()}
+    return {"op1_warc": warc.archive_sql(), "op4_mixing": mixing.mixture_sql(), "op7_quality": quality.quality_sql()}
