@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, packing, quality, secrets, warc
+from . import fingerprints, langid, mixing, neardup, packing, quality, secrets, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(table(spark, sf_dir, "pages"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_dup_table(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,9 +43,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_packing, op4_mixing, op5_secrets, op7_quality, op9_fingerprints, op10_langid)}
+    return {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_packing, op4_mixing, op5_secrets, op7_quality, op9_fingerprints, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express whole."""
-    return {"op1_warc": warc.archive_sql(), "op4_mixing": mixing.mixture_sql(), "op7_quality": quality.quality_sql()}
+    return {"op1_warc": warc.archive_sql(), "op2_near_dedup": neardup.near_dup_sql(), "op4_mixing": mixing.mixture_sql(), "op7_quality": quality.quality_sql()}
