@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, neardup, packing, quality, secrets, warc
+from . import fingerprints, langid, mixing, neardup, packing, quality, secrets, toxicity, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_packing, op4_mixing, op5_secrets, op7_quality, op9_fingerprints, op10_langid)}
+    return {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_packing, op4_mixing, op5_secrets, op6_toxicity, op7_quality, op9_fingerprints, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
