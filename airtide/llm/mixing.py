@@ -171,26 +171,27 @@ def mixture(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source:
     return every.join(_small(targets, sources), "skey").select(F.col("doc_id").alias(key), "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", length: str = "n_chars") -> DataFrame:
+def mixed(docs: DataFrame, *, text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
     """The mix as documents with the same columns: one row for each of a document's showings (at most ``MAX_EPOCHS``).
 
     A showing holds the words of the document's blocks that the mix takes at least so often, joined by spaces; where it
-    takes all, the text stays as it is. Showings without words are left out. Ids should be unique: rows that share an
-    id also share their blocks.
+    takes all, the text stays as it is. Showings without words are left out. Rows are told apart by their place in the
+    scan, so ids may be null or repeated; ``docs`` should be read from files.
     """
-    sizes, targets, _ = prepared(docs, text=text, key=key, source=source)
+    rows = docs.withColumn("mix id", F.monotonically_increasing_id())
+    sizes, targets, _ = prepared(rows, text=text, key="mix id", source=source)
     laid = layout(sizes)
     shown = document_blocks(laid).join(block_uses(targets), ["skey", "block"])
     shown = shown.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
     spans = F.sort_array(F.collect_list(F.struct((F.col("first") + 1).cast("int").alias("a"), F.col("words").cast("int").alias("n"))))  # a document's own blocks
-    plan = shown.groupBy("doc_id", "size", "turn").agg(spans.alias("spans"), F.sum("words").alias("got"))
-    words = F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
-    joined = docs.join(plan.withColumnRenamed("doc_id", "mix id").withColumnRenamed("size", "mix size"), F.col(key) == F.col("mix id"))
-    some = joined.withColumn("mix words", F.when(F.col("got") < F.col("mix size"), words))
-    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("mix words"), s["a"], s["n"]))), " ")
-    out = some.withColumn(text, F.when(F.col("got") < F.col("mix size"), cut).otherwise(F.col(text)))
+    plan = shown.groupBy("doc_id", "size", "turn").agg(spans.alias("mix spans"), F.sum("words").alias("mix got"))
+    plan = plan.select(F.col("doc_id").alias("mix id"), F.col("size").alias("mix size"), "mix spans", "mix got")
+    partly = F.col("mix got") < F.col("mix size")
+    some = rows.join(plan, "mix id").withColumn("mix words", F.when(partly, F.filter(F.split(text, SPACE_RUN), lambda w: w != "")))
+    cut = F.array_join(F.flatten(F.transform("mix spans", lambda s: F.slice(F.col("mix words"), s["a"], s["n"]))), " ")
+    out = some.withColumn(text, F.when(partly, cut).otherwise(F.col(text)))
     if length in docs.columns:
-        out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
+        out = out.withColumn(length, F.when(partly, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
     return out.select(*docs.columns)
 
 
@@ -200,7 +201,8 @@ def mixture_sql() -> str:
     a, b, c = STEPS
     return rf"""
 WITH sizes AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
-        CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size FROM documents),
+        CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size FROM documents),
 src AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY skey),
 weighed AS (SELECT *, ([{values}])[(row_number() OVER (ORDER BY skey) - 1) % {len(WEIGHTS)} + 1] AS weight, source_size * {float(MAX_EPOCHS)} AS cap FROM src),
 shared AS (SELECT *, (sum(source_size) OVER () * {MIX_PERCENT / 100.0} - coalesce(sum(cap) OVER (ORDER BY cap / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

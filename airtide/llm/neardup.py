@@ -3,10 +3,11 @@
 1. One pass over the texts makes, for every document, the size of its shingle set, a key of that set and a MinHash
    signature. Documents with equal sets form a class, whose smallest id stands for it; copies go no further.
 2. Signatures are cut into bands. In each bucket of equal bands every member is first compared with the bucket's
-   smallest id only, so a bucket of n members makes n - 1 pairs. Confirmed pairs are merged into components.
-3. Buckets that still hold several components are compared across components, in blocks of signatures within tasks, of
-   which only pairs that survive the Bayesian test leave. The best few partners in each other component are confirmed
-   first; what these leave apart is confirmed in full. So no link between two components goes untested.
+   smallest id only, so a bucket of n members makes n - 1 pairs. Confirmed pairs are merged into components. Buckets that
+   hold several components try other leaders while that merges much.
+3. In the buckets that still hold several components, all members outside the largest are compared with all of other
+   components, in blocks within tasks, and confirmed there, so no link between two components goes untested and only
+   links leave a task.
 4. The Bayesian test compares signatures in batches. After m of n hashes agree, the likeness has the posterior
    Beta(m + 1, n - m + 1); a pair is dropped once P(likeness >= threshold) is below ``MISS``.
 5. Survivors are confirmed exactly, on the shingle sets of both whole texts (64-bit shingle hashes).
@@ -39,8 +40,9 @@ BATCH = 16
 MISS = 1e-6
 #: Members of a bucket that are compared as a block.
 BLOCK = 256
-#: Partners of a document in another component that are confirmed before the rest.
-FIRST = 8
+#: Further leaders that a bucket may try, and leaders of a document that are confirmed in a turn. All that is still apart is compared after.
+TURNS = 8
+NEAREST = 2
 #: Words whose hashes a worker remembers.
 VOCABULARY = 1 << 20
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle; it is broadcast as 2**22 / 64 rows at most.
@@ -187,44 +189,85 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _tested(pairs: DataFrame, sigs: DataFrame, least: list[tuple[int, int]]) -> DataFrame:
-    """The pairs (a, b) that pass the Bayesian test."""
+    """(a, b, matches) of the pairs that pass the Bayesian test."""
     joined = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                alive, _ = survivors(_matrix(batch.column(2)), _matrix(batch.column(3)), least)
-                yield batch.select([0, 1]).take(pa.array(alive))
+                alive, matches = survivors(_matrix(batch.column(2)), _matrix(batch.column(3)), least)
+                ids = batch.select([0, 1]).take(pa.array(alive))
+                yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(matches.astype(np.int64))], names=["a", "b", "matches"])
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches long")
 
 
-def _across(members: DataFrame, least: list[tuple[int, int]]) -> DataFrame:
-    """(a, b, ca, cb, matches) of the pairs of different components in a bucket that pass the test; ``members`` has (band, rep, component, sig)."""
-    number = F.row_number().over(W.partitionBy("band").orderBy("rep"))
-    blocks = (
-        members.withColumn("block", F.floor((number - 1) / BLOCK))
-        .groupBy("band", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("rep", "component", "sig"))).alias("m"))  # BLOCK members at most
-    )
-    blocks = stored(blocks, "near-blocks")
-    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.band = y.band and x.block <= y.block")).select(F.col("x.m").alias("x"), F.col("y.m").alias("y"))
-    small_batches(members.sparkSession, 16)
+def _across(members: DataFrame, sigs: DataFrame, docs: DataFrame, least: list[tuple[int, int]], *, words: int, percent: int) -> DataFrame:
+    """(a, b) links between components that share a bucket, enough of them to join all that are linked; ``members`` has (band, rep, component).
+
+    A bucket's largest component needs no comparison within; its other members, the strays, are compared with all.
+    Both are dealt into blocks of about ``BLOCK`` by a hash, with their shingle sets. A pair is compared in the lowest
+    band that it shares. Pairs that survive the Bayesian test are confirmed on their sets at once, unless links found in
+    the same task already join their components; so a task returns fewer links than it has members.
+    """
+    counts = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"))
+    known = members.join(mains, "band").withColumn("stray", F.col("component") != F.col("main.component"))
+    deal = lambda of: F.pmod(F.xxhash64("rep"), F.ceil(of / BLOCK))
+    small_batches(docs.sparkSession, 64)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "set"])
+
+    sets = _asked(docs, members.select(F.col("rep").alias("id")).distinct()).mapInArrow(sets_of, "rep long, set binary")
+    known = known.select("band", "rep", "component", "stray", deal(F.col("size")).alias("block"), deal(F.col("size") - F.col("main.n")).alias("own"))
+    known = known.join(stored(sigs.join(sets, "rep"), "near-sets"), "rep")
+    held = F.collect_list(F.struct("rep", "component", "stray", "sig", "set"))  # about BLOCK members
+    x = known.where("stray").groupBy("band", "own").agg(held.alias("x"))
+    y = known.groupBy("band", "block").agg(held.alias("y"))
+    pairs = x.join(y, "band").select("x", "y", F.col("band.k").alias("k"))
+    small_batches(members.sparkSession, 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
+            for x, y, band in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
                 x, y = x.values, y.values
                 ra, ca, sa = x.field("rep").to_numpy(), x.field("component").to_numpy(), _matrix(x.field("sig"))
                 rb, cb, sb = y.field("rep").to_numpy(), y.field("component").to_numpy(), _matrix(y.field("sig"))
-                i, j = np.nonzero((ca[:, None] != cb[None, :]) & (ra[:, None] < rb[None, :]))
+                both = y.field("stray").to_numpy(zero_copy_only=False)
+                i, j = np.nonzero((ca[:, None] != cb[None, :]) & (~both[None, :] | (ra[:, None] < rb[None, :])))
+                first = np.full(len(i), BANDS)
+                for k in range(BANDS - 1, -1, -1):
+                    cut = slice(k * ROWS, (k + 1) * ROWS)
+                    code = lambda s: s[:, cut].copy().view("V16").ravel()  # noqa: B023, E731
+                    first[(code(sa)[i] == code(sb)[j])] = k
+                i, j = i[first == band], j[first == band]
+                root: dict[int, int] = {}
+
+                def top(c: int) -> int:
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                left, right = ([np.frombuffer(v.as_py(), dtype=np.uint64) for v in side.field("set")] for side in (x, y))
+                links = []
                 for at in range(0, len(i), 1 << 14):
                     p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
                     alive, matches = survivors(sa[p], sb[q], least)
-                    p, q = p[alive], q[alive]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ra[p], rb[q], ca[p], cb[q], matches.astype(np.int64))], names=["a", "b", "ca", "cb", "matches"])
+                    for k in np.argsort(-matches, kind="stable"):
+                        u, v = p[alive[k]], q[alive[k]]
+                        cu, cv = top(int(ca[u])), top(int(cb[v]))
+                        m, n = len(left[u]), len(right[v])
+                        if cu == cv or 100 * min(m, n) < percent * max(m, n):
+                            continue
+                        common = len(np.intersect1d(left[u], right[v], assume_unique=True))
+                        if 100 * common >= percent * (m + n - common):
+                            root[cu] = cv
+                            links.append((min(ra[u], rb[v]), max(ra[u], rb[v])))
+                yield pa.RecordBatch.from_arrays([pa.array([int(z[k]) for z in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long, ca long, cb long, matches long").distinct()
+    return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -235,39 +278,61 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text:
     classes = every.where("set_key is not null").groupBy("set_key", "sig").agg(F.min("doc_id").alias("rep"))
     reps = stored(classes, "near-classes")
     sigs = reps.where("rep is not null").select("rep", "sig")
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)).alias("h")) for k in range(BANDS)])
     bands = sigs.select("rep", F.explode(keys).alias("band"))
     shared = bands.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").select("band", "lead")
     members = stored(bands.join(shared, "band"), "near-buckets")
-    stars = members.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = stored(_tested(stars, sigs, least), "near-likely")
-    links = stored(confirmed(likely, source, words=words, percent=percent), "near-links")
-    found = stored(components(links), "near-components")
-
-    def labelled(found: DataFrame) -> DataFrame:
-        return members.select("band", "rep").join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-
-    split = labelled(found)
-    open_ = split.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    rest = stored(_across(split.join(open_, "band").join(sigs, "rep"), least).join(stars, ["a", "b"], "left_anti"), "near-rest")
-    best = F.greatest(
-        F.row_number().over(W.partitionBy("a", "cb").orderBy(F.desc("matches"), "b")), F.row_number().over(W.partitionBy("b", "ca").orderBy(F.desc("matches"), "a"))
-    )
-    ranked = stored(rest.withColumn("rank", best), "near-ranked")
-    for part in (F.col("rank") <= FIRST, F.col("rank") > FIRST):
-        now = ranked.where(part).select("a", "b")
-        for side in ("a", "b"):
-            now = now.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-        now = stored(now.where("ca <> cb").select("a", "b"), "near-open")
-        if not now.isEmpty():
-            links = stored(links.unionByName(confirmed(now, source, words=words, percent=percent)), "near-links")
+    links = found = None
+
+    def merged(pairs: DataFrame) -> int:
+        """Confirm pairs and merge what they link; how many links were new."""
+        nonlocal links, found
+        new = stored(confirmed(pairs, source, words=words, percent=percent), "near-links")
+        count = new.count()
+        if links is None or count:
+            links = new if links is None else links.unionByName(new)
             found = stored(components(links), "near-components")
+        return count
+
+    def open_members() -> DataFrame:
+        """(band, rep, component) of the buckets that hold several components."""
+        split = members.select("band", "rep").join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+        apart = split.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+        return stored(split.join(apart, "band"), "near-split")
+
+    stars = members.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    merged(stored(_tested(stars, sigs, least).select("a", "b"), "near-likely"))
+    rest = open_members()
+    for turn in range(1, TURNS + 1):
+        # Another leader for each bucket; what it is compared with goes down as components grow together.
+        lead = rest.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep"), F.col("rep").alias("a"), F.col("component").alias("c"))).alias("l"))
+        pairs = rest.join(lead, "band").where("component <> l.c").select(F.col("l.a").alias("a"), F.col("rep").alias("b")).distinct()
+        nearest = F.row_number().over(W.partitionBy("b").orderBy(F.desc("matches"), "a"))
+        likely = stored(_tested(pairs, sigs, least).withColumn("rank", nearest).where(F.col("rank") <= NEAREST).select("a", "b"), "near-likely")
+        asked = likely.count()
+        if not asked or merged(likely) * 10 < asked:
+            break
+        rest = open_members()
+    rest = open_members()
+    if not rest.isEmpty():
+        links = links.unionByName(stored(_across(rest, sigs, source, least, words=words, percent=percent), "near-links"))
+        found = stored(components(links), "near-components")
     ids = reps.join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("c"))
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("c"))
     out = every.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left").select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
+def without_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one of each group of near-duplicates.
+
+    Rows are told apart by their place in the scan, so ids may be null or repeated; ``docs`` should be read from files.
+    """
+    rows = docs.withColumn("near id", F.monotonically_increasing_id())
+    groups = near_duplicates(rows, words=words, percent=percent, text=text, key="near id")
+    return rows.join(groups.where("kept").select("near id"), "near id", "left_semi").select(*docs.columns)
+
+
 def near_dup_table(docs: DataFrame) -> DataFrame:
     """The contract's digest: sets of three-word shingles, 85 percent."""
     return near_duplicates(docs, words=3, percent=85)

@@ -256,6 +256,20 @@ def score(docs: DataFrame, model: Field, *, text: str = "text", key: str = "doc_
     return map_texts(docs, run, "score double, predicted int, spans string", key=key, text=text)
 
 
+def without_toxic(docs: DataFrame, model: Field, *, text: str = "text") -> DataFrame:
+    """The rows whose score is below one half, with all their columns."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS weights at most
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(own.judge(t)[0]) < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's digest: learn from ids with crc32 mod 5 other than 0, score all."""
     model = fit(docs, labels.where(fold_of(F.col("doc_id"), 5) != 0))
