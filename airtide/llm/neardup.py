@@ -213,7 +213,6 @@ def _across(members: DataFrame, sigs: DataFrame, docs: DataFrame, least: list[tu
     counts = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     mains = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"))
     known = members.join(mains, "band").withColumn("stray", F.col("component") != F.col("main.component"))
-    deal = lambda of: F.pmod(F.xxhash64("rep"), F.ceil(of / BLOCK))
     small_batches(docs.sparkSession, 64)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,27 +220,32 @@ def _across(members: DataFrame, sigs: DataFrame, docs: DataFrame, least: list[tu
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "set"])
 
     sets = _asked(docs, members.select(F.col("rep").alias("id")).distinct()).mapInArrow(sets_of, "rep long, set binary")
-    known = known.select("band", "rep", "component", "stray", deal(F.col("size")).alias("block"), deal(F.col("size") - F.col("main.n")).alias("own"))
-    known = known.join(stored(sigs.join(sets, "rep"), "near-sets"), "rep")
-    held = F.collect_list(F.struct("rep", "component", "stray", "sig", "set"))  # about BLOCK members
-    x = known.where("stray").groupBy("band", "own").agg(held.alias("x"))
-    y = known.groupBy("band", "block").agg(held.alias("y"))
-    pairs = x.join(y, "band").select("x", "y", F.col("band.k").alias("k"))
+    known = known.select("band", "rep", "component", "stray", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int").alias("owns"))
+    # A task gets the strays x of one deal and the members y of another; who is both, as in all small buckets, goes there once.
+    slot = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+    known = known.select("*", slot("blocks").alias("block"), slot("owns").alias("own"))
+    task = lambda o, b, x, y: F.struct(o.alias("o"), b.alias("b"), x.alias("x"), y.alias("y"))
+    as_y = F.transform(F.sequence(F.lit(0), F.col("owns") - 1), lambda o: task(o, F.col("block"), F.col("stray") & (o == F.col("own")), F.lit(True)))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.col("stray") & (b != F.col("block")))
+    as_x = F.transform(others, lambda b: task(F.col("own"), b, F.lit(True), F.lit(False)))
+    dealt = known.select("band", "rep", "component", "stray", F.explode(F.concat(as_y, as_x)).alias("t"))
+    held = F.collect_list(F.struct("rep", "component", "stray", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "sig", "set"))  # about two BLOCKs
+    groups = dealt.join(stored(sigs.join(sets, "rep"), "near-sets"), "rep").groupBy("band", "t.o", "t.b").agg(held.alias("m"))
     small_batches(members.sparkSession, 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, band in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                x, y = x.values, y.values
-                ra, ca, sa = x.field("rep").to_numpy(), x.field("component").to_numpy(), _matrix(x.field("sig"))
-                rb, cb, sb = y.field("rep").to_numpy(), y.field("component").to_numpy(), _matrix(y.field("sig"))
-                both = y.field("stray").to_numpy(zero_copy_only=False)
-                i, j = np.nonzero((ca[:, None] != cb[None, :]) & (~both[None, :] | (ra[:, None] < rb[None, :])))
+            for m, band in zip(batch.column(0), batch.column(1).to_pylist()):
+                m = m.values
+                rep, component, sig = m.field("rep").to_numpy(), m.field("component").to_numpy(), _matrix(m.field("sig"))
+                stray, x, y = (m.field(n).to_numpy(zero_copy_only=False).astype(bool) for n in ("stray", "x", "y"))
+                x, y = np.flatnonzero(x), np.flatnonzero(y)
+                i, j = np.nonzero((component[x][:, None] != component[y][None, :]) & (~stray[y][None, :] | (rep[x][:, None] < rep[y][None, :])))
+                i, j = x[i], y[j]
                 first = np.full(len(i), BANDS)
                 for k in range(BANDS - 1, -1, -1):
-                    cut = slice(k * ROWS, (k + 1) * ROWS)
-                    code = lambda s: s[:, cut].copy().view("V16").ravel()  # noqa: B023, E731
-                    first[(code(sa)[i] == code(sb)[j])] = k
+                    code = sig[:, k * ROWS : (k + 1) * ROWS].copy().view("V16").ravel()
+                    first[code[i] == code[j]] = k
                 i, j = i[first == band], j[first == band]
                 root: dict[int, int] = {}
 
@@ -250,24 +254,24 @@ def _across(members: DataFrame, sigs: DataFrame, docs: DataFrame, least: list[tu
                         c = root[c]
                     return c
 
-                left, right = ([np.frombuffer(v.as_py(), dtype=np.uint64) for v in side.field("set")] for side in (x, y))
+                sets_ = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in m.field("set")]
                 links = []
                 for at in range(0, len(i), 1 << 14):
                     p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                    alive, matches = survivors(sa[p], sb[q], least)
+                    alive, matches = survivors(sig[p], sig[q], least)
                     for k in np.argsort(-matches, kind="stable"):
                         u, v = p[alive[k]], q[alive[k]]
-                        cu, cv = top(int(ca[u])), top(int(cb[v]))
-                        m, n = len(left[u]), len(right[v])
-                        if cu == cv or 100 * min(m, n) < percent * max(m, n):
+                        cu, cv = top(int(component[u])), top(int(component[v]))
+                        n, o = len(sets_[u]), len(sets_[v])
+                        if cu == cv or 100 * min(n, o) < percent * max(n, o):
                             continue
-                        common = len(np.intersect1d(left[u], right[v], assume_unique=True))
-                        if 100 * common >= percent * (m + n - common):
+                        common = len(np.intersect1d(sets_[u], sets_[v], assume_unique=True))
+                        if 100 * common >= percent * (n + o - common):
                             root[cu] = cv
-                            links.append((min(ra[u], rb[v]), max(ra[u], rb[v])))
+                            links.append((min(rep[u], rep[v]), max(rep[u], rep[v])))
                 yield pa.RecordBatch.from_arrays([pa.array([int(z[k]) for z in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    return groups.select("m", F.col("band.k").alias("k")).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
