@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .signal import ORDER
-
-EXTREMA = W.partitionBy("recording_id").orderBy("idx")
+from .signal import order
 
 
 def extrema(data: DataFrame) -> DataFrame:
@@ -16,8 +14,8 @@ def extrema(data: DataFrame) -> DataFrame:
 
     Runs of equal values are one point, so a plateau is found by comparing it with the runs beside it.
     """
-    changed = data.withColumn("new", F.coalesce((F.col("value") != F.lag("value").over(ORDER)).cast("int"), F.lit(1)))
-    runs = changed.withColumn("run", F.sum("new").over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
+    changed = data.withColumn("new", F.coalesce((F.col("value") != F.lag("value").over(order())).cast("int"), F.lit(1)))
+    runs = changed.withColumn("run", F.sum("new").over(order().rowsBetween(W.unboundedPreceding, 0)))
     flat = runs.groupBy("recording_id", "run").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.first("value").alias("v"))
     by = W.partitionBy("recording_id").orderBy("run")
     p, n = F.lag("v").over(by), F.lead("v").over(by)
@@ -53,8 +51,8 @@ def suppressed(points: DataFrame, distance: int) -> DataFrame:
 
 def trimmed(points: DataFrame, data: DataFrame) -> DataFrame:
     """Without the first or last valley if the signal outside it stays below the average there; peaks only between valleys."""
-    before = F.max("value").over(ORDER.rowsBetween(W.unboundedPreceding, -1))
-    after = F.max("value").over(ORDER.rowsBetween(1, W.unboundedFollowing))
+    before = F.max("value").over(order().rowsBetween(W.unboundedPreceding, -1))
+    after = F.max("value").over(order().rowsBetween(1, W.unboundedFollowing))
     around = data.select("recording_id", "idx", "average", before.alias("before"), after.alias("after"))
     joined = points.join(around, ["recording_id", "idx"])
     valley = F.col("kind") == -1
@@ -68,8 +66,8 @@ def trimmed(points: DataFrame, data: DataFrame) -> DataFrame:
 
 def alternating(points: DataFrame) -> DataFrame:
     """Of successive extrema of one kind only the most extreme, the earliest of equals."""
-    turn = F.coalesce((F.col("kind") != F.lag("kind").over(EXTREMA)).cast("int"), F.lit(1))
-    islands = points.withColumn("turn", turn).withColumn("island", F.sum("turn").over(EXTREMA.rowsBetween(W.unboundedPreceding, 0)))
+    turn = F.coalesce((F.col("kind") != F.lag("kind").over(order())).cast("int"), F.lit(1))
+    islands = points.withColumn("turn", turn).withColumn("island", F.sum("turn").over(order().rowsBetween(W.unboundedPreceding, 0)))
     best = F.row_number().over(W.partitionBy("recording_id", "island").orderBy(F.desc(F.col("value") * F.col("kind")), "idx"))
     return islands.withColumn("best", best).where("best = 1").select("recording_id", "idx", "time", "value", "kind")
 
@@ -78,7 +76,7 @@ def without_low(points: DataFrame, fraction: float | None = 0.25) -> DataFrame:
     """Without peaks whose mean height over the valleys beside them is below a fraction of the median; alternating again."""
     if not fraction:
         return points
-    height = F.when(F.col("kind") == 1, F.col("value") - (F.lag("value").over(EXTREMA) + F.lead("value").over(EXTREMA)) / 2)
+    height = F.when(F.col("kind") == 1, F.col("value") - (F.lag("value").over(order()) + F.lead("value").over(order())) / 2)
     high = points.withColumn("height", height)
     limits = high.groupBy("recording_id").agg((F.median("height") * fraction).alias("limit"))
     return alternating(high.join(limits, "recording_id").where("kind = -1 or height >= limit").drop("height", "limit"))
@@ -87,16 +85,16 @@ def without_low(points: DataFrame, fraction: float | None = 0.25) -> DataFrame:
 def assembled(points: DataFrame) -> DataFrame:
     """(recording_id, breath_idx, start_idx, middle_idx, end_idx and times, values) from valley, peak, valley."""
     made = points.select(
-        "recording_id", "kind", F.lag("idx").over(EXTREMA).alias("start_idx"), F.col("idx").alias("middle_idx"), F.lead("idx").over(EXTREMA).alias("end_idx"),
-        F.lag("time").over(EXTREMA).alias("start_time"), F.col("time").alias("middle_time"), F.lead("time").over(EXTREMA).alias("end_time"),
-        F.lag("value").over(EXTREMA).alias("start_value"), F.col("value").alias("middle_value"), F.lead("value").over(EXTREMA).alias("end_value"),
+        "recording_id", "kind", F.lag("idx").over(order()).alias("start_idx"), F.col("idx").alias("middle_idx"), F.lead("idx").over(order()).alias("end_idx"),
+        F.lag("time").over(order()).alias("start_time"), F.col("time").alias("middle_time"), F.lead("time").over(order()).alias("end_time"),
+        F.lag("value").over(order()).alias("start_value"), F.col("value").alias("middle_value"), F.lead("value").over(order()).alias("end_value"),
     ).where("kind = 1 and start_idx is not null and end_idx is not null").drop("kind")
     return made.withColumn("breath_idx", F.row_number().over(W.partitionBy("recording_id").orderBy("middle_idx")).cast("long") - 1)
 
 
 def near_invalid(breaths: DataFrame, data: DataFrame, width: int) -> DataFrame:
     """Breaths without an invalid sample in [start - width, end + width); a running count of invalid samples makes it two equi-joins."""
-    count = F.sum(F.col("invalid").cast("int")).over(ORDER.rowsBetween(W.unboundedPreceding, 0))
+    count = F.sum(F.col("invalid").cast("int")).over(order().rowsBetween(W.unboundedPreceding, 0))
     counts = data.select("recording_id", "idx", count.alias("c"))
     last = counts.groupBy("recording_id").agg(F.max("idx").alias("last"))
     some = breaths.join(last, "recording_id").withColumn("lo", F.col("start_idx") - width - 1).withColumn("hi", F.least(F.col("end_idx") + width - 1, F.col("last")))

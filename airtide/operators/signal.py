@@ -7,9 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
-EACH = W.partitionBy("recording_id")
-ORDER = EACH.orderBy("idx")
+
+def each() -> WindowSpec:
+    """A recording's samples."""
+    return W.partitionBy("recording_id")
+
+
+def order() -> WindowSpec:
+    """A recording's samples in order."""
+    return each().orderBy("idx")
 
 
 def blackman(n: int) -> list[float]:
@@ -23,14 +31,14 @@ def moving_average(data: DataFrame, weights: list[float], name: str = "average")
     if len(weights) % 2 == 0:
         raise ValueError("an odd number of weights is needed")
     h = len(weights) // 2
-    first, last = F.first("value").over(EACH.orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.last("value").over(
-        EACH.orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first, last = F.first("value").over(each().orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.last("value").over(
+        each().orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     )
     out = data.withColumn("edge first", first).withColumn("edge last", last)
     term: Column = F.lit(0.0)
     for k, w in enumerate(weights):
         at = k - h
-        value = F.col("value") if at == 0 else F.coalesce(F.lead("value", at).over(ORDER), F.col("edge last")) if at > 0 else F.coalesce(F.lag("value", -at).over(ORDER), F.col("edge first"))
+        value = F.col("value") if at == 0 else F.coalesce(F.lead("value", at).over(order()), F.col("edge last")) if at > 0 else F.coalesce(F.lag("value", -at).over(order()), F.col("edge first"))
         term = term + value * w
     return out.withColumn(name, term).drop("edge first", "edge last")
 
@@ -47,8 +55,8 @@ def with_invalid(data: DataFrame, *, percent: float = 5, multiplier: float = 4)
 def fill_nearest(data: DataFrame) -> DataFrame:
     """Invalid samples get the value of the nearest valid one; of an odd run the middle gets the right one's."""
     good = F.when(~F.col("invalid"), F.struct("idx", "value"))
-    before = F.last(good, ignorenulls=True).over(ORDER.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(good, ignorenulls=True).over(ORDER.rowsBetween(0, W.unboundedFollowing))
+    before = F.last(good, ignorenulls=True).over(order().rowsBetween(W.unboundedPreceding, 0))
+    after = F.first(good, ignorenulls=True).over(order().rowsBetween(0, W.unboundedFollowing))
     out = data.withColumn("p", before).withColumn("n", after)
     run = F.col("n.idx") - F.col("p.idx") - 1
     place = F.col("idx") - F.col("p.idx") - 1
@@ -58,9 +66,9 @@ def fill_nearest(data: DataFrame) -> DataFrame:
 
 def unwrap(data: DataFrame, period: float) -> DataFrame:
     """Times that fall back by more than half a period go on in the next one."""
-    step = F.col("time") - F.lag("time").over(ORDER)
+    step = F.col("time") - F.lag("time").over(order())
     turn = F.when(step < -period / 2, 1).when(step > period / 2, -1).otherwise(0)
-    return data.withColumn("turn", turn).withColumn("time", F.col("time") + period * F.sum("turn").over(ORDER.rowsBetween(W.unboundedPreceding, 0))).drop("turn")
+    return data.withColumn("turn", turn).withColumn("time", F.col("time") + period * F.sum("turn").over(order().rowsBetween(W.unboundedPreceding, 0))).drop("turn")
 
 
 def sample_frequency(data: DataFrame) -> DataFrame:

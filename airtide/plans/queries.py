@@ -207,7 +207,7 @@ STEPS = "steps AS (SELECT recording_id, idx, time AS start_time, lead(time) OVER
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
-    out = A.signal(spark, d).select("recording_id", "idx", F.col("time").alias("start_time"), F.lead("time").over(signal.ORDER).alias("end_time"))
+    out = A.signal(spark, d).select("recording_id", "idx", F.col("time").alias("start_time"), F.lead("time").over(signal.order()).alias("end_time"))
     return out.where("end_time is not null")
 
 
@@ -442,7 +442,7 @@ def sample_frequency(spark, d):
 @query("""k AS (SELECT recording_id, idx, length(event_type) AS marker FROM sig)
 SELECT recording_id, idx, CAST(marker AS INTEGER) AS marker FROM k QUALIFY marker > lag(marker) OVER (PARTITION BY recording_id ORDER BY idx)""")
 def marker_events(spark, d):
-    out = A.signal(spark, d).select("recording_id", "idx", F.length("event_type").alias("marker")).withColumn("before", F.lag("marker").over(signal.ORDER))
+    out = A.signal(spark, d).select("recording_id", "idx", F.length("event_type").alias("marker")).withColumn("before", F.lag("marker").over(signal.order()))
     return out.where("marker > before").drop("before")
 
 
