@@ -26,8 +26,27 @@ def blackman(n: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+#: Longer averages take the samples as an array, not as a term for each weight.
+MOST_TERMS = 101
+
+
+def _long_average(data: DataFrame, weights: list[float], name: str) -> DataFrame:
+    h = len(weights) // 2
+    total = [0.0]
+    for w in weights:
+        total.append(total[-1] + w)
+    around = F.collect_list("value").over(order().rowsBetween(-h, h))
+    place = F.row_number().over(order())
+    out = data.withColumn("around", around).withColumn("missing", F.greatest(F.lit(0), h + 1 - place))
+    used = F.slice(F.lit(weights), F.col("missing") + 1, F.size("around"))
+    inner = F.aggregate(F.zip_with("around", used, lambda v, w: v * w), F.lit(0.0), lambda s, x: s + x)
+    sums = F.lit(total)
+    left, right = F.get(sums, F.col("missing")), F.lit(total[-1]) - F.get(sums, F.col("missing") + F.size("around"))
+    return out.withColumn(name, inner + F.col("edge first") * left + F.col("edge last") * right).drop("around", "missing", "edge first", "edge last")
+
+
 def moving_average(data: DataFrame, weights: list[float], name: str = "average") -> DataFrame:
-    """Centred weighted average with the edge values repeated; the weights are odd in number. One sort, no join."""
+    """Centred weighted average with the edge values repeated; the weights are odd in number, values not null. One sort, no join."""
     if len(weights) % 2 == 0:
         raise ValueError("an odd number of weights is needed")
     h = len(weights) // 2
@@ -35,6 +54,8 @@ def moving_average(data: DataFrame, weights: list[float], name: str = "average")
         each().orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     )
     out = data.withColumn("edge first", first).withColumn("edge last", last)
+    if len(weights) > MOST_TERMS:
+        return _long_average(out, weights, name)
     term: Column = F.lit(0.0)
     for k, w in enumerate(weights):
         at = k - h
