@@ -1,0 +1,265 @@
+"""The operators on training data: against SQL, brute force or a round trip, on small tables with awkward rows."""
+
+import base64
+import gzip
+import hashlib
+import random
+import urllib.parse
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from airtide.llm import fingerprints, langid, mixing, neardup, packing, quality, secrets, substrings, toxicity, warc
+from airtide.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain(rows):
+    return sorted(str(tuple(None if v is None else round(v, 6) + 0.0 if isinstance(v, float) else v for v in r)) for r in rows)
+
+
+def against_sql(df, sql, **tables):
+    con = duckdb.connect()
+    for name, t in tables.items():
+        con.register(name, t)
+    cols = sorted(df.columns)
+    assert plain(map(tuple, df.select(*cols).collect())) == plain(con.sql(sql).select(*cols).fetchall())
+
+
+def awkward(spark):
+    """Nulls, empty and long texts, repeated rows, ties, and columns whose names clash with what operators make."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)] + ["é", "ÀB", "x|y", "don't"]
+    long = " ".join(rng.choice(words) for _ in range(3000))
+    near = long.split()
+    near[7] = "changed"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 3), (4, "one", None, "b", 3), (5, long, "de", "b", len(long)), (6, long, "de", None, len(long)),
+            (7, " ".join(near), "de", "c", 1), (8, "a b c d\n\na b c d\nx", "en", "c", 1), (8, "a b c d\n\na b c d\nx", "en", "c", 1), (None, "some words here", "en", "a", 1)]
+    return spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS score", "'z' AS skey", "2 AS block", "3 AS rep", "4 AS id").coalesce(1)
+
+
+def test_sql_on_the_smallest_tables(spark):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, sql in Q.oracle_sql().items():
+        df = Q.queries()[name](spark, SF)
+        cols = sorted(df.columns)
+        assert plain(map(tuple, df.select(*cols).collect())) == plain(con.sql(sql).select(*cols).fetchall()), name
+
+
+@pytest.mark.parametrize("run, sql", [(neardup.near_dup_table, neardup.near_dup_sql), (mixing.mixture, mixing.mixture_sql), (quality.quality_table, quality.quality_sql),
+                                      (substrings.substring_table, substrings.substring_sql)])
+def test_awkward_rows_equal_sql(spark, run, sql):
+    docs = awkward(spark)
+    if run is neardup.near_dup_table:
+        docs = docs.where("doc_id is not null")
+    against_sql(run(docs), sql(), documents=docs.select("doc_id", "text", "source").toArrow())
+
+
+EVERY = [neardup.near_dup_table, packing.pack, mixing.mixture, secrets.secret_spans, quality.quality_table, substrings.substring_table, fingerprints.fingerprint_table, langid.language_table]
+
+
+@pytest.mark.parametrize("run", EVERY)
+def test_awkward_and_empty_tables(spark, run):
+    docs = awkward(spark)
+    n = run(docs).count()
+    assert n == docs.count() if run is not packing.pack else n >= docs.count()
+    assert run(docs.where("false")).count() == 0
+
+
+def test_toxicity_awkward_and_empty(spark):
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(1, 1), (5, 0), (5, 1), (None, 1), (6, None)], "doc_id long, toxic int")
+    assert toxicity.toxicity_table(docs, labels).count() == docs.count()
+    assert toxicity.toxicity_table(docs.where("false"), labels.where("false")).count() == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(3)
+    fill, bad = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)], ["vile", "awful", "nasty"]
+    rows, labels = [], []
+    for k in range(600):
+        text = [rng.choice(fill) for _ in range(40)]
+        toxic = int(rng.random() < 0.2)
+        for _ in range(3 * toxic):
+            text[rng.randrange(40)] = rng.choice(bad)
+        rows.append((k, " ".join(text)))
+        labels.append((k, toxic))
+    got = toxicity.toxicity_table(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert np.mean([r.predicted == labels[r.doc_id][1] for r in held]) > 0.97
+
+
+def test_field_runs_equal_the_full_chain():
+    rng = np.random.default_rng(1)
+    field = toxicity.Field({"bad": 2.0}, -3.0, rng.normal(size=(2, 2)))
+    weights = np.array([2.0 if k in (2, 3, 9) else -3.0 for k in range(14)])
+    f = [np.array([1.0, 0.0])]
+    for w in weights:
+        f.append((f[-1] @ np.exp(field.step)) * [1, np.exp(w)])
+    b = [np.ones(2)]
+    for w in weights[:0:-1]:
+        b.append(np.exp(field.step) @ (b[-1] * [1, np.exp(w)]))
+    full = np.array([x[1] * y[1] / (x @ y) for x, y in zip(f[1:], b[::-1])])
+    assert np.allclose(field.marginals([2, 3, 9], [2.0] * 3, 14), full[[2, 3, 9]])
+
+
+def test_language_accuracy(spark):
+    got = {r.doc_id: r for r in Q.op10_langid(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").collect()
+    held = [r for r in docs if got[r.doc_id].held_out]
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.95
+    assert langid.score_texts([None, "", "123 !?"], langid.Model(["a"], np.zeros((65537, 1), dtype=np.float32), np.zeros(1)))[0] == ["und"] * 3
+
+
+def test_near_duplicates_in_one_large_group(spark):
+    """Copies with random edits: many links, components found exactly."""
+    rng = random.Random(8)
+    base = [f"t{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    against_sql(neardup.near_dup_table(docs), neardup.near_dup_sql(), documents=docs.toArrow())
+
+
+def test_repeated_windows_by_index_and_by_hash(spark, monkeypatch):
+    rng = random.Random(2)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join([f"u{rng.randrange(10**9)}" for _ in range(50)] + passage[rng.randrange(20) :] + [f"u{rng.randrange(10**9)}" for _ in range(50)])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    table = docs.toArrow()
+    against_sql(substrings.substring_table(docs), substrings.substring_sql(), documents=table)
+    monkeypatch.setattr(substrings, "MAX_CONTENTS", 3)
+    against_sql(substrings.substring_table(docs), substrings.substring_sql(), documents=table)
+
+
+def test_fm_index_matching_statistics():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 3, rng.integers(5, 40)).astype(np.uint64) for _ in range(12)]
+    index = substrings.FMIndex(texts)
+    least = 4
+    found = {(t, s) for t, a, b in index.repeated(least) for s in range(a, b - least + 1)}
+    grams = [(tuple(t[s : s + least]), k, s) for k, t in enumerate(texts) for s in range(len(t) - least + 1)]
+    count: dict = {}
+    for g, _, _ in grams:
+        count[g] = count.get(g, 0) + 1
+    assert found == {(k, s) for g, k, s in grams if count[g] > 1}
+
+
+def test_fingerprints_estimate_likeness(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = fingerprints.fingerprint_table(docs).orderBy("doc_id").collect()
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    error = []
+    for k, (row, t) in enumerate(zip(rows, texts)):
+        following, half = texts[(k + 1) % len(texts)], len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and row.n_chars == len(t)
+        a, b = shingles(t), shingles(edited)
+        error.append(row.near_edited - len(a & b) / len(a | b))
+    assert abs(np.mean(error)) < 0.02 and np.std(error) < 0.08
+
+
+def test_secret_layers():
+    secret = "password=abcdefghijkl1234"
+    plain_ = base64.b64encode(secret.encode()).decode()
+    layers = [plain_, base64.b64encode(plain_.encode()).decode(), urllib.parse.quote(secret), urllib.parse.quote(urllib.parse.quote(plain_)),
+              "".join(f"\\u{ord(c):04x}" for c in secret), base64.b64encode(gzip.compress(secret.encode())).decode()]
+    for layer in layers:
+        text = f"é see {layer} end"
+        base, every = secrets.find(text)
+        assert [s for s in every if s not in base], layer
+        assert all(6 <= a < b <= 6 + len(layer) for _, a, b in every)
+        assert "REDACTED" in secrets.redacted(text)
+    assert secrets.find("password: token: abcdefghijklmnop")[0] == []
+    assert secrets.find("AKIA" + "A" * 14 + " PASSWORD='abcdefghijkl' " + "0f" * 8)[0] == [("access", 0, 18), ("assign", 19, 41), ("hex", 43, 59)]
+
+
+def test_packing_round_trip(spark):
+    docs = awkward(spark)
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(docs.withColumnRenamed("score", "start"), ids=True, window=4000).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        assert zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for d in docs.where("doc_id is not null and doc_id <> 8").collect():
+        pieces = sorted(by_doc[d.doc_id], key=lambda r: r.start)
+        assert sum((p.ids for p in pieces), []) == [*t.encode(d.text or "", add_special_tokens=False).ids, 1]
+    for pieces in by_sequence.values():
+        at = 0
+        for p in sorted(pieces, key=lambda r: r.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == 2048 or at & (at - 1) == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    body = "<p>" + "x" * 1200 + "é"
+    pages = spark.createDataFrame([(1, "http://a", body), (2, "http://b", body), (3, None, None), (4, "http://d", "short"), (5, "http://e", "short")], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in warc.archive_table(pages).collect()}
+    assert rows[1].record_type == "revisit" and rows[1].refers_to == 2 and rows[2].record_type == rows[4].record_type == "response"
+    for r in pages.collect():
+        data = (r.html or "").encode()
+        assert rows[r.page_id].payload_bytes == len(data) and rows[r.page_id].payload_digest == hashlib.sha1(data).hexdigest()
+    for compression in ("gzip", "none"):
+        path = str(tmp_path / compression)
+        warc.records_of_pages(pages).write.format("warc").mode("append").option("compression", compression).save(path)
+        back = spark.read.format("warc").load(path)
+        assert back.count() == 5 and back.where("record_type = 'revisit'").count() == 1
+        assert [bytes(r.payload) for r in back.where("target_uri = 'http://d'").collect()] == [b"short"]
+        slim = spark.read.format("warc").schema("record_id string, payload_length long").load(path)
+        assert sorted(r.payload_length for r in slim.collect()) == [0, 5, 5, len(body.encode()), len(body.encode())]
+    assert warc.archive_table(pages.where("false")).count() == 0
+
+
+def test_foreign_archive(spark, tmp_path):
+    record = warc.record("response", "<urn:1>", "http://a", None, None, None, b"hello")
+    (tmp_path / "f.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record.replace(b"hello", b"world")))
+    warc.register(spark)
+    assert sorted(bytes(r.payload) for r in spark.read.format("warc").load(str(tmp_path)).collect()) == [b"hello", b"world"]
+
+
+def test_mixture_targets(spark):
+    rows = mixing.mixture(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    taken, target = {}, {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[docs[r.doc_id]] = taken.get(docs[r.doc_id], 0) + r.taken
+        target[docs[r.doc_id]] = r.target
+    assert all(abs(taken[s] - target[s]) <= 40 + 0.02 * target[s] for s in taken)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            docs = corpus_pipeline.stored(out, "test-stage")
+        assert out.count() > 0
+    awkward_docs = corpus_pipeline.stored(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars"), "test-awkward")
+    kept = neardup.without_near_duplicates(awkward_docs)
+    assert kept.count() == awkward_docs.count() - 3  # a copy, a near copy and a repeated row go
