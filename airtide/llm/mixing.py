@@ -187,9 +187,10 @@ def mixed(docs: DataFrame, *, text: str = "text", source: str = "source", length
     plan = shown.groupBy("doc_id", "size", "turn").agg(spans.alias("mix spans"), F.sum("words").alias("mix got"))
     plan = plan.select(F.col("doc_id").alias("mix id"), F.col("size").alias("mix size"), "mix spans", "mix got")
     partly = F.col("mix got") < F.col("mix size")
-    some = rows.join(plan, "mix id").withColumn("mix words", F.when(partly, F.filter(F.split(text, SPACE_RUN), lambda w: w != "")))
-    cut = F.array_join(F.flatten(F.transform("mix spans", lambda s: F.slice(F.col("mix words"), s["a"], s["n"]))), " ")
-    out = some.withColumn(text, F.when(partly, cut).otherwise(F.col(text)))
+    both = F.struct(F.filter(F.split(text, SPACE_RUN), lambda w: w != "").alias("w"), F.col("mix spans").alias("s"))
+    # Within an array of one, the words are a variable and split once, not for each span.
+    cut = F.transform(F.array(both), lambda z: F.array_join(F.flatten(F.transform(z["s"], lambda s: F.slice(z["w"], s["a"], s["n"]))), " "))[0]
+    out = rows.join(plan, "mix id").withColumn(text, F.when(partly, cut).otherwise(F.col(text)))
     if length in docs.columns:
         out = out.withColumn(length, F.when(partly, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
     return out.select(*docs.columns)
