@@ -119,3 +119,19 @@ def pixel_variation(breaths: DataFrame, pixels: DataFrame) -> DataFrame:
     z = lambda k: F.max(F.when(F.col("k") == k, F.col("z")))
     each = at.agg(z("s").alias("s"), z("m").alias("m"), z("e").alias("e"))
     return each.select("recording_id", "breath_idx", "row", "col", F.expr("m - s").alias("inspiratory"), F.expr("m - e").alias("expiratory"), F.expr("m - (s + e) / 2").alias("mean"))
+
+
+def end_expiratory_level(breaths: DataFrame) -> DataFrame:
+    """(recording_id, breath_idx, time, value): the signal at the end of each breath."""
+    return breaths.select("recording_id", "breath_idx", F.col("end_time").alias("time"), F.col("end_value").alias("value"))
+
+
+def spacing(breaths: DataFrame) -> DataFrame:
+    """(recording_id, spacing): mean number of samples from middle to middle; null for a single breath."""
+    step = F.col("middle_idx") - F.lag("middle_idx").over(W.partitionBy("recording_id").orderBy("breath_idx"))
+    return breaths.withColumn("step", step).groupBy("recording_id").agg(F.avg("step").alias("spacing"))
+
+
+def of_flags(points: DataFrame) -> DataFrame:
+    """Breaths of a device's own flags (recording_id, idx, time, value, kind): valley, peak, valley after runs of one kind are thinned."""
+    return assembled(alternating(points.where("kind in (-1, 1)")))

@@ -104,3 +104,8 @@ def by_size(mask: DataFrame, *, least: int = 10, connectivity: int = 1) -> DataF
     found = regions(mask, connectivity=connectivity)
     sizes = found.groupBy("mask_id", "region").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return found.join(sizes, ["mask_id", "region"]).select("mask_id", "row", "col", F.lit(1.0).alias("weight"))
+
+
+def region_sizes(mask: DataFrame, *, connectivity: int = 1) -> DataFrame:
+    """(mask_id, region, n): number of pixels of each connected region."""
+    return regions(mask, connectivity=connectivity).groupBy("mask_id", "region").agg(F.count("*").alias("n"))

@@ -73,3 +73,45 @@ def rates(frames: DataFrame, rate: float, subject: str = "adult", *, window: flo
     cols = frames.select("recording_id", "frame_idx", "pixels")
     kind = cols.schema["recording_id"].dataType.simpleString()
     return cols.groupBy("recording_id").applyInArrow(each, f"recording_id {kind}, respiratory_rate double, heart_rate double")
+
+
+def spectra(frames: DataFrame, rate: float, size: int, overlap: int) -> DataFrame:
+    """(recording_id, k, frequency, total, pixels, difference): spectra that sum to 1, of the summed signal and the mean of the pixels'.
+
+    Pixels without any power are left out of the mean; a recording shorter than a segment has no rows. Missing pixels count 0.
+    """
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame_idx")
+        x = np.array(table["pixels"].to_pylist(), dtype=float).T
+        x = np.where(np.isnan(x), 0.0, x)
+        n = size // 2 + 1 if x.shape[1] >= size else 0
+        freq = power = total = mean = np.empty(0)
+        if n:
+            freq, total = kernels.welch(x.sum(axis=0), rate, size, overlap)
+            _, power = kernels.welch(x, rate, size, overlap)
+            sums = power.sum(axis=1)
+            some = sums > 0
+            total = total / total.sum() if total.sum() > 0 else np.zeros(n)
+            mean = (power[some] / sums[some, None]).mean(axis=0) if some.any() else np.zeros(n)
+        ids = pa.array([table["recording_id"][0].as_py()] * n, table.schema.field("recording_id").type)
+        return pa.table({"recording_id": ids, "k": pa.array(range(n), pa.int32()), "frequency": freq, "total": total, "pixels": mean, "difference": mean - total})
+
+    cols = frames.select("recording_id", "frame_idx", "pixels")
+    kind = cols.schema["recording_id"].dataType.simpleString()
+    return cols.groupBy("recording_id").applyInArrow(each, f"recording_id {kind}, k int, frequency double, total double, pixels double, difference double")
+
+
+def power(data: DataFrame, rate: float, size: int, overlap: int) -> DataFrame:
+    """(recording_id, k, frequency, per_minute, power) of a signal, for comparing one before and after a filter. Shorter signals are one segment."""
+
+    def each(table: pa.Table) -> pa.Table:
+        v = np.array(table.sort_by("idx")["value"], dtype=float)
+        n = min(size, len(v))
+        freq, p = kernels.welch(v, rate, n, min(overlap, n - 1))
+        ids = pa.array([table["recording_id"][0].as_py()] * len(freq), table.schema.field("recording_id").type)
+        return pa.table({"recording_id": ids, "k": pa.array(range(len(freq)), pa.int32()), "frequency": freq, "per_minute": freq * 60, "power": p})
+
+    cols = data.select("recording_id", "idx", F.col("value").cast("double").alias("value"))
+    kind = cols.schema["recording_id"].dataType.simpleString()
+    return cols.groupBy("recording_id").applyInArrow(each, f"recording_id {kind}, k int, frequency double, per_minute double, power double")

@@ -12,6 +12,7 @@ from ..functions import categories as cat
 from ..operators import breaths as B
 from ..operators import maps, masks, select, signal, spectrum
 from ..operators import pixel_breaths as P
+from ..operators import sequences as Q
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -467,3 +468,193 @@ def lowpass_filter(spark, d):
 def bandstop_filter(spark, d):
     data = maps.global_impedance(A.frames(spark, d)).withColumnRenamed("frame_idx", "idx")
     return spectrum.butterworth(data, "bandstop", (1.0, 2.0), 1, A.RATE).select("recording_id", "idx", F.round("value", 6).alias("value"))
+
+
+@query(f"{SIGNAL}, t AS (SELECT recording_id, idx, time FROM sig) SELECT br.recording_id, breath_idx, round(time, 3) AS time, round(ev, 6) AS value FROM br JOIN t ON t.recording_id = br.recording_id AND t.idx = end_idx")
+def end_expiratory_level(spark, d):
+    return rounded(B.end_expiratory_level(breaths_of(averaged(spark, d))), "value").withColumn("time", F.round("time", 3))
+
+
+@query(f"""{SIGNAL} SELECT recording_id, round(avg(step), 6) AS spacing FROM
+    (SELECT recording_id, middle_idx - lag(middle_idx) OVER (PARTITION BY recording_id ORDER BY breath_idx) AS step FROM br) GROUP BY ALL""")
+def breath_spacing(spark, d):
+    return rounded(B.spacing(breaths_of(averaged(spark, d))), "spacing")
+
+
+@query(f"""{_pixel_breaths_sql("1").rsplit("SELECT recording_id, breath_idx, row, col, start_idx", 1)[0]}
+SELECT p.recording_id, breath_idx, p.row, p.col, round(m.z - (s.z + e.z) / 2, 6) AS mean FROM pk p
+    JOIN pix s ON s.recording_id = p.recording_id AND s.row = p.row AND s.col = p.col AND s.frame_idx = start_idx
+    JOIN pix m ON m.recording_id = p.recording_id AND m.row = p.row AND m.col = p.col AND m.frame_idx = middle_idx
+    JOIN pix e ON e.recording_id = p.recording_id AND e.row = p.row AND e.col = p.col AND e.frame_idx = end_idx
+    WHERE start_idx < middle_idx AND middle_idx < end_idx""")
+def pixel_variation_own_timing(spark, d):
+    _, found, px = impedance(spark, d)
+    return rounded(P.pixel_timing_variation(P.pixel_breaths(found, px), px), "mean")
+
+
+DEVICE = f"""flag AS (SELECT recording_id, idx, value, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 END AS kind FROM sig WHERE event_type IN ('purchase', 'error')),
+{_alternate_sql('flag', 'dev')}"""
+
+
+def flags(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1)
+    return A.signal(spark, d).withColumn("kind", kind).where("kind is not null").select("recording_id", "idx", "time", "value", "kind")
+
+
+@query("SELECT recording_id, idx, CASE event_type WHEN 'purchase' THEN 1 ELSE -1 END AS kind FROM sig WHERE event_type IN ('purchase', 'error')")
+def phase_flags(spark, d):
+    return flags(spark, d).select("recording_id", "idx", "kind")
+
+
+@query(f"""{DEVICE} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY middle_idx) - 1 AS breath_idx, start_idx, middle_idx, end_idx FROM
+    (SELECT recording_id, kind, lag(idx) OVER w AS start_idx, idx AS middle_idx, lead(idx) OVER w AS end_idx FROM dev WINDOW w AS (PARTITION BY recording_id ORDER BY idx))
+    WHERE kind = 1 AND start_idx IS NOT NULL AND end_idx IS NOT NULL""")
+def device_breaths(spark, d):
+    return B.of_flags(flags(spark, d)).select("recording_id", "breath_idx", "start_idx", "middle_idx", "end_idx")
+
+
+@query("""SELECT recording_id, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95,
+    round(stddev_pop(value), 6) AS deviation, round(max(value), 6) AS largest FROM sig GROUP BY ALL""")
+def signal_statistics(spark, d):
+    return rounded(Q.statistics(A.signal(spark, d)), "mean", "median", "p5", "p95", "deviation", "largest")
+
+
+@query("""SELECT recording_id, count(*) AS n, round(min(time), 3) AS first_time, round(max(time), 3) AS last_time, count(value) > 0 AS has_values, count(*) - count(value) AS missing
+    FROM sig GROUP BY ALL""")
+def signal_summary(spark, d):
+    return Q.summary(A.signal(spark, d)).withColumns({n: F.round(n, 3) for n in ("first_time", "last_time")})
+
+
+@query("SELECT recording_id, idx, round(sqrt(abs(value)) * 2, 6) AS value FROM sig")
+def derived_signal(spark, d):
+    out = Q.derive(A.signal(spark, d), lambda v: F.sqrt(F.abs(v)) * 2)
+    return rounded(out.select("recording_id", "idx", "value"), "value")
+
+
+@query("""p AS (SELECT recording_id, idx AS point, time + 100 AS time FROM sig WHERE event_type = 'purchase')
+SELECT p.recording_id, point, min(s.idx) AS idx FROM p LEFT JOIN sig s ON s.recording_id = p.recording_id AND s.time >= p.time GROUP BY ALL""")
+def as_of_forward(spark, d):
+    sig = A.signal(spark, d)
+    points = sig.where("event_type = 'purchase'").select("recording_id", F.col("idx").alias("point"), (F.col("time") + 100).alias("time"))
+    return Q.as_of(points, sig).select("recording_id", "point", "idx")
+
+
+@query(f"{MAPS}, t AS (SELECT map_id, row, col, row * 10000 + col AS region FROM m WHERE value > 0), hop AS (WITH RECURSIVE r AS (SELECT * FROM t UNION SELECT t.map_id, t.row, t.col, r.region FROM r "
+       "JOIN t ON t.map_id = r.map_id AND greatest(abs(t.row - r.row), abs(t.col - r.col)) = 1) SELECT map_id, row, col, min(region) AS region FROM r GROUP BY ALL) "
+       "SELECT map_id AS mask_id, CAST(region AS BIGINT) AS region, count(*) AS n FROM hop GROUP BY ALL")
+def region_sizes(spark, d):
+    mask = maps.threshold(label_map(spark, d), 0.0, comparator=lambda v, t: v > t).withColumnRenamed("map_id", "mask_id")
+    return masks.region_sizes(mask, connectivity=2)
+
+
+def sequence(spark: SparkSession, d: str) -> Q.Sequence:
+    """Events as a signal, purchases as points, steps as intervals."""
+    sig = A.signal(spark, d)
+    spans = steps(spark, d).select("recording_id", "start_time", "end_time", F.lit(None).cast("double").alias("value"))
+    return Q.Sequence(continuous=sig.drop("event_type"), sparse=sig.where("event_type = 'purchase'").select("recording_id", "time", "value"), intervals=spans)
+
+
+def sequence_rows(found: Q.Sequence) -> DataFrame:
+    return rounded(found.rows(), "value").withColumns({n: F.round(n, 3) for n in ("start", "end")})
+
+
+def _sequence_sql(continuous: str, sparse: str, intervals: str) -> str:
+    return f"""SELECT 'continuous' AS part, recording_id, round(time, 3) AS start, round(time, 3) AS "end", round(value, 6) AS value FROM ({continuous})
+UNION ALL SELECT 'sparse', recording_id, round(time, 3), round(time, 3), round(value, 6) FROM ({sparse})
+UNION ALL SELECT 'intervals', recording_id, round(start_time, 3), round(end_time, 3), NULL FROM ({intervals})"""
+
+
+@query(f"""{STEPS}, cut AS (SELECT recording_id, idx, time, value FROM (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM sig) WHERE idx >= 10 AND idx < greatest(n - 20, 0)),
+b AS (SELECT recording_id, min(time) AS a, max(time) AS z FROM cut GROUP BY ALL)
+{_sequence_sql("FROM cut", "SELECT s.* FROM sig s JOIN b USING (recording_id) WHERE event_type = 'purchase' AND time >= a AND time < z", "SELECT s.* FROM steps s JOIN b USING (recording_id) WHERE start_time >= a AND end_time <= z")}""")
+def sequence_index_slice(spark, d):
+    return sequence_rows(sequence(spark, d).by_index(10, -20))
+
+
+def _sequence_time_sql(start: float, end: float) -> str:
+    within = f"time >= coalesce(a, {start}) AND time < {end}"
+    points = f"(SELECT *, max(CASE WHEN time <= {start} THEN time END) OVER (PARTITION BY recording_id) AS a FROM sig WHERE event_type = 'purchase')"
+    return _sequence_sql(
+        f"SELECT * FROM (SELECT *, max(CASE WHEN time <= {start} THEN time END) OVER (PARTITION BY recording_id) AS a FROM sig) WHERE {within}",
+        f"SELECT * FROM {points} WHERE {within}", f"SELECT * FROM steps WHERE start_time >= {start} AND end_time <= {end}",
+    )
+
+
+@query(f"{STEPS} {_sequence_time_sql(START, END)}")
+def sequence_time_slice(spark, d):
+    return sequence_rows(sequence(spark, d).by_time(START, END))
+
+
+@query(f"""{STEPS} {_sequence_sql(f"SELECT * FROM sig WHERE time < {START} OR time >= {END}", f"SELECT * FROM sig WHERE event_type = 'purchase' AND (time < {START} OR time >= {END})",
+    f"SELECT * FROM steps WHERE end_time <= {START} OR start_time >= {END}")}""")
+def sequence_concatenate(spark, d):
+    every = sequence(spark, d)
+    return sequence_rows(every.by_time(None, START).concatenate(every.by_time(END, None, start_inclusive=False)))
+
+
+@query(f"SELECT 'halves' AS pair, true AS equal UNION ALL SELECT 'part', count(*) = 0 FROM sig WHERE time < {START}")
+def equality(spark, d):
+    sig = A.signal(spark, d).select("recording_id", "time", "value")
+    halves = select.by_time(sig, None, START).unionByName(select.by_time(sig, START))
+    out = Q.equal(sig, halves).select(F.lit("halves").alias("pair"), "equal")
+    return out.unionByName(Q.equal(sig, select.by_time(sig, START)).select(F.lit("part").alias("pair"), "equal"))
+
+
+def catalogue() -> Q.Catalogue:
+    """The series that the queries over the driver's tables make, with what each is derived from."""
+    return Q.Catalogue([
+        Q.Entry("frames", "frames", "impedance"), Q.Entry("events", "continuous", "other"), Q.Entry("global impedance", "continuous", "impedance", parents=("frames",)),
+        Q.Entry("breaths", "intervals", "other", parents=("global impedance",)), Q.Entry("pixel breaths", "intervals", "other", parents=("frames", "breaths")),
+        Q.Entry("tidal variation", "sparse", "impedance difference", parents=("global impedance", "breaths")), Q.Entry("lung space", "mask", "other", parents=("pixel breaths",)),
+    ])
+
+
+@query("""edge(label, parent) AS (VALUES ('global impedance', 'frames'), ('breaths', 'global impedance'), ('pixel breaths', 'frames'), ('pixel breaths', 'breaths'),
+    ('tidal variation', 'global impedance'), ('tidal variation', 'breaths'), ('lung space', 'pixel breaths')),
+hop AS (WITH RECURSIVE r AS (SELECT label, 1 AS steps FROM edge WHERE parent = 'frames' UNION SELECT e.label, steps + 1 FROM r JOIN edge e ON e.parent = r.label) SELECT * FROM r)
+SELECT label, CAST(min(steps) AS INTEGER) AS steps FROM hop GROUP BY label""")
+def lineage_descendants(spark, d):
+    return spark.createDataFrame(sorted(catalogue().descendants("frames").items()), "label string, steps int")
+
+
+SEGMENT, OVERLAP = 16, 8
+
+
+@query(f"""s AS (SELECT recording_id, -1 AS px, frame_idx, sum(z) AS v FROM pix GROUP BY ALL UNION ALL SELECT recording_id, row * {A.SIDE} + col, frame_idx, z FROM pix),
+seg AS (SELECT recording_id, unnest(range(0, n - {SEGMENT - 1}, {OVERLAP})) AS a FROM (SELECT recording_id, count(*) AS n FROM frames GROUP BY ALL)),
+part AS (SELECT s.recording_id, px, a, frame_idx - a AS j, (v - avg(v) OVER (PARTITION BY s.recording_id, px, a)) * (0.5 - 0.5 * cos(2 * pi() * (frame_idx - a) / {SEGMENT})) AS v
+    FROM s JOIN seg ON seg.recording_id = s.recording_id AND frame_idx >= a AND frame_idx < a + {SEGMENT}),
+dft AS (SELECT recording_id, px, a, k, pow(sum(v * cos(2 * pi() * k * j / {SEGMENT})), 2) + pow(sum(v * sin(2 * pi() * k * j / {SEGMENT})), 2) AS p FROM part, range(0, {SEGMENT // 2 + 1}) AS r(k) GROUP BY recording_id, px, a, k),
+psd AS (SELECT recording_id, px, k, avg(p) * CASE WHEN k IN (0, {SEGMENT // 2}) THEN 1 ELSE 2 END AS p FROM dft GROUP BY recording_id, px, k),
+nrm AS (SELECT recording_id, px, k, p / sum(p) OVER (PARTITION BY recording_id, px) AS p FROM psd),
+two AS (SELECT recording_id, k, max(CASE WHEN px = -1 THEN p END) AS total, avg(CASE WHEN px >= 0 THEN p END) AS pixels FROM nrm GROUP BY ALL)
+SELECT recording_id, CAST(k AS INTEGER) AS k, round(k * {A.RATE} / {SEGMENT}, 6) AS frequency, round(total, 6) AS total, round(pixels, 6) AS pixels, round(pixels - total, 6) AS difference FROM two""")
+def spectra(spark, d):
+    return rounded(spectrum.spectra(A.frames(spark, d), A.RATE, SEGMENT, OVERLAP), "frequency", "total", "pixels", "difference")
+
+
+def _impedance_signal(spark: SparkSession, d: str) -> DataFrame:
+    return maps.global_impedance(A.frames(spark, d)).withColumnRenamed("frame_idx", "idx")
+
+
+@query()
+def highpass_filter(spark, d):
+    return rounded(spectrum.butterworth(_impedance_signal(spark, d), "highpass", 1.0, 2, A.RATE).select("recording_id", "idx", "value"), "value")
+
+
+@query()
+def bandpass_filter(spark, d):
+    return rounded(spectrum.butterworth(_impedance_signal(spark, d), "bandpass", (1.0, 4.0), 2, A.RATE).select("recording_id", "idx", "value"), "value")
+
+
+@query()
+def multiple_notch_filter(spark, d):
+    return rounded(spectrum.multiple_notch(_impedance_signal(spark, d), 0.2, 1.2, A.RATE, order=2).select("recording_id", "idx", "value"), "value")
+
+
+@query()
+def filter_spectra(spark, d):
+    """Power before and after the notch filter, the data of a plot of its effect."""
+    raw = _impedance_signal(spark, d)
+    after = spectrum.power(spectrum.multiple_notch(raw, 0.2, 1.2, A.RATE, order=2), A.RATE, 32, 16).withColumnRenamed("power", "filtered")
+    return rounded(spectrum.power(raw, A.RATE, 32, 16).join(after.select("recording_id", "k", "filtered"), ["recording_id", "k"]), "power", "filtered")

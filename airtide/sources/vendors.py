@@ -18,6 +18,10 @@ VENDORS = ("draeger", "timpel", "sentec")
 DRAEGER = {4358: 52, 4382: 58}
 TIMPEL_COLUMNS, TIMPEL_MISSING = 1030, -1000.0
 SENTEC_PERIOD = 2**32 - 1
+# The signals among the values after a frame, with their units; the fourfold pressures are the pod's, from place 54.
+SIGNALS = [("airway pressure", "mbar"), ("flow", "L/min"), ("volume", "mL"), ("CO2 (%)", "%"), ("CO2 (kPa)", "kPa"), ("CO2 (mmHg)", "mmHg")]
+POD_SIGNALS = [("airway pressure (pod)", "mbar"), ("esophageal pressure (pod)", "mbar"), ("transpulmonary pressure (pod)", "mbar"), ("gastric pressure/auxiliary pressure (pod)", "mbar")]
+POD_PLACE = 54
 PIXELS = 1024
 
 FRAME = "path string, frame_idx long, time double, pixels array<double>, phase int, marker int, text string, aux array<double>"
@@ -27,6 +31,16 @@ def draeger_dtype(aux: int) -> np.dtype:
     return np.dtype([("time", "<f8"), ("skip", "<f4"), ("pixels", "<f4", PIXELS), ("phase", "<i4"), ("marker", "<i4"), ("text", "S30"), ("error", "<i4"), ("aux", "<f4", aux)])
 
 
+def draeger_batch(name: str, first: int, part: np.ndarray) -> pa.RecordBatch:
+    """Rows of consecutive records."""
+    lists = [[[None if v < -1e30 or np.isnan(v) else float(v) for v in row] for row in part[n]] for n in ("pixels", "aux")]
+    text = [t.decode("latin-1").rstrip("\0 ") for t in part["text"]]
+    return pa.RecordBatch.from_arrays([
+        pa.array([name] * len(part)), pa.array(np.arange(first, first + len(part))), pa.array(part["time"] * 86400.0), pa.array(lists[0], pa.list_(pa.float64())),
+        pa.array(part["phase"]), pa.array(part["marker"]), pa.array(text), pa.array(lists[1], pa.list_(pa.float64())),
+    ], names=["path", "frame_idx", "time", "pixels", "phase", "marker", "text", "aux"])
+
+
 def load(spark: SparkSession, path: str | list[str], vendor: str, *, first_frame: int = 0, max_frames: int | None = None, rate: float | None = None) -> DataFrame:
     """Frames of files of one vendor, numbered within each file."""
     name = vendor.lower().replace("dräger", "draeger").replace("drager", "draeger")
@@ -53,13 +67,7 @@ def draeger(spark: SparkSession, path: str | list[str], rate: float | None = Non
                     raise OSError(f"{name} has the size of no known format")
                 records = np.frombuffer(data, dtype=draeger_dtype(DRAEGER[size]))
                 for at in range(0, len(records), 1024):
-                    part = records[at : at + 1024]
-                    lists = [[[None if v < -1e30 or np.isnan(v) else float(v) for v in row] for row in part[n]] for n in ("pixels", "aux")]
-                    text = [t.decode("latin-1").rstrip("\0 ") for t in part["text"]]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part["time"] * 86400.0), pa.array(lists[0], pa.list_(pa.float64())),
-                        pa.array(part["phase"]), pa.array(part["marker"]), pa.array(text), pa.array(lists[1], pa.list_(pa.float64())),
-                    ], names=["path", "frame_idx", "time", "pixels", "phase", "marker", "text", "aux"])
+                    yield draeger_batch(name, at, records[at : at + 1024])
 
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInArrow(decode, FRAME)
@@ -122,3 +130,40 @@ def events(frames: DataFrame) -> DataFrame:
 
     before = F.lag("marker").over(W.partitionBy("path").orderBy("frame_idx"))
     return frames.withColumn("before", before).where("marker > before or (before is null and text <> '')").select("path", "frame_idx", "time", "marker", "text")
+
+
+def signals(frames: DataFrame) -> DataFrame:
+    """(path, label, unit, idx, time, value) of the signals recorded beside the frames; which there are follows from their number."""
+    count = F.size("aux")
+    places = [(k, name, unit, 0) for k, (name, unit) in enumerate(SIGNALS)] + [(POD_PLACE + k, name, unit, POD_PLACE + len(POD_SIGNALS)) for k, (name, unit) in enumerate(POD_SIGNALS)]
+    each = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(u).alias("unit"), F.get("aux", F.lit(k)).alias("value"), (F.lit(k) < count).alias("there"), F.lit(least).alias("least")) for k, n, u, least in places])
+    held = F.explode(F.filter(each, lambda s: s["there"] & (s["least"] <= count)))
+    return frames.select("path", F.col("frame_idx").alias("idx"), "time", held.alias("s")).select("path", "s.label", "s.unit", "idx", "time", "s.value")
+
+
+def phases(frames: DataFrame) -> DataFrame:
+    """(path, time, kind) where the device flags a smallest (-1) or largest (1) value."""
+    return frames.where("phase in (-1, 1)").select("path", "frame_idx", "time", F.col("phase").alias("kind"))
+
+
+def device_breaths(frames: DataFrame) -> DataFrame:
+    """Breaths by the device's own flags, at the frames' summed impedance."""
+    from ..operators import breaths, maps
+
+    named = frames.withColumnRenamed("path", "recording_id")
+    value = maps.global_impedance(named).withColumnRenamed("frame_idx", "idx")
+    kinds = phases(frames).select(F.col("path").alias("recording_id"), F.col("frame_idx").alias("idx"), "kind")
+    return breaths.of_flags(value.join(kinds, ["recording_id", "idx"])).withColumnRenamed("recording_id", "path")
+
+
+def monotonic(frames: DataFrame, period: float | None = None) -> DataFrame:
+    """The frames with times unwrapped by ``period``; times that then do not ascend raise an error."""
+    from pyspark.sql.window import Window as W
+
+    from ..operators import signal
+
+    named = frames.withColumnsRenamed({"path": "recording_id", "frame_idx": "idx"})
+    out = signal.unwrap(named, period) if period else named
+    before = F.lag("time").over(W.partitionBy("recording_id").orderBy("idx"))
+    checked = F.when(F.col("time") <= F.col("before"), F.raise_error(F.lit("times do not ascend")).cast("double")).otherwise(F.col("time"))
+    return out.withColumn("before", before).withColumn("time", checked).drop("before").withColumnsRenamed({"recording_id": "path", "idx": "frame_idx"})

@@ -9,6 +9,7 @@ from airtide.operators import masks, select, signal, spectrum
 from airtide.operators import maps as M
 from airtide.sources import vendors
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 
 def series(spark, values, rate=1.0):
@@ -183,3 +184,92 @@ def test_streaming_markers(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [tuple(r) for r in spark.table("markers").collect()] == [(0, 1.0, 2)]
+
+
+def test_draeger_signals_phases_and_breaths(spark, tmp_path):
+    records = np.zeros(9, dtype=vendors.draeger_dtype(58))
+    records["time"] = np.arange(9) / 86400
+    records["phase"] = [-1, 0, 1, 0, -1, 0, 1, 1, -1]
+    records["pixels"][:, 0] = [0, 1, 4, 1, 0, 1, 3, 5, 0]
+    records["aux"][:, 54] = 7
+    (tmp_path / "p.bin").write_bytes(records.tobytes())
+    frames = vendors.monotonic(vendors.load(spark, str(tmp_path / "p.bin"), "draeger"), 86400.0)
+    held = vendors.signals(frames)
+    assert held.select("label").distinct().count() == 10 and held.where("label = 'airway pressure (pod)' and value = 7").count() == 9
+    assert vendors.phases(frames).count() == 6
+    assert [(r.start_idx, r.middle_idx, r.end_idx) for r in vendors.device_breaths(frames).orderBy("breath_idx").collect()] == [(0, 2, 4), (4, 7, 8)]
+
+
+def test_times_must_ascend(spark, tmp_path):
+    records = np.zeros(2, dtype=vendors.draeger_dtype(52))
+    (tmp_path / "t.bin").write_bytes(records.tobytes())
+    with pytest.raises(PySparkException):
+        vendors.monotonic(vendors.load(spark, str(tmp_path / "t.bin"), "draeger"), 86400.0).collect()
+
+
+def test_data_source_reads_ranges(spark, tmp_path):
+    from airtide.sources import datasource
+
+    datasource.register(spark)
+    records = np.zeros(10, dtype=vendors.draeger_dtype(52))
+    records["time"], records["marker"] = np.arange(10) / 86400, np.arange(10)
+    (tmp_path / "r.bin").write_bytes(records.tobytes())
+    got = spark.read.format(datasource.NAME).option("path", str(tmp_path / "r.bin")).option("first_frame", 2).option("max_frames", 7).option("frames_per_task", 3).load()
+    assert got.rdd.getNumPartitions() == 3
+    assert [(r.frame_idx, r.marker) for r in got.orderBy("frame_idx").collect()] == [(k, k) for k in range(2, 9)]
+
+
+def test_stored_tables_keep_their_rows(spark, tmp_path):
+    from airtide.operators import sequences
+    from airtide.sources import tables
+
+    data = series(spark, range(20))
+    tables.write(data, str(tmp_path / "out"))
+    back = tables.read(spark, str(tmp_path / "out")).select(F.col("recording_id").cast("long"), "idx", "time", "value")
+    assert sequences.equal(data, back).first().equal and not sequences.equal(data, back.where("idx > 0")).first().equal
+
+
+def test_sequence_tail_and_concatenation(spark):
+    from airtide.operators.sequences import Sequence
+
+    data = series(spark, range(10))
+    points = spark.createDataFrame([(0, 2.0, 1.0), (0, 5.0, None)], "recording_id long, time double, value double")
+    whole = Sequence(continuous=data, sparse=points)
+    assert whole.by_index(0, 6).sparse.count() == 1 and whole.by_index(0, 6, inclusive_tail=True).sparse.count() == 2
+    with pytest.raises(ValueError):
+        whole.concatenate(Sequence(continuous=data))
+    with pytest.raises(PySparkException):
+        whole.concatenate(whole).sparse.collect()
+
+
+def test_intervals_may_touch(spark):
+    a = spark.createDataFrame([(0, 0.0, 2.0)], "recording_id long, start_time double, end_time double")
+    b = spark.createDataFrame([(0, 2.0, 3.0)], a.schema)
+    assert select.concatenate_points(a, b).count() == 2
+    with pytest.raises(PySparkException):
+        select.concatenate_points(b, a).collect()
+
+
+def test_as_of_takes_the_next_sample(spark):
+    from airtide.operators.sequences import as_of
+
+    points = spark.createDataFrame([(0, 1.0), (0, 1.5), (0, 99.0), (1, 0.0)], "recording_id long, time double")
+    got = {(r.recording_id, r.time): r.idx for r in as_of(points, series(spark, range(4))).collect()}
+    assert got == {(0, 1.0): 1, (0, 1.5): 2, (0, 99.0): None, (1, 0.0): None}
+
+
+def test_catalogue(spark):
+    from airtide.operators.sequences import Catalogue, Entry
+
+    c = Catalogue([Entry("a", "frames", "impedance", parameters={"x": "1"}), Entry("b", "continuous", "impedance", parents=("a",))])
+    with pytest.raises(KeyError):
+        c.add(Entry("a", "frames", "impedance"))
+    assert c.copied("b", "c", unit="AU", parameters={"y": "2"}).parents == ("b",)
+    assert c.descendants("a") == {"b": 1, "c": 2} and c.loaded() == ["a"] and c.derived() == ["b", "c"] and c.table(spark).count() == 3
+
+
+def test_spectra_of_short_and_flat_recordings(spark):
+    rows = [(0, k, [1.0, None]) for k in range(4)] + [(1, k, [2.0, 2.0]) for k in range(40)]
+    frames = spark.createDataFrame(rows, "recording_id long, frame_idx long, pixels array<double>")
+    got = spectrum.spectra(frames, 20.0, 16, 8).collect()
+    assert {r.recording_id for r in got} == {1} and all(r.total == 0 and r.pixels == 0 for r in got)
