@@ -76,10 +76,11 @@ def target_table(sizes: DataFrame) -> DataFrame:
     return shared.select("skey", "source_size", "weight", target.alias("target"))
 
 
-def sized(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, skey, size) for every row."""
+def sized(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", order: str | None = None) -> DataFrame:
+    """(doc_id, place, skey, size) for every row; documents are laid out in order of ``place``, the key unless ``order`` names another column."""
     return docs.select(
         F.col(key).alias("doc_id"),
+        F.col(order or key).cast("long").alias("place"),
         source_key(F.col(source)).alias("skey"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -87,8 +88,8 @@ def sized(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
 
 def layout(sizes: DataFrame) -> DataFrame:
     """Each document with ``begin``, the number of words of its source before it."""
-    ranged = sizes.withColumn("part", F.coalesce(F.floor(F.col("doc_id") / RANGE), F.lit(-1)).cast("long"))
-    inner = W.partitionBy("skey", "part").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    ranged = sizes.withColumn("part", F.coalesce(F.floor(F.col("place") / RANGE), F.lit(-1)).cast("long"))
+    inner = W.partitionBy("skey", "part").orderBy(F.col("place").asc_nulls_first(), "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     outer = W.partitionBy("skey").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = ranged.groupBy("skey", "part").agg(F.sum("size").alias("n")).select("skey", "part", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("before"))
     placed = ranged.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
@@ -150,9 +151,9 @@ def document_blocks(laid: DataFrame) -> DataFrame:
     return some.withColumn("first", lo - F.col("begin")).withColumn("words", hi - lo)
 
 
-def prepared(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source") -> tuple[DataFrame, DataFrame, int]:
+def prepared(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", order: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Sizes and targets, both written so that texts are read once and draws are planned from settled numbers; and how many sources there are."""
-    sizes = stored(sized(docs, text=text, key=key, source=source), "mix-sizes")
+    sizes = stored(sized(docs, text=text, key=key, source=source, order=order), "mix-sizes")
     targets = stored(target_table(sizes.groupBy("skey").agg(F.sum("size").alias("source_size"))), "mix-targets")
     return sizes, targets, targets.count()
 
@@ -171,15 +172,16 @@ def mixture(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source:
     return every.join(_small(targets, sources), "skey").select(F.col("doc_id").alias(key), "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, *, text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
+def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", length: str = "n_chars") -> DataFrame:
     """The mix as documents with the same columns: one row for each of a document's showings (at most ``MAX_EPOCHS``).
 
     A showing holds the words of the document's blocks that the mix takes at least so often, joined by spaces; where it
-    takes all, the text stays as it is. Showings without words are left out. Rows are told apart by their place in the
-    scan, so ids may be null or repeated; ``docs`` should be read from files.
+    takes all, the text stays as it is. Showings without words are left out. Documents are laid out in order of their ids, so
+    reruns make the same mix wherever rows stand in their files. Rows are told apart by their place in the scan, so ids
+    may be null or repeated (of equal ids and sizes the earlier in the scan is first); ``docs`` should be read from files.
     """
     rows = docs.withColumn("mix id", F.monotonically_increasing_id())
-    sizes, targets, _ = prepared(rows, text=text, key="mix id", source=source)
+    sizes, targets, _ = prepared(rows, text=text, key="mix id", source=source, order=key)
     laid = layout(sizes)
     shown = document_blocks(laid).join(block_uses(targets), ["skey", "block"])
     shown = shown.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))

@@ -263,3 +263,12 @@ def test_pipeline_stages(spark):
     awkward_docs = corpus_pipeline.stored(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars"), "test-awkward")
     kept = neardup.without_near_duplicates(awkward_docs)
     assert kept.count() == awkward_docs.count() - 3  # a copy, a near copy and a repeated row go
+
+
+def test_mix_does_not_depend_on_where_rows_stand(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = []
+    for k, shuffled in enumerate((docs.repartition(3, "text"), docs.orderBy(docs.n_chars.desc()).coalesce(2))):
+        shuffled.write.parquet(str(tmp_path / str(k)))
+        got.append(plain(map(tuple, mixing.mixed(spark.read.parquet(str(tmp_path / str(k)))).collect())))
+    assert got[0] == got[1] and len(got[0]) > docs.count()
