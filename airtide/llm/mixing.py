@@ -40,6 +40,12 @@ CELLS = 4096
 #: A side with at most so many rows, counted first, is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
 
+#: Shards whose counts are added up together before sums run over a source.
+SHARD_RANGE = 1024
+#: Slots that a task makes, and the most tasks.
+TASK_SLOTS = 1 << 17
+TASKS = 20_000
+
 # Three primes near 10**7.
 STEPS = (9_999_991, 9_999_973, 9_999_971)
 
@@ -86,14 +92,20 @@ def sized(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
     )
 
 
+def _running(rows: DataFrame, part: str, order: list[Column], count: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``count`` over the rows before each in its source: within ``part``, whose order is that of its rows, and over the parts before."""
+    inner = W.partitionBy("skey", part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    outer = W.partitionBy("skey").orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("skey", part).agg(F.sum(count).alias("n of part")).select("skey", part, F.coalesce(F.sum("n of part").over(outer), F.lit(0)).alias("before"))
+    placed = rows.withColumn("inside", F.coalesce(F.sum(count).over(inner), F.lit(0)))
+    return placed.join(starts, ["skey", part]).withColumn(name, F.col("before") + F.col("inside")).drop(part, "before", "inside")
+
+
 def layout(sizes: DataFrame) -> DataFrame:
     """Each document with ``begin``, the number of words of its source before it."""
     ranged = sizes.withColumn("part", F.coalesce(F.floor(F.col("place") / RANGE), F.lit(-1)).cast("long"))
-    inner = W.partitionBy("skey", "part").orderBy(F.col("place").asc_nulls_first(), "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    outer = W.partitionBy("skey").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranged.groupBy("skey", "part").agg(F.sum("size").alias("n")).select("skey", "part", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("before"))
-    placed = ranged.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    return placed.join(starts, ["skey", "part"]).select("doc_id", "skey", "size", (F.col("before") + F.col("inside")).alias("begin"))
+    order = [F.col("place").asc_nulls_first(), F.col("size"), F.col("doc_id")]
+    return _running(ranged, "part", order, "size", "begin").select("doc_id", "skey", "size", "begin")
 
 
 def _bits(name: Column, digits: int) -> Column:
@@ -123,16 +135,19 @@ def slots(targets: DataFrame) -> DataFrame:
     line = plan.withColumn("hi", F.sum("wanted").over(W.orderBy("skey"))).withColumn("lo", F.col("hi") - F.col("wanted")).where("wanted > 0")
     cells = line.select("skey", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))).alias("cell"))
     value = F.pmod(_bits(F.concat(F.lit(f"{SEED}:"), F.col("id").cast("string")), 12), F.lit(max(1, total)))
-    drawn = spark.range(total).select(F.expr(f"id div {SHARD}").alias("shard"), value.alias("v")).withColumn("cell", F.expr(f"v div {width}"))
+    tasks = max(1, min(TASKS, -(-total // TASK_SLOTS)))
+    drawn = spark.range(0, total, 1, tasks).select(F.expr(f"id div {SHARD}").alias("shard"), value.alias("v")).withColumn("cell", F.expr(f"v div {width}"))
     found = drawn.join(_small(cells, CELLS + sources), "cell").where("v >= lo and v < hi")
     counts = found.groupBy("skey", "shard").agg(F.count("*").alias("n"))
     # A last shard for each source makes up for what the draws left out; slots beyond the target fall away.
     topup = plan.select("skey", F.lit(total // SHARD + 1).cast("long").alias("shard"), F.col("wanted").alias("n"))
-    run = W.partitionBy("skey").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.unionByName(topup).withColumn("from", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    every = stored(counts.unionByName(topup), "mix-counts").withColumn("part", F.expr(f"shard div {SHARD_RANGE}"))
+    ranked = _running(every, "part", [F.col("shard")], "n", "from")
     named = ranked.join(_small(plan, sources), "skey").where("`from` < wanted")
     upto = F.least(F.col("from") + F.col("n"), F.col("wanted")) - 1
-    return named.select("skey", "shard", "blocks", F.explode(F.sequence(F.col("from"), upto)).alias("j")).select(
+    # A row stands for thousands of slots, so rows are dealt out by the number of slots, not by their own small size.
+    spread = named.repartition(tasks, "skey", "shard")
+    return spread.select("skey", "shard", "blocks", F.explode(F.sequence(F.col("from"), upto)).alias("j")).select(
         "skey", "shard", _permuted(F.col("j"), F.col("blocks"), F.col("skey")).alias("block")
     )
 
