@@ -250,6 +250,16 @@ def test_mixture_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 40 + 0.02 * target[s] for s in taken)
 
 
+def test_mixture_over_many_groups_of_shards(spark, monkeypatch):
+    """Small settings make many shards, groups of shards and tasks; the rows stay those of the SQL."""
+    monkeypatch.setattr(mixing, "SHARD", 16)
+    monkeypatch.setattr(mixing, "SHARD_RANGE", 2)
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 256)
+    monkeypatch.setattr(mixing, "RANGE", 8)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    against_sql(mixing.mixture(docs), mixing.mixture_sql(), documents=docs.toPandas())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
