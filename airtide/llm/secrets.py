@@ -167,8 +167,6 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 data = base64.b64decode(body + "=" * (-len(body) % 4))
             except (binascii.Error, ValueError):
                 continue
-            if not shift and data[:2] != b"\x1f\x8b" and not data[:1].isascii():
-                continue
             if (got := _as_text(data)) is None:
                 continue
             text, packed = got

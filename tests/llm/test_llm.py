@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -189,6 +190,15 @@ def test_secret_layers():
     assert secrets.find("AKIA" + "A" * 14 + " PASSWORD='abcdefghijkl' " + "0f" * 8)[0] == [("access", 0, 18), ("assign", 19, 41), ("hex", 43, 59)]
 
 
+def test_secret_layers_that_begin_with_a_non_ascii_byte():
+    secret = "password=abcdefghijkl1234"
+    for data in ("¿Cuál? " + secret).encode(), ("Ünlü " + secret).encode(), ("Ключ " + secret).encode(), lzma.compress(secret.encode()):
+        text = f"é see {base64.b64encode(data).decode()} end"
+        base, every = secrets.find(text)
+        assert not base and {s[0] for s in every} == {"assign"}, data
+        assert secret not in secrets.redacted(text) and "REDACTED" in secrets.redacted(text)
+
+
 def test_packing_round_trip(spark):
     docs = awkward(spark)
     from tokenizers import Tokenizer
