@@ -4,6 +4,9 @@ Every text is scanned as it stands (the base spans). Then a worklist unwraps lay
 base64 runs and compressed payloads. Each decoded layer is scanned with the same rules and put on the worklist in turn,
 until nothing new decodes; a layer whose text was seen before is not visited again, which also ends cycles. Every layer
 keeps, for each of its characters, the span of original code points it came from, so finds map to the original text.
+Bytes are read leniently: what is no UTF-8 and what is not printable stays in the layer and ends matches, the readable
+stretches around it are scanned. Layers with zero bytes are read as UTF-16 and UTF-32 too. Base64 is tried from each of
+the first four characters of a run, by line and over line breaks; compressed payloads may begin anywhere in it.
 
 Defined results: null and empty texts have no spans. Repeated rows give equal rows, null ids pass through, an empty
 table gives no rows. Spans are code points with an exclusive end, ordered by start, then kind as in ``KINDS``, then end.
@@ -29,6 +32,8 @@ from .common import map_texts, small_batches
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 16 << 20
+#: Every rule and every deeper layer needs so many printable ASCII characters in a row.
+LEAST = 12
 
 _WORDS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -38,6 +43,12 @@ _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so the length can be as
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_GAP = r"[ \t]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*+"  # a line break, also a written one as in JSON
+_BREAK = re.compile(_GAP)
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_GAP}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_ASCII = re.compile(rb"[\x20-\x7e]{%d}" % LEAST)
+_OTHER_SURROGATES = re.compile("[\ud800-\udc7f\udd00-\udfff]")  # those that stand for no byte
 
 Span = tuple[str, int, int]
 
@@ -66,10 +77,10 @@ def joined(spans: list[Span]) -> str:
 class Layer:
     """A decoded text and, for each of its characters, where in the original it came from."""
 
-    __slots__ = ("begin", "end", "text")
+    __slots__ = ("begin", "end", "text", "wide")
 
-    def __init__(self, text: str, begin: np.ndarray, end: np.ndarray) -> None:
-        self.text, self.begin, self.end = text, begin, end
+    def __init__(self, text: str, begin: np.ndarray, end: np.ndarray, wide: bool = False) -> None:
+        self.text, self.begin, self.end, self.wide = text, begin, end, wide
 
     def original(self, a: int, b: int) -> tuple[int, int]:
         return int(self.begin[a:b].min()), int(self.end[a:b].max())
@@ -99,21 +110,38 @@ def _inflated(data: bytes) -> bytes | None:
     return None
 
 
-def _as_text(data: bytes) -> tuple[str, bool] | None:
-    """(text, whether it was compressed), or None if the bytes are no readable text."""
-    packed = False
-    for _ in range(8):  # compressed in compressed
-        more = _inflated(data)
-        if more is None:
-            break
-        data, packed = more, True
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or not all(c.isprintable() or c in "\t\r\n\f\v" for c in text):
-        return None
-    return text, packed
+def _unpacked(data: bytes, depth: int = 8) -> Iterator[tuple[int, bytes]]:
+    """(where it begins, content) of every compressed payload in the bytes, also of payloads in one another."""
+    for m in _MAGIC.finditer(data):
+        if inner := _inflated(data[m.start() :]):
+            yield m.start(), inner
+            if depth > 1:
+                yield from ((m.start(), deeper) for _, deeper in _unpacked(inner, depth - 1))
+
+
+def _read(data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+    """(text, first byte, end byte of each character); a byte that is no UTF-8 becomes a character of its own that no rule matches."""
+    text = data.decode("utf-8", "surrogateescape")
+    widths = _widths(text)
+    stop = np.cumsum(widths)
+    return text, stop - widths, stop
+
+
+def _widths(text: str) -> np.ndarray:
+    """How many bytes each character of a text from ``_read`` came from."""
+    if text.isascii():
+        return np.ones(len(text), dtype=np.int64)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    widths = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    widths[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+    return widths
+
+
+def _all_of(layer: Layer, a: int, b: int, data: bytes) -> Layer:
+    """What was unpacked from [a, b) of a layer; every character maps to the whole of it."""
+    text = data.decode("utf-8", "surrogateescape")
+    lo, hi = layer.original(a, b)
+    return Layer(text, np.broadcast_to(np.int64(lo), len(text)), np.broadcast_to(np.int64(hi), len(text)))
 
 
 def _replaced(layer: Layer, edits: list[tuple[int, int, str]]) -> Layer:
@@ -135,12 +163,15 @@ def _percent(layer: Layer) -> Iterator[Layer]:
     edits = []
     for m in _PERCENT.finditer(layer.text):
         data = bytes.fromhex(m.group().replace("%", ""))
-        if (got := _as_text(data)) is None:
-            continue
-        if got[1] or not data.isascii():
-            edits.append((m.start(), m.end(), got[0]))
-        else:  # one character for each escape keeps the spans narrow
-            edits += [(m.start() + 3 * k, m.start() + 3 * k + 3, chr(c)) for k, c in enumerate(data)]
+        whole = None
+        for at, inner in _unpacked(data):
+            yield _all_of(layer, m.start() + 3 * at, m.end(), inner)
+            whole = whole if at else inner
+        if whole is not None:
+            edits.append((m.start(), m.end(), whole.decode("utf-8", "surrogateescape")))
+        else:  # an edit for each character keeps the spans narrow
+            text, first, stop = _read(data)
+            edits += [(m.start() + 3 * i, m.start() + 3 * j, c) for c, i, j in zip(text, first.tolist(), stop.tolist())]
     if edits:
         yield _replaced(layer, edits)
 
@@ -155,9 +186,24 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield _replaced(layer, edits)
 
 
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """(base64 run, place of each character, end with padding): those within a line, and those that go on over line breaks."""
+    for m in _BASE64.finditer(text):
+        run = m.group().rstrip("=")
+        yield run, np.arange(m.start(), m.start() + len(run)), m.end()
+    for m in _WRAPPED.finditer(text):
+        lines, at = [], m.start()
+        for gap in _BREAK.finditer(text, m.start(), m.end()):
+            lines.append((at, gap.start()))
+            at = gap.end()
+        lines.append((at, at + len(text[at : m.end()].rstrip("="))))
+        if max(b - a for a, b in lines) >= 16:
+            yield "".join(text[a:b] for a, b in lines), np.concatenate([np.arange(a, b) for a, b in lines]), m.end()
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+    for run, place, end in _runs(layer.text):
+        run = run.replace("-", "+").replace("_", "/")
         for shift in range(4):  # the run may begin with foreign characters
             body = run[shift:]
             body = body[: len(body) - (len(body) % 4 == 1)]
@@ -167,20 +213,33 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 data = base64.b64decode(body + "=" * (-len(body) % 4))
             except (binascii.Error, ValueError):
                 continue
-            if (got := _as_text(data)) is None:
+            for at, inner in _unpacked(data):
+                yield _all_of(layer, int(place[shift + at // 3 * 4]), end, inner)
+            if b"\0" not in data and not _ASCII.search(data):
+                continue
+            text, first, stop = _read(data)
+            a = place[shift + first // 3 * 4]
+            b = place[np.minimum(shift + -(-stop // 3) * 4, shift + len(body)) - 1]
+            yield Layer(text, layer.begin[a], layer.end[b])
+
+
+def _wide(layer: Layer) -> Iterator[Layer]:
+    """A decoded layer with zero bytes read as UTF-16 and UTF-32 of either byte order, at every alignment."""
+    if "\0" not in layer.text or layer.wide:
+        return
+    data = _OTHER_SURROGATES.sub("\ufffd", layer.text).encode("utf-8", "surrogateescape")
+    char = np.repeat(np.arange(len(layer.text)), _widths(_OTHER_SURROGATES.sub("\ufffd", layer.text)))
+    for kind, size in (("<u2", 2), (">u2", 2), ("<u4", 4), (">u4", 4)):
+        for skip in range(size):
+            n = (len(data) - skip) // size
+            if n < 16:  # no rule matches less
+                continue
+            code = np.frombuffer(data, dtype=kind, count=n, offset=skip).astype("<u4")
+            if ((code >= 0x20) & (code < 0x7F)).tobytes().find(b"\1" * LEAST) < 0:
                 continue
-            text, packed = got
-            first = m.start() + shift
-            if packed:
-                lo, hi = layer.original(m.start(), m.end())
-                yield Layer(text, np.full(len(text), lo, dtype=np.int64), np.full(len(text), hi, dtype=np.int64))
-            else:
-                widths = np.array([len(c.encode()) for c in text])
-                stop = np.cumsum(widths)
-                a = first + (stop - widths) // 3 * 4
-                b = np.minimum(first + -(-stop // 3) * 4, first + len(body))
-                yield Layer(text, layer.begin[a], layer.end[b - 1])
-            break
+            code[(code > 0x10FFFF) | ((code >= 0xD800) & (code < 0xE000))] = 0xFFFD
+            first = skip + size * np.arange(n)
+            yield Layer(code.tobytes().decode("utf-32-le"), layer.begin[char[first]], layer.end[char[first + size - 1]], wide=True)
 
 
 def _may_decode(text: str) -> bool:
@@ -200,7 +259,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     work = [Layer(text, place, place + 1)]
     while work:
         layer = work.pop()
-        for unwrap in (_percent, _unicode, _base64):
+        for unwrap in (_percent, _unicode, _base64) if layer.text is text else (_percent, _unicode, _base64, _wide):
             for inner in unwrap(layer):
                 mark = hashlib.sha1(inner.text.encode("utf-8", "surrogatepass")).digest() + inner.begin[:1].tobytes()
                 if mark in seen or mark[:20] in seen or not len(inner.text):

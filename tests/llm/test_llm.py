@@ -199,6 +199,33 @@ def test_secret_layers_that_begin_with_a_non_ascii_byte():
         assert secret not in secrets.redacted(text) and "REDACTED" in secrets.redacted(text)
 
 
+def encoded(data):
+    return base64.b64encode(data).decode()
+
+
+def test_secret_layers_that_are_not_all_readable():
+    secret = "password=abcdefghijkl1234"
+    long = f"{'lorem ipsum ' * 3}{secret} {'dolor ' * 9}".encode()
+    wrapped = base64.encodebytes(long).decode().rstrip()  # the secret lies over the first break
+    packed = base64.encodebytes(zlib.compress(random.Random(2).randbytes(200) + secret.encode())).decode().rstrip()
+    layers = [*(encoded(f"{c}note {secret}{c}".encode()) for c in ("\0", "\x1b", "\ufeff", "\u200b", "\xa0")), encoded(b"\xff\xfe\x80 " + secret.encode() + b" \xe9"),
+              *(encoded(secret.encode(k)) for k in ("utf-16", "utf-16-le", "utf-16-be", "utf-32")), "//host/x/yz/" + encoded(secret.encode()), "//host/xyz/" + encoded(gzip.compress(secret.encode())),
+              urllib.parse.quote("a\0" + secret, safe=""), "%00%FF" + "".join(f"%{c:02x}" for c in secret.encode()), urllib.parse.quote(secret.encode("utf-16-le")),
+              wrapped, wrapped.replace("\n", "\r\n  "), wrapped.replace("\n", "\\n"), packed]
+    missed = []
+    for layer in layers:
+        text = f"é see {layer} end"
+        base, every = secrets.find(text)
+        assert all(6 <= a < b <= 6 + len(layer) for _, a, b in every)
+        if base or "assign" not in [s[0] for s in every]:
+            missed.append(layer)
+    assert not missed, f"{len(missed)} of {len(layers)}"
+    # The span over a line break is the whole secret's, to the four characters that hold each three bytes.
+    kind, a, b = max(secrets.find(wrapped)[1], key=lambda s: s[2] - s[1])
+    assert secret.encode() in base64.b64decode(wrapped[a:b]) and len(base64.b64decode(wrapped[a:b])) <= len(secret) + 4
+    assert secrets.find("%41%00" + secret)[1] == [("assign", 6, 6 + len(secret))]
+
+
 def test_packing_round_trip(spark):
     docs = awkward(spark)
     from tokenizers import Tokenizer
