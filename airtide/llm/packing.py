@@ -64,7 +64,9 @@ class Encoder:
             return np.array([END], dtype="<u4")
         try:
             ids = self._fast.encode_ordinary(text)
-        except Exception:  # its regular expressions give up on some very long runs
+        except (KeyboardInterrupt, SystemExit, GeneratorExit):
+            raise
+        except BaseException:  # its regular expressions give up on some very long runs, by a panic that is no Exception
             ids = self.slow(text)
         return np.array([*ids, END], dtype="<u4")
 

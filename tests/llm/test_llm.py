@@ -250,6 +250,18 @@ def test_packing_round_trip(spark):
         assert at == 2048 or at & (at - 1) == 0
 
 
+def test_packing_of_runs_that_tiktoken_refuses(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" + c * 1_000_000 + "b" for c in (" ", "\n")]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ids=True).collect()
+    for k, text in enumerate(texts):
+        assert sum((r.ids for r in sorted(rows, key=lambda r: r.start) if r.doc_id == k), []) == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>" + "x" * 1200 + "é"
     pages = spark.createDataFrame([(1, "http://a", body), (2, "http://b", body), (3, None, None), (4, "http://d", "short"), (5, "http://e", "short")], "page_id long, url string, html string")
