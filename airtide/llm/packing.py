@@ -7,8 +7,8 @@ fit there whole is cut, the rest is placed the same way. Documents longer than a
 What is left over at the end of a window becomes sequences whose lengths are powers of two, which need no padding.
 
 Ids are those of the byte-level BPE in the tokenizers library; they are made by a faster implementation of the same
-merges and vocabulary (``tests/llm`` compares both), the library itself taking texts that this one refuses. A special
-token's string in a text is ordinary text. Each document ends with id 1.
+merges and vocabulary (``tests/llm`` compares both), the library itself taking texts that this one refuses. Texts are
+split at the file's added tokens, which get their own ids as the library gives them. Each document ends with id 1.
 
 Defined results: null and empty texts are the single id 1. Repeated rows are packed as separate documents, null ids
 pass through, an empty table gives no rows. Sequence ids are unique and depend only on the partition and its order.
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,20 +52,37 @@ class Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self._fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._slow = None
+        with open(self._json, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if odd := [t["content"] for t in added if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]:
+            raise ValueError(f"added tokens that are not matched as they stand: {odd}")
+        self._added = {t["content"]: t["id"] for t in added}
+        # Longest first: of tokens that begin at the same place the library takes the longest.
+        self._split = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True)))) if added else None
 
     def slow(self, text: str) -> list[int]:
         if self._slow is None:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self._json)
-            self._slow.encode_special_tokens = True
         return self._slow.encode(text, add_special_tokens=False).ids
 
+    def fast(self, text: str) -> list[int]:
+        if self._split is None:
+            return self._fast.encode_ordinary(text)
+        ids: list[int] = []
+        at = 0
+        for m in self._split.finditer(text):
+            ids += self._fast.encode_ordinary(text[at : m.start()])
+            ids.append(self._added[m.group()])
+            at = m.end()
+        return ids + self._fast.encode_ordinary(text[at:]) if at else self._fast.encode_ordinary(text)
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.array([END], dtype="<u4")
         try:
-            ids = self._fast.encode_ordinary(text)
+            ids = self.fast(text)
         except (KeyboardInterrupt, SystemExit, GeneratorExit):
             raise
         except BaseException:  # its regular expressions give up on some very long runs, by a panic that is no Exception

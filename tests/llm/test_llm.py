@@ -262,6 +262,19 @@ def test_packing_of_runs_that_tiktoken_refuses(spark):
         assert sum((r.ids for r in sorted(rows, key=lambda r: r.start) if r.doc_id == k), []) == [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_packing_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.Encoder()
+    e = "<|endoftext|>"
+    for text in (f"x {e} y", e, e + e, f"a{e}", f"{e}\n\n b", f"<|{e}|>", f"don't {e}'t", f"  {e}  é", e[:-1], f"a {e} " + " " * 1_000_000):
+        want = [*t.encode(text, add_special_tokens=False).ids, 1]
+        assert encode(text).tolist() == want and [*encode.slow(text), 1] == want, text[:40]
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>" + "x" * 1200 + "é"
     pages = spark.createDataFrame([(1, "http://a", body), (2, "http://b", body), (3, None, None), (4, "http://d", "short"), (5, "http://e", "short")], "page_id long, url string, html string")
