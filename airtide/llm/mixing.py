@@ -192,10 +192,10 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
 
     A showing holds the words of the document's blocks that the mix takes at least so often, joined by spaces; where it
     takes all, the text stays as it is. Showings without words are left out. Documents are laid out in order of their ids, so
-    reruns make the same mix wherever rows stand in their files. Rows are told apart by their place in the scan, so ids
-    may be null or repeated (of equal ids and sizes the earlier in the scan is first); ``docs`` should be read from files.
+    reruns make the same mix wherever rows stand in their files. Rows are told apart by a number that is written with them
+    once, so ids may be null or repeated (of equal ids and sizes the earlier in the scan is first).
     """
-    rows = docs.withColumn("mix id", F.monotonically_increasing_id())
+    rows = stored(docs.withColumn("mix id", F.monotonically_increasing_id()), "mix-rows")
     sizes, targets, _ = prepared(rows, text=text, key="mix id", source=source, order=key)
     laid = layout(sizes)
     shown = document_blocks(laid).join(block_uses(targets), ["skey", "block"])

@@ -330,9 +330,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text:
 def without_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one of each group of near-duplicates.
 
-    Rows are told apart by their place in the scan, so ids may be null or repeated; ``docs`` should be read from files.
+    Rows are told apart by a number that is written with them once, so ids may be null or repeated.
     """
-    rows = docs.withColumn("near id", F.monotonically_increasing_id())
+    rows = stored(docs.withColumn("near id", F.monotonically_increasing_id()), "near-rows")
     groups = near_duplicates(rows, words=words, percent=percent, text=text, key="near id")
     return rows.join(groups.where("kept").select("near id"), "near id", "left_semi").select(*docs.columns)
 

@@ -207,8 +207,8 @@ class FMIndex:
 
 
 def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, doc_id, text) with a number for each row, the same in every scan of the same files."""
-    return docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    """(id, doc_id, text) with a number for each row, written once: another scan of the same files may be cut and numbered otherwise."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("doc_id"), F.col(text).alias("text")), "sub-rows")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:

@@ -344,3 +344,27 @@ def test_mix_does_not_depend_on_where_rows_stand(spark, tmp_path):
         shuffled.write.parquet(str(tmp_path / str(k)))
         got.append(plain(map(tuple, mixing.mixed(spark.read.parquet(str(tmp_path / str(k)))).collect())))
     assert got[0] == got[1] and len(got[0]) > docs.count()
+
+
+@pytest.mark.parametrize("module, run", [(substrings, substrings.substring_table), (neardup, neardup.without_near_duplicates), (mixing, mixing.mixed)])
+def test_rows_keep_their_numbers_when_scans_are_cut_otherwise(spark, tmp_path, monkeypatch, module, run):
+    """Files are cut anew after each written table, as when an executor is lost or joins."""
+    path, setting = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes"
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(12, "doc_id").write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = plain(map(tuple, run(docs).collect()))
+    first = docs.rdd.getNumPartitions()
+
+    def then_cut_otherwise(df, name, write=module.stored):
+        out = write(df, name)
+        spark.conf.set(setting, "16k")
+        return out
+
+    monkeypatch.setattr(module, "stored", then_cut_otherwise)
+    before = spark.conf.get(setting)
+    try:
+        got = plain(map(tuple, run(docs).collect()))
+        assert spark.read.parquet(path).rdd.getNumPartitions() != first
+    finally:
+        spark.conf.set(setting, before)
+    assert got == want
