@@ -2,13 +2,15 @@
 
 Every task tokenizes its documents and packs them in windows of about ``WINDOW_TOKENS`` tokens, so nothing is shuffled
 and memory is bounded. In a window there are as many sequences as its tokens fill. A document of n tokens costs
-``n + n * n / QUADRATIC``; in descending order each goes to the sequence of lowest cost with tokens left. What does not
-fit there whole is cut, the rest is placed the same way. Documents longer than a sequence fill whole sequences first.
-What is left over at the end of a window becomes sequences whose lengths are powers of two, which need no padding.
+``n + n * n / QUADRATIC``; in descending order each goes to the sequence of lowest cost among all that can hold it whole.
+Where none can, it fills the one of lowest cost and the rest is placed the same way. Documents longer than a sequence
+fill whole sequences first. What is left over at the end of a window becomes sequences whose lengths are powers of two,
+which need no padding.
 
-Ids are those of the byte-level BPE in the tokenizers library; they are made by a faster implementation of the same
-merges and vocabulary (``tests/llm`` compares both), the library itself taking texts that this one refuses. Texts are
-split at the file's added tokens, which get their own ids as the library gives them. Each document ends with id 1.
+Ids are made by the tokenizers library with the given file. A text is handed to it in chunks, cut where its pattern ends
+a piece whatever stands around (before a space between two other characters, and between a letter and a punctuation
+mark), so the ids of the chunks are those of the text and a worker need encode a chunk once only. Added tokens in a text
+get their own ids, as in the library. Each document ends with id 1.
 
 Defined results: null and empty texts are the single id 1. Repeated rows are packed as separate documents, null ids
 pass through, an empty table gives no rows. Sequence ids are unique and depend only on the partition and its order.
@@ -16,9 +18,7 @@ pass through, an empty table gives no rows. Sequence ids are unique and depend o
 
 from __future__ import annotations
 
-import base64
 import heapq
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,54 +40,102 @@ WINDOW_TOKENS = 2 << 20
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
 
 
+#: Chunks whose ids a worker remembers.
+REMEMBERED = 1 << 20
+
+# Python's \S is within that of the library's pattern, so both sides of the space are no white space there either.
+_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[^\W\d_])(?=[.,;:!?)*#%$])")
+
+
 class Encoder:
-    """Text to ids, made once in each worker."""
+    """Texts to ids, made once in each worker. ``cut`` is for files whose pattern is that of byte-level BPE, without a normalizer."""
+
+    def __init__(self, json_path: str | None = None) -> None:
+        import json
+        import os
 
-    def __init__(self, json_path: str | None = None, ranks_path: str | None = None) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers as public
-        import tiktoken
-
-        self._json = json_path or public.path("byte_bpe_50k.json")
-        with open(ranks_path or public.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self._fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._slow = None
-        with open(self._json, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
-        if odd := [t["content"] for t in added if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]:
-            raise ValueError(f"added tokens that are not matched as they stand: {odd}")
-        self._added = {t["content"]: t["id"] for t in added}
-        # Longest first: of tokens that begin at the same place the library takes the longest.
-        self._split = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True)))) if added else None
-
-    def slow(self, text: str) -> list[int]:
-        if self._slow is None:
-            from tokenizers import Tokenizer
-
-            self._slow = Tokenizer.from_file(self._json)
-        return self._slow.encode(text, add_special_tokens=False).ids
-
-    def fast(self, text: str) -> list[int]:
-        if self._split is None:
-            return self._fast.encode_ordinary(text)
-        ids: list[int] = []
-        at = 0
-        for m in self._split.finditer(text):
-            ids += self._fast.encode_ordinary(text[at : m.start()])
-            ids.append(self._added[m.group()])
-            at = m.end()
-        return ids + self._fast.encode_ordinary(text[at:]) if at else self._fast.encode_ordinary(text)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.array([END], dtype="<u4")
-        try:
-            ids = self.fast(text)
-        except (KeyboardInterrupt, SystemExit, GeneratorExit):
-            raise
-        except BaseException:  # its regular expressions give up on some very long runs, by a panic that is no Exception
-            ids = self.slow(text)
-        return np.array([*ids, END], dtype="<u4")
+        from tokenizers import Tokenizer
+
+        path = json_path or public.path("byte_bpe_50k.json")
+        self._library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        steps = file["pre_tokenizer"] or {}
+        plain = steps.get("type") == "ByteLevel" and steps.get("use_regex", True) and not steps.get("add_prefix_space") and not file["normalizer"]
+        self._cut = _CUT if plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or _CUT.search(t["content"]) for t in file["added_tokens"]) else None
+        self._known: dict[str, bytes] = {}
+        line = self._library.encode("\n", add_special_tokens=False).ids
+        self._line = line[0] if len(line) == 1 else None
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers, by the library alone."""
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        plain = [c for c in chunks if "\n" not in c] if self._line is not None else []
+        if plain:
+            # One call for all: a line break between two other characters is always an id of its own.
+            ids = np.frombuffer(self.whole(["\n".join(plain)])[0], dtype="<u4")
+            at = np.flatnonzero(ids == self._line) * 4
+            if len(at) == len(plain) - 1:
+                data = ids.tobytes()
+                self._known.update((c, data[i:j]) for c, i, j in zip(plain, [0, *(at + 4).tolist()], [*at.tolist(), len(data)]))
+        rest = [c for c in chunks if c not in self._known]
+        self._known.update(zip(rest, self.whole(rest)))
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        end = np.array([END], dtype="<u4").tobytes()
+        if self._cut is None:
+            return [np.frombuffer(b + end, dtype="<u4") for b in self.whole([t or "" for t in texts])]
+        cut = [self._cut.split(t) if t else [] for t in texts]
+        new = {c for chunks in cut for c in chunks} - self._known.keys()
+        if len(self._known) + len(new) > REMEMBERED:
+            self._known.clear()
+            new = {c for chunks in cut for c in chunks}
+        if new:
+            self._learn(new)
+        return [np.frombuffer(b"".join(map(self._known.__getitem__, chunks)) + end, dtype="<u4") for chunks in cut]
+
+
+class _Open:
+    """Sequences with tokens left, by what is left; the cheapest of those that hold n tokens in log(capacity) steps."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, capacity: int) -> None:
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
+        self.least = [self.NONE] * (2 * self.size)
+
+    def _up(self, free: int) -> None:
+        node, heap = free + self.size, self.heaps[free]
+        self.least[node] = heap[0] if heap else self.NONE
+        while node > 1:
+            node >>= 1
+            self.least[node] = min(self.least[2 * node], self.least[2 * node + 1])
+
+    def add(self, free: int, cost: float, k: int) -> None:
+        heapq.heappush(self.heaps[free], (cost, k))
+        self._up(free)
+
+    def best(self, n: int) -> tuple[float, int]:
+        lo, hi, found = n + self.size, 2 * self.size, self.NONE
+        while lo < hi:
+            if lo & 1:
+                found = min(found, self.least[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                found = min(found, self.least[hi])
+            lo, hi = lo >> 1, hi >> 1
+        return found
+
+    def take(self, free: int) -> None:
+        """Remove the cheapest sequence with exactly so many tokens left."""
+        heapq.heappop(self.heaps[free])
+        self._up(free)
 
 
 def balanced(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[Piece], int]:
@@ -108,40 +156,34 @@ def balanced(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[Piece],
         sizes.append(1 << (left.bit_length() - 1))
         left -= sizes[-1]
     free = sizes[:]
-    # The heap holds (cost, sequence) of sequences with tokens left; short ones begin as dear as if they were filled up.
-    heap = [((capacity - s) * (1 + (capacity - s) / QUADRATIC), k) for k, s in enumerate(sizes)]
-    heapq.heapify(heap)
+    spare = _Open(capacity)
+    for k, s in enumerate(sizes):  # short ones begin as dear as if they were filled up
+        spare.add(s, (capacity - s) * (1 + (capacity - s) / QUADRATIC), k)
     rest.sort(key=lambda r: (-r[0], r[1]))
     for n, d, start in rest:
         while n:
-            cost, k = heapq.heappop(heap)
-            tried = []
-            while n > free[k] and heap and len(tried) < 8:  # rather a dearer sequence that takes it whole
-                tried.append((cost, k))
-                cost, k = heapq.heappop(heap)
-            if n > free[k] and tried:
-                tried.append((cost, k))
-                cost, k = tried.pop(0)
-            for t in tried:
-                heapq.heappush(heap, t)
-            take = min(n, free[k])
-            pieces.append((d, start, take, used + k, sizes[k] - free[k]))
-            free[k] -= take
+            cost, k = spare.best(n)
+            if k < 0:
+                cost, k = spare.best(1)
+            spare.take(free[k])
+            part = min(n, free[k])
+            pieces.append((d, start, part, used + k, sizes[k] - free[k]))
+            free[k] -= part
             if free[k]:
-                heapq.heappush(heap, (cost + take * (1 + take / QUADRATIC), k))
-            n, start = n - take, start + take
+                spare.add(free[k], cost + part * (1 + part / QUADRATIC), k)
+            n, start = n - part, start + part
     return pieces, used + len(sizes)
 
 
 def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, window: int = WINDOW_TOKENS, ids: bool = False,
-         json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+         json_path: str | None = None) -> DataFrame:
     """A row for each piece: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset), with ``ids`` also the token ids themselves."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     columns = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(json_path, ranks_path)
+        encode = Encoder(json_path)
         first = TaskContext.get().partitionId() << 40
         keys: list[pa.Array] = []
         tokens: list[np.ndarray] = []
@@ -165,9 +207,9 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", capacity:
 
         for batch in batches:
             keys.append(batch.column(0))
-            for t in batch.column(1):
-                tokens.append(encode(t.as_py()))
-                held += len(tokens[-1])
+            made = encode(batch.column(1).to_pylist())
+            tokens += made
+            held += sum(map(len, made))
             if held >= window:
                 yield packed()
                 keys, tokens, held = [], [], 0

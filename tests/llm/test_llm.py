@@ -250,29 +250,54 @@ def test_packing_round_trip(spark):
         assert at == 2048 or at & (at - 1) == 0
 
 
-def test_packing_of_runs_that_tiktoken_refuses(spark):
+def library():
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a" + c * 1_000_000 + "b" for c in (" ", "\n")]
-    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ids=True).collect()
-    for k, text in enumerate(texts):
-        assert sum((r.ids for r in sorted(rows, key=lambda r: r.start) if r.doc_id == k), []) == [*t.encode(text, add_special_tokens=False).ids, 1]
-
-
-def test_packing_of_added_tokens():
-    from tokenizers import Tokenizer
-
-    import public_tokenizers
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.Encoder()
-    e = "<|endoftext|>"
-    for text in (f"x {e} y", e, e + e, f"a{e}", f"{e}\n\n b", f"<|{e}|>", f"don't {e}'t", f"  {e}  é", e[:-1], f"a {e} " + " " * 1_000_000):
-        want = [*t.encode(text, add_special_tokens=False).ids, 1]
-        assert encode(text).tolist() == want and [*encode.slow(text), 1] == want, text[:40]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packing_ids_are_the_librarys():
+    """Every document of sf0.01, texts with added tokens, very long runs, and random characters of all kinds."""
+    import pyarrow.parquet as pq
+
+    t, encode, rng, e = library(), packing.Encoder(), random.Random(6), "<|endoftext|>"
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts += [f"x {e} y", e, e + e, f"a{e}", f"{e}\n\n b", f"<|{e}|>", f"don't {e}'t", f"  {e}  é", e[:-1], f"a {e} " + " " * 100_000, "a" + "\n" * 100_000 + "b", "a" + " " * 100_000 + "b"]
+    kinds = "ab'stre .,!?)#  \n\n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u3000\u200b0١²Ⅷé\u0301字😀_-%$*|<>&"
+    texts += ["".join(rng.choice(kinds) for _ in range(rng.randrange(1, 60))) for _ in range(20_000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x3000), 32, 10])) for _ in range(40)) for _ in range(3_000)]
+    assert encode._cut is not None
+    for k in range(0, len(texts), 512):
+        part = texts[k : k + 512]
+        want = t.encode_batch([x or "" for x in part], add_special_tokens=False)
+        for x, ids, w in zip(part, encode(part), want):
+            assert ids.tolist() == [*w.ids, 1], (x or "")[:80]
+
+
+def test_packing_finds_the_cheapest_sequence_that_holds_all():
+    rng = random.Random(4)
+    for capacity, lengths in ((64, [rng.randrange(1, 64) for _ in range(200)]), (64, [1] * 64), (2048, [rng.randrange(1, 300) for _ in range(300)]), (64, [200, 64, 65])):
+        pieces, n = packing.balanced(lengths, capacity)
+        free: dict[int, int] = {}
+        for k in range(n):
+            free[k] = sum(p[2] for p in pieces if p[3] == k)
+        whole = sum(x // capacity for x in lengths)
+        sizes, used, cost = dict(free), dict.fromkeys(free, 0), {}
+        for k in range(whole, n):
+            cost[k] = (capacity - sizes[k]) * (1 + (capacity - sizes[k]) / packing.QUADRATIC)
+        need: dict[int, int] = {}
+        for d, start, length, k, at in pieces:
+            if k < whole:
+                continue
+            left = need.get(d, lengths[d] % capacity)
+            room = [j for j in cost if sizes[j] - used[j] >= left] or [j for j in cost if sizes[j] - used[j] >= 1]
+            assert k == min(room, key=lambda j: (cost[j], j)) and at == used[k]
+            need[d] = left - length
+            used[k] += length
+            cost[k] += length * (1 + length / packing.QUADRATIC)
+        assert all(used[k] == sizes[k] for k in cost) and all(s == capacity or s & (s - 1) == 0 for s in sizes.values())
 
 
 def test_warc_round_trip(spark, tmp_path):
