@@ -49,6 +49,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that a join by ``join_spread`` may broadcast.
+HOT_KEYS = 10_000
+
+
+def join_spread(big: DataFrame, small: DataFrame, on: list[str], count: str, *, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has a row for each key and in ``count`` how many rows of ``big`` have it.
+
+    Keys with more than 1 / HOT_KEYS of these rows, of which there are fewer than HOT_KEYS, are broadcast, so that rows of
+    a hot key stay where they are; all others are joined by shuffle. Both sides are read twice, so they should be stored.
+    """
+    total = small.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) > max(1, total // HOT_KEYS)
+    rest = [c for c in small.columns if c not in on]
+    tagged = big.join(F.broadcast(small.where(hot).select(*on, F.struct(*rest).alias("hot key"))), on, "left")
+    near = tagged.where("`hot key` is not null").select(*on, *[c for c in big.columns if c not in on], *[F.col("hot key")[c].alias(c) for c in rest])
+    return near.unionByName(tagged.where("`hot key` is null").drop("hot key").join(small.where(~hot), on, how))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the Arrow batches that go to Python workers: long texts otherwise make batches of gigabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

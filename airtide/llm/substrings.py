@@ -1,21 +1,23 @@
 """Exact substring deduplication with compressed FM-indexes.
 
 Windows of ``WINDOW`` words that start at two places or more, anywhere in the corpus, are found and the words that they
-cover are removed. Comparing every document with an index of every shard would cost the square of the corpus, so windows
-are routed first:
+cover are removed. Comparing every document with an index of every shard would cost the square of the corpus, so what a
+document compares with which shard is routed first:
 
 1. The minimizer of a window is the smallest hash among its ``GRAM``-word grams. Consecutive windows with one minimizer
    make a piece of at most ``WINDOW - GRAM + 1`` windows. Equal windows have equal minimizers, so windows whose minimizer
-   occurs once are unique and go no further. Pieces with equal contents are repeated as a whole.
-2. Distinct contents that share a minimizer are gathered in shards. Each shard builds an FM-index (suffix array by prefix
-   doubling, Burrows-Wheeler transform in a wavelet matrix of packed bits with rank counts) over its pieces and streams
-   them through backward search. That gives matching statistics, the longest match of each position that occurs twice,
-   and the intervals of ``WINDOW`` words and more are reported.
-3. Shards hold about ``SHARD_WORDS`` words. A minimizer with more than ``MAX_CONTENTS`` contents, as a passage has that very
-   many documents quote, would make a shard of its own size; its windows are counted by their hash instead, which spreads.
-4. Reported intervals are put back on all copies of their contents and removed from the texts.
-
-Words and contents are compared by 64-bit hashes, contents within one minimizer only.
+   occurs once are unique and go no further; all other pieces go to the shard of their minimizer. Of equal pieces one
+   goes, with their number.
+2. A minimizer with more than ``MAX_CONTENTS`` different pieces, as a passage has that very many documents quote, would
+   make a shard of its own size. Its pieces are routed window by window, to the shard of the window's hash.
+3. Each shard, of about ``SHARD_WORDS`` words, builds an FM-index: the Burrows-Wheeler transform in a wavelet matrix of
+   packed bits with rank counts, and running sums of how often each suffix occurs. Suffix arrays, ranks and texts of the
+   construction are dropped. The pieces stream through it by backward search, which gives matching statistics: how far
+   to the left of a place the longest match goes that occurs twice. Intervals of ``WINDOW`` words or more are reported.
+4. Reported intervals are put back on all copies of their pieces and removed from the texts.
+
+Words and pieces are compared by 64-bit hashes, pieces within one minimizer only. Joins on minimizers and pieces keep the
+rows of hot keys where they are.
 
 Defined results: null and empty texts have no words. Texts of fewer than ``WINDOW`` words lose none. Repeated rows are
 documents of their own and repeat each other; null ids pass through. An empty table gives no rows.
@@ -31,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import join_spread, small_batches, stored
 from .neardup import _asked, _Words
 
 WINDOW = 35
 GRAM = 8
 SHARD_WORDS = 300_000
+#: Different pieces of a minimizer that go to one shard; those of a minimizer with more go window by window.
 MAX_CONTENTS = 4_000
 #: Above the longest piece; suffixes are sorted to this depth.
 DEPTH = 64
@@ -104,62 +107,44 @@ class Bits:
 
 
 class FMIndex:
-    """FM-index of pieces of words. Symbol 0 ends a piece; ends sort by place, so no match runs over one."""
+    """FM-index of texts of words, each with the number of its copies. Symbol 0 ends a text; ends sort by place, so no match runs over one."""
 
-    def __init__(self, texts: list[np.ndarray]) -> None:
+    def __init__(self, texts: list[np.ndarray], copies: np.ndarray | None = None) -> None:
         lengths = np.array([len(t) for t in texts])
-        self.stops = np.cumsum(lengths + 1) - 1  # where each text's end symbol stands
-        self.starts = self.stops - lengths
-        joined = np.concatenate(texts)
-        _, codes = np.unique(joined, return_inverse=True)
-        n = len(joined) + len(texts)
-        self.text = np.zeros(n, dtype=np.int64)
+        stops = np.cumsum(lengths + 1) - 1  # where each text's end symbol stands
+        self.words, codes = np.unique(np.concatenate(texts), return_inverse=True)
+        n = len(codes) + len(texts)
+        text = np.zeros(n, dtype=np.int64)
         inside = np.ones(n, dtype=bool)
-        inside[self.stops] = False
-        self.text[inside] = codes + 1
-        # Prefix doubling; ends are all different.
-        rank = self.text + len(texts)
-        rank[self.stops] = np.arange(len(texts))
-        self.ranks = [rank]
+        inside[stops] = False
+        text[inside] = codes + 1
+        # Suffixes by prefix doubling; ends are all different.
+        rank = text + len(texts)
+        rank[stops] = np.arange(len(texts))
         depth = 1
-        while depth < DEPTH:
+        while True:
             key = rank * np.int64(2 * n + 2)
             key[: n - depth] += rank[depth:] + 1
             order = np.argsort(key, kind="stable")
             step = np.append(0, (key[order][1:] != key[order][:-1]).astype(np.int64))
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(step)
-            self.ranks.append(rank)
             depth *= 2
-            if rank[order[-1]] == n - 1:
+            if depth >= DEPTH or rank[order[-1]] == n - 1:
                 break
-        self.suffixes = order
-        self.row = np.empty(n, dtype=np.int64)
-        self.row[order] = np.arange(n)
-        last = self.text[order - 1]  # the Burrows-Wheeler transform
-        self.first = np.append(0, np.cumsum(np.bincount(self.text)))
+        # More than one is all that is asked, so copies count as two.
+        each = np.minimum(np.ones(len(texts), dtype=np.int64) if copies is None else copies, 2)
+        self.sums = np.append(0, np.cumsum(each[np.searchsorted(stops, order)])).astype(np.int32 if n < 1 << 30 else np.int64)
+        self.size = n
+        now = text[order - 1]  # the Burrows-Wheeler transform
+        self.first = np.append(0, np.cumsum(np.bincount(text)))
         self.levels: list[Bits] = []
-        self.height = max(1, int(self.text.max()).bit_length())
-        now = last
+        self.height = max(1, int(text.max()).bit_length())
         for level in range(self.height - 1, -1, -1):
             bit = (now >> level & 1).astype(bool)
             self.levels.append(Bits(bit))
             now = np.concatenate([now[~bit], now[bit]])
         self.zero = self._down(np.arange(len(self.first) - 1), np.zeros(len(self.first) - 1, dtype=np.int64))
-        self.common = self._common()
-
-    def _common(self) -> np.ndarray:
-        """Length of the common prefix of each suffix with the one before it, up to ``DEPTH``; one more entry, 0, at the end."""
-        a, b, n = self.suffixes[:-1].copy(), self.suffixes[1:].copy(), len(self.text)
-        out = np.zeros(n + 1, dtype=np.int64)
-        for k in range(len(self.ranks) - 1, -1, -1):
-            rank = self.ranks[k]
-            same = (a < n) & (b < n)
-            same[same] = rank[a[same]] == rank[b[same]]
-            a[same] += 1 << k
-            b[same] += 1 << k
-        out[1:n] = b - self.suffixes[1:]
-        return out
 
     def _down(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, bits in enumerate(self.levels):
@@ -167,43 +152,63 @@ class FMIndex:
             at = np.where(c >> (self.height - 1 - k) & 1, bits.zeros + one, at - one)
         return at
 
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Symbols of words, 0 for those that the index does not hold."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at + 1, 0)
+
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes that begin with c and go on as those in [lo, hi)."""
         base = self.first[c] - self.zero[c]
         return base + self._down(c, lo), base + self._down(c, hi)
 
-    def repeated(self, least: int) -> list[tuple[int, int, int]]:
-        """(text, start, stop) of the maximal matches of at least ``least`` words that occur twice or more.
+    def reach(self, codes: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """For each stop the smallest start, not before begin, such that codes[start:stop] occurs more than once. All go on in step."""
+        at = stop.copy()
+        on = np.arange(len(at))
+        lo, hi = np.zeros(len(at), dtype=np.int64), np.full(len(at), self.size)
+        while len(on):
+            inside = at[on] > begin[on]
+            on, lo, hi = on[inside], lo[inside], hi[inside]
+            c = codes[at[on] - 1]
+            known = c > 0
+            on, lo, hi, c = on[known], lo[known], hi[known], c[known]
+            lo, hi = self.extend(c, lo, hi)
+            again = self.sums[hi] - self.sums[lo] > 1
+            on, lo, hi = on[again], lo[again], hi[again]
+            at[on] -= 1
+        return at
+
+    def repeated(self, texts: list[np.ndarray], least: int) -> list[tuple[int, int, int]]:
+        """(text, start, stop) of matches of at least ``least`` words that occur more than once; together they hold every such window.
 
-        All texts go through backward search in step. Where one cannot go on, the longest prefix of the longer pattern
-        that occurs twice follows from its only row and the common prefixes beside it; search begins anew from its end.
-        Ends never grow to the left, so a text is done once less than ``least`` words remain.
+        A text is searched from its end first. Where the match does not go back to its begin, windows are tried from the
+        left: if the search of one fails at a word, no window with that word and the window's last one occurs twice, so
+        the next to try is the first that begins after that word.
         """
-        n = len(self.text)
-        which = np.flatnonzero(self.stops - self.starts >= least)
-        stop = self.stops[which].copy()
-        at, lo, hi = stop.copy(), np.zeros(len(which), dtype=np.int64), np.full(len(which), n)
         out: list[tuple[int, int, int]] = []
-        while len(which):
-            begin = self.starts[which]
-            inside = at > begin
-            c = self.text[np.where(inside, at - 1, at)]
-            l2, h2 = self.extend(c, lo, hi)
-            go = inside & (h2 - l2 >= 2)
-            ended = ~go
-            report = ended & (stop - at >= least)
-            out += zip(which[report].tolist(), (at - begin)[report].tolist(), (stop - begin)[report].tolist())
-            lo, hi, at = np.where(go, l2, lo), np.where(go, h2, hi), np.where(go, at - 1, at)
-            if ended.any():
-                again = ended & inside
-                row = self.row[np.maximum(at - 1, 0)]
-                longest = np.maximum(self.common[row], self.common[row + 1])
-                stop = np.where(again, at - 1 + longest, stop)
-                again &= stop - begin >= least
-                at, lo, hi = np.where(again, stop, at), np.where(again, 0, lo), np.where(again, n, hi)
-                keep = go | again
-                which, stop, at, lo, hi = which[keep], stop[keep], at[keep], lo[keep], hi[keep]
-        return out
+        lengths = np.array([len(t) for t in texts])
+        codes = self.codes(np.concatenate(texts))
+        stops = np.cumsum(lengths)
+        which = np.flatnonzero(lengths >= least)
+        begin, last = (stops - lengths)[which], stops[which]
+
+        def report(which: np.ndarray, begin: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+            long = stop - start >= least
+            out.extend(zip(which[long].tolist(), (start - begin)[long].tolist(), (stop - begin)[long].tolist()))
+            return long
+
+        start = self.reach(codes, begin, last)
+        long = report(which, begin, start, last)
+        last = np.where(long, start + least, last) - 1  # later windows are known
+        at = begin + least
+        while True:
+            on = at <= last
+            which, begin, last, at = which[on], begin[on], last[on], at[on]
+            if not len(which):
+                return out
+            start = self.reach(codes, begin, at)
+            at = np.where(report(which, begin, start, at), at + 1, start + least)
 
 
 def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -215,7 +220,6 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     """(id, spans) for rows (id, text): runs of repeated windows, each a first window and a number, packed as first * 2**16 + number."""
     small_batches(rows.sparkSession, 256)
     most = WINDOW - GRAM + 1
-    
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,60 +229,74 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (minimizer, content, ids, start * 65536 + windows)], names=["minimizer", "content", "id", "place"])
 
     every = stored(rows.select("id", "text").mapInArrow(cut, "minimizer long, content long, id long, place long"), "sub-pieces")
-    shared = every.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer")
-    places = stored(every.join(shared, "minimizer"), "sub-shared")
+    shared = stored(every.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1"), "sub-minimizers")
+    places = stored(join_spread(every, shared, ["minimizer"], "n").drop("n"), "sub-shared")
     contents = places.groupBy("minimizer", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("one"))
     contents = stored(contents.select("minimizer", "content", "n", "one.id", "one.place"), "sub-contents")
-    sizes = contents.groupBy("minimizer").agg(F.count("*").alias("k")).where("k > 1")
-    asked = contents.join(sizes, "minimizer").select("id", F.struct("place", "minimizer", "content", (F.col("k") > MAX_CONTENTS).alias("large")).alias("p"))
+    large = stored(contents.groupBy("minimizer").agg(F.count("*").alias("k")).where(F.col("k") > MAX_CONTENTS), "sub-large")
+    marked = join_spread(contents, large, ["minimizer"], "k", how="left") if not large.isEmpty() else contents.withColumn("k", F.lit(None).cast("long"))
+    asked = marked.select("id", F.struct("place", "minimizer", "content", "n", F.col("k").isNotNull().alias("large")).alias("p"))
     lists = stored(asked.groupBy("id").agg(F.collect_list("p").alias("p")), "sub-asked")  # pieces of one text
     joined = lists.join(_asked(rows.select("id", "text"), lists.select("id")), "id").select("text", "p")
+    kinds = {"minimizer": pa.int64(), "content": pa.int64(), "n": pa.int64(), "large": pa.bool_(), "words": pa.binary()}
 
     def contents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[] for _ in kinds]
             for t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = word_hashes(t)
                 for x in p:
                     start, windows = x["place"] >> 16, x["place"] & 65535
-                    for column, v in zip(columns, (x["minimizer"], x["content"], x["large"], w[start : start + windows + WINDOW - 1].tobytes())):
+                    for column, v in zip(columns, (x["minimizer"], x["content"], x["n"], x["large"], w[start : start + windows + WINDOW - 1].tobytes())):
                         column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["minimizer", "content", "large", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+
+    texts = stored(joined.mapInArrow(contents_of, "minimizer long, content long, n long, large boolean, words binary"), "sub-texts")
+
+    def searched(units: DataFrame, words: int) -> DataFrame:
+        """(minimizer, content, n, first, windows) of what the indexes report; units of one shard are indexed and searched together."""
+        shards = max(1, -(-units.count() * words // SHARD_WORDS))
 
-    texts = stored(joined.mapInArrow(contents_of, "minimizer long, content long, large boolean, words binary"), "sub-contents")
-    total, large = texts.agg(F.count("*"), F.sum(F.col("large").cast("int"))).first()
-    shards = max(1, -(-total * (WINDOW + most) // SHARD_WORDS))
+        def search(table: pa.Table) -> pa.Table:
+            words = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("words")]
+            found = FMIndex(words, table.column("n").to_numpy()).repeated(words, WINDOW)
+            k = pa.array([f[0] for f in found], pa.int64())
+            first, windows = pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] - f[1] - WINDOW + 1 for f in found], pa.int32())
+            return pa.table([*(table.column(c).take(k) for c in ("minimizer", "content", "n")), first, windows], names=["minimizer", "content", "n", "first", "windows"])
 
-    def search(table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("words")]
-        found = FMIndex(words).repeated(WINDOW)
-        k = pa.array([f[0] for f in found], pa.int64())
-        names = ["minimizer", "content", "first", "windows"]
-        first, windows = pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] - f[1] - WINDOW + 1 for f in found], pa.int32())
-        return pa.table([table.column("minimizer").take(k), table.column("content").take(k), first, windows], names=names)
+        dealt = units.select("minimizer", "content", "n", "words", F.pmod(F.xxhash64(*route), F.lit(shards)).alias("shard"))
+        return dealt.groupBy("shard").applyInArrow(search, "minimizer long, content long, n long, first int, windows int")
 
-    small = texts.where("not large").withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(shards)))
-    found = small.groupBy("shard").applyInArrow(search, "minimizer long, content long, first int, windows int")
-    if large:
+    route = ["minimizer"]
+    found = searched(texts.where("not large"), WINDOW + most)
+    if not large.isEmpty():
 
         def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column(2)]
+                words = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column(3)]
                 counts = [len(w) - WINDOW + 1 for w in words]
                 k = np.repeat(np.arange(len(words)), counts)
                 first = np.concatenate([np.arange(c) for c in counts]) if counts else np.empty(0, dtype=np.int64)
                 code = np.concatenate([run_hashes(w, np.arange(c), np.arange(c) + WINDOW) for w, c in zip(words, counts)]) if counts else np.empty(0, dtype=np.uint64)
-                ids = batch.select([0, 1]).take(pa.array(k))
-                yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(first.astype(np.int32)), pa.array(code.view(np.int64))], names=["minimizer", "content", "first", "code"])
-
-        windows = texts.where("large").select("minimizer", "content", "words").mapInArrow(each_window, "minimizer long, content long, first int, code long")
-        twice = windows.groupBy("minimizer", "code").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        found = found.unionByName(windows.join(twice, ["minimizer", "code"]).select("minimizer", "content", "first", F.lit(1).alias("windows")))
-    copies = contents.where("n > 1").select("minimizer", "content", F.lit(0).alias("first"), F.expr("CAST(place & 65535 AS INT)").alias("windows"))
-    verdicts = stored(found.unionByName(copies), "sub-found")
-    back = places.join(verdicts, ["minimizer", "content"]).select("id", (F.expr("(place >> 16) + first") * 65536 + F.col("windows")).alias("span"))
-    return back.groupBy("id").agg(F.collect_list("span").alias("spans"))  # of one text
+                cut = pa.array([w[i : i + WINDOW].tobytes() for w, c in zip(words, counts) for i in range(c)], pa.binary())
+                same = batch.select([0, 1, 2]).take(pa.array(k))
+                yield pa.RecordBatch.from_arrays([*same.columns, pa.array(first.astype(np.int32)), pa.array(code.view(np.int64)), cut], names=["minimizer", "content", "n", "first", "code", "words"])
+
+        windows = texts.where("large").select("minimizer", "content", "n", "words")
+        windows = stored(windows.mapInArrow(each_window, "minimizer long, content long, n long, first int, code long, words binary"), "sub-windows")
+        # Equal windows are one unit, whose content is its code; ``rows`` of them have it.
+        units = windows.groupBy("minimizer", "code").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("words").alias("words"))
+        units = stored(units.withColumnRenamed("code", "content"), "sub-units")
+        route = ["minimizer", "content"]
+        twice = searched(units, WINDOW).select("minimizer", "content").join(units.select("minimizer", "content", "rows"), ["minimizer", "content"])
+        twice = stored(twice.withColumnRenamed("content", "code"), "sub-twice")
+        hits = join_spread(windows.drop("words"), twice, ["minimizer", "code"], "rows")
+        found = found.unionByName(hits.select("minimizer", "content", "n", "first", F.lit(1).alias("windows")))
+    spans = F.collect_list(F.col("first").cast("long") * 65536 + F.col("windows")).alias("spans")  # of one piece
+    verdicts = stored(found.groupBy("minimizer", "content").agg(F.first("n").alias("n"), spans), "sub-found")
+    back = join_spread(places, verdicts, ["minimizer", "content"], "n")
+    back = back.select("id", F.transform("spans", lambda s: (F.shiftright("place", 16) + F.shiftright(s, 16)) * 65536 + s.bitwiseAND(F.lit(65535))).alias("spans"))
+    return back.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
 
 
 def substring_table(docs: DataFrame, *, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:

@@ -145,15 +145,16 @@ def test_repeated_windows_by_index_and_by_hash(spark, monkeypatch):
 
 def test_fm_index_matching_statistics():
     rng = np.random.default_rng(4)
-    texts = [rng.integers(0, 3, rng.integers(5, 40)).astype(np.uint64) for _ in range(12)]
-    index = substrings.FMIndex(texts)
-    least = 4
-    found = {(t, s) for t, a, b in index.repeated(least) for s in range(a, b - least + 1)}
-    grams = [(tuple(t[s : s + least]), k, s) for k, t in enumerate(texts) for s in range(len(t) - least + 1)]
-    count: dict = {}
-    for g, _, _ in grams:
-        count[g] = count.get(g, 0) + 1
-    assert found == {(k, s) for g, k, s in grams if count[g] > 1}
+    for least, kinds in ((4, 3), (2, 9), (6, 2)):
+        texts = [rng.integers(0, kinds, rng.integers(1, 40)).astype(np.uint64) for _ in range(12)]
+        copies = rng.integers(1, 4, 12) // 3 + 1
+        asked = texts + [rng.integers(0, kinds + 2, 30).astype(np.uint64) for _ in range(3)]  # the last are not in the index
+        found = {(t, s) for t, a, b in substrings.FMIndex(texts, copies).repeated(asked, least) for s in range(a, b - least + 1)}
+        count: dict = {}
+        for t, c in zip(texts, copies):
+            for s in range(len(t) - least + 1):
+                count[tuple(t[s : s + least])] = count.get(tuple(t[s : s + least]), 0) + c
+        assert found == {(k, s) for k, t in enumerate(asked) for s in range(len(t) - least + 1) if count.get(tuple(t[s : s + least]), 0) > 1}
 
 
 def test_fingerprints_estimate_likeness(spark):
