@@ -5,11 +5,13 @@
 3. Output slots are drawn from the sources, ``SHARD`` slots to an output shard, one categorical draw for each slot, so
    the counts of a shard are multinomial. Slots beyond a source's target are dropped and missing ones appended, so that
    the totals meet the targets exactly.
-4. Slot j of a source shows block (a * j + b) mod n, a permutation of its n blocks for each round of n slots, and the
-   blocks are joined by index.
+4. Slot j of a source shows block P(j mod n) of its n blocks, where P is a keyed pseudorandom permutation with a key of
+   its own for each source and each round of n slots (a swap-or-not shuffle: in each of ``ROUNDS`` steps x may change
+   places with k - x mod n, as a hash of the larger one tells). Blocks are joined by index.
 
-Draws come from md5 of the slot number, so reruns agree and no state is kept. Block starts are prefix sums in two steps,
-within id ranges and over them, so that no task sees a whole source.
+``output_shards`` gives the mix itself, a row for each slot of each output shard with its block's words; ``mixed`` gives
+it as documents, ``mixture`` as counts. Draws and keys come from md5, so reruns agree and no state is kept. Block starts
+are prefix sums in two steps, within id ranges and over them, so that no task sees a whole source.
 
 Defined results: null and empty texts have size 0 and take 0. A null source is a source of its own, the last. Repeated
 rows are separate documents (equal ids are ordered by size). Rows with a null id come first in their source. An empty
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACE_RUN, WORD, stored
+from .common import SPACE_RUN, WORD, stored, word_list
 
 WEIGHTS = (5, 2, 1)
 #: Words of the mix for 100 words of input, and how often a word may be used.
@@ -31,8 +33,11 @@ MAX_EPOCHS = 2
 BLOCK = 32
 SHARD = 4096
 SEED = "mix-1"
-#: Id range whose documents are laid out together.
+#: Id range whose documents are laid out together, at least, and about how many such ranges there are at most.
 RANGE = 1024
+MAX_RANGES = 1 << 16
+#: Steps of the permutation of blocks.
+ROUNDS = 24
 #: Pieces of the line of slots by which draws find their source without comparing all sources.
 CELLS = 4096
 
@@ -46,8 +51,8 @@ SHARD_RANGE = 1024
 TASK_SLOTS = 1 << 17
 TASKS = 20_000
 
-# Three primes near 10**7.
-STEPS = (9_999_991, 9_999_973, 9_999_971)
+#: A prime; hashes of the permutation's steps are lines modulo it.
+PRIME = (1 << 31) - 1
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -74,7 +79,7 @@ def target_table(sizes: DataFrame) -> DataFrame:
         "*",
         (F.sum("source_size").over(every) * F.lit(MIX_PERCENT / 100.0)).alias("total"),
         F.coalesce(F.sum("cap").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("capped"),
-        F.sum("weight").over(by.rowsBetween(0, W.unboundedFollowing)).alias("open"),
+        (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).alias("open"),
     ).withColumn("factor", (F.col("total") - F.col("capped")) / F.col("open"))
     fits = F.col("factor") * F.col("weight") <= F.col("cap")
     first = F.min(F.when(fits, F.struct((F.col("cap") / F.col("weight")).alias("r"), "skey", "factor"))).over(every)
@@ -86,7 +91,7 @@ def sized(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
     """(doc_id, place, skey, size) for every row; documents are laid out in order of ``place``, the key unless ``order`` names another column."""
     return docs.select(
         F.col(key).alias("doc_id"),
-        F.col(order or key).cast("long").alias("place"),
+        F.col(order or key).try_cast("long").alias("place"),
         source_key(F.col(source)).alias("skey"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -102,8 +107,12 @@ def _running(rows: DataFrame, part: str, order: list[Column], count: str, name:
 
 
 def layout(sizes: DataFrame) -> DataFrame:
-    """Each document with ``begin``, the number of words of its source before it."""
-    ranged = sizes.withColumn("part", F.coalesce(F.floor(F.col("place") / RANGE), F.lit(-1)).cast("long"))
+    """Each document with ``begin``, the number of words of its source before it. ``sizes`` is read several times."""
+    low, high = sizes.agg(F.percentile_approx("place", F.lit(0.001), F.lit(10_000)), F.percentile_approx("place", F.lit(0.999), F.lit(10_000))).first()
+    width = max(RANGE, -(-((high or 0) - (low or 0) + 1) // MAX_RANGES))
+    # A few ids far from all others are within the two ranges at the ends; null ids are before all.
+    place = F.floor((F.greatest(F.least(F.col("place"), F.lit(high or 0)), F.lit(low or 0)) - (low or 0)) / width)
+    ranged = sizes.withColumn("part", F.coalesce(place, F.lit(-1)).cast("long"))
     order = [F.col("place").asc_nulls_first(), F.col("size"), F.col("doc_id")]
     return _running(ranged, "part", order, "size", "begin").select("doc_id", "skey", "size", "begin")
 
@@ -112,18 +121,29 @@ def _bits(name: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(name), 1, digits), 16, 10).cast("long")
 
 
-def _permuted(j: Column, n: Column, name: Column) -> Column:
-    """Block of slot j: an affine permutation of 0..n-1 with a shift drawn from the source's name.
+def _keys(name: Column, blocks: Column) -> Column:
+    """For each round of a source's slots and each step: the sum of two places that may change, and a line of the hash."""
 
-    Its step is a prime that does not divide n, hence coprime to n; all three primes divide no n below 10**20.
-    """
-    a, b, c = (F.lit(p).cast("long") for p in STEPS)
-    step = F.when(n % a != 0, a).when(n % b != 0, b).otherwise(c)
-    return F.pmod(F.pmod(j, n) * step + F.pmod(_bits(F.concat(F.lit(f"{SEED}/"), name), 8), n), n)
+    def step(epoch: Column, i: Column) -> Column:
+        at = lambda what: F.concat(F.lit(f"{SEED}/{what}/"), epoch.cast("string"), F.lit("/"), i.cast("string"), F.lit("/"), name)
+        return F.struct((_bits(at("k"), 12) % blocks).alias("k"), (_bits(at("c"), 8) % (PRIME - 1) + 1).alias("c"), (_bits(at("d"), 8) % PRIME).alias("d"))
+
+    steps = F.sequence(F.lit(1), F.lit(ROUNDS))
+    return F.transform(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)), lambda e: F.transform(steps, lambda i: step(e, i)))
+
+
+def _permuted(j: Column, n: Column, keys: Column) -> Column:
+    """Block of slot j; a permutation of 0..n-1 in each round of n slots, for any n."""
+
+    def step(x: Column, key: Column) -> Column:
+        other = F.pmod(key["k"] - x, n)
+        return F.when((((F.greatest(x, other) % PRIME) * key["c"] + key["d"]) % PRIME) % 2 == 1, other).otherwise(x)
+
+    return F.aggregate(F.get(keys, F.floor(j / n).cast("int")), F.pmod(j, n), step)
 
 
 def slots(targets: DataFrame) -> DataFrame:
-    """(skey, shard, block): every output slot with the block it shows. ``targets`` is read several times."""
+    """(skey, shard, j, block): every output slot, numbered within its source, with the block it shows. ``targets`` is read several times."""
     spark = targets.sparkSession
     blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
     words = F.col("source_size") / blocks  # a block's, on average
@@ -146,10 +166,13 @@ def slots(targets: DataFrame) -> DataFrame:
     named = ranked.join(_small(plan, sources), "skey").where("`from` < wanted")
     upto = F.least(F.col("from") + F.col("n"), F.col("wanted")) - 1
     # A row stands for thousands of slots, so rows are dealt out by the number of slots, not by their own small size.
-    spread = named.repartition(tasks, "skey", "shard")
-    return spread.select("skey", "shard", "blocks", F.explode(F.sequence(F.col("from"), upto)).alias("j")).select(
-        "skey", "shard", _permuted(F.col("j"), F.col("blocks"), F.col("skey")).alias("block")
-    )
+    spread = named.repartition(tasks, "skey", "shard").join(_small(plan.select("skey", _keys(F.col("skey"), F.col("blocks")).alias("keys")), sources), "skey")
+    # What the last shard makes up for is cut into shards of its own.
+    last = total // SHARD + 1
+    shard = lambda j: F.when(F.col("shard") == last, last + F.floor((j - F.col("from")) / SHARD)).otherwise(F.col("shard"))
+    one = lambda j: F.struct(shard(j).cast("long").alias("shard"), j.alias("j"), _permuted(j, F.col("blocks"), F.col("keys")).alias("block"))
+    made = spread.select("skey", F.explode(F.transform(F.sequence(F.col("from"), upto), one)).alias("s"))
+    return made.select("skey", "s.shard", "s.j", "s.block")
 
 
 def block_uses(targets: DataFrame) -> DataFrame:
@@ -166,6 +189,26 @@ def document_blocks(laid: DataFrame) -> DataFrame:
     return some.withColumn("first", lo - F.col("begin")).withColumn("words", hi - lo)
 
 
+def output_shards(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """(shard, slot, source, block, words, text): the mix in output shards of about ``SHARD`` slots, in an order drawn for each shard.
+
+    A block holds ``BLOCK`` words, those of its documents in order, joined by spaces; a source's last block holds the rest.
+    """
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("mix id"), F.col(key).alias("mix key"), F.col(text).alias("text"), F.col(source).alias("source")), "mix-rows")
+    sizes, targets, sources = prepared(rows, key="mix id", order="mix key")
+    held = document_blocks(layout(sizes)).groupBy("doc_id", "begin").agg(F.collect_list(F.struct("block", "first", "words")).alias("parts"))  # a document's own blocks
+    both = F.array(F.struct(word_list(F.col("text")).alias("w"), F.col("parts").alias("p")))
+    part = lambda z, p: F.struct(p["block"].alias("block"), F.array_join(F.slice(z["w"], (p["first"] + 1).cast("int"), p["words"].cast("int")), " ").alias("t"), p["words"].alias("words"))
+    cut = F.transform(both, lambda z: F.transform(z["p"], lambda p: part(z, p)))[0]
+    pieces = rows.join(held.withColumnRenamed("doc_id", "mix id"), "mix id").select(source_key(F.col("source")).alias("skey"), "begin", F.explode(cut).alias("c"))
+    whole = F.sort_array(F.collect_list(F.struct("begin", "c.t")))  # at most BLOCK words
+    blocks = pieces.groupBy("skey", "c.block").agg(F.array_join(F.transform(whole, lambda x: x["t"]), " ").alias("text"), F.sum("c.words").alias("words"))
+    place = F.row_number().over(W.partitionBy("shard").orderBy(F.md5(F.concat_ws("/", F.lit(SEED), "skey", F.col("j").cast("string"))), "skey", "j"))
+    dealt = slots(targets).withColumn("slot", place - 1)
+    name = F.when(F.col("skey") != "1", F.substring("skey", 2, 1 << 30))
+    return dealt.join(blocks, ["skey", "block"]).select("shard", "slot", name.alias("source"), "block", "words", "text")
+
+
 def prepared(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", order: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Sizes and targets, both written so that texts are read once and draws are planned from settled numbers; and how many sources there are."""
     sizes = stored(sized(docs, text=text, key=key, source=source, order=order), "mix-sizes")
@@ -216,7 +259,8 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
 def mixture_sql() -> str:
     """The same for DuckDB."""
     values = ", ".join(str(float(w)) for w in WEIGHTS)
-    a, b, c = STEPS
+    key = lambda what, digits: f"CAST('0x' || substr(md5('{SEED}/{what}/' || e || '/' || i || '/' || skey), 1, {digits}) AS BIGINT)"
+    other = "((k[i] - x + blocks) % blocks)"
     return rf"""
 WITH sizes AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
@@ -236,9 +280,11 @@ counts AS (SELECT skey, shard, count(*) AS n FROM drawn JOIN line ON v >= hi - w
         UNION ALL SELECT skey, (SELECT sum(wanted) FROM plan) // {SHARD} + 1, wanted FROM plan),
 ranked AS (SELECT skey, shard, n, coalesce(sum(n) OVER (PARTITION BY skey ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM counts),
 numbered AS (SELECT skey, blocks, unnest(range(CAST(start AS BIGINT), CAST(least(start + n, wanted) AS BIGINT))) AS j FROM ranked JOIN plan USING (skey) WHERE start < wanted),
-uses AS (SELECT skey, ((j % blocks) * (CASE WHEN blocks % {a} <> 0 THEN {a} WHEN blocks % {b} <> 0 THEN {b} ELSE {c} END)
-        + CAST('0x' || substr(md5('{SEED}/' || skey), 1, 8) AS BIGINT) % blocks) % blocks AS block, count(*) AS uses FROM numbered GROUP BY ALL),
-laid AS (SELECT row_number() OVER () AS r, *, CAST(coalesce(sum(size) OVER (PARTITION BY skey ORDER BY coalesce(floor(doc_id / {float(RANGE)}), -1), doc_id NULLS FIRST, size
+keys AS (SELECT skey, e, list({key('k', 12)} % blocks ORDER BY i) AS k, list({key('c', 8)} % {PRIME - 1} + 1 ORDER BY i) AS c, list({key('d', 8)} % {PRIME} ORDER BY i) AS d
+        FROM plan, range(1, {MAX_EPOCHS + 1}) AS epochs(e), range(1, {ROUNDS + 1}) AS steps(i) GROUP BY skey, e),
+uses AS (SELECT skey, list_reduce(range(1, {ROUNDS + 1}), lambda x, i: CASE WHEN (((greatest(x, {other}) % {PRIME}) * c[i] + d[i]) % {PRIME}) % 2 = 1 THEN {other} ELSE x END, j % blocks) AS block,
+        count(*) AS uses FROM numbered JOIN keys USING (skey) WHERE e = j // blocks + 1 GROUP BY ALL),
+laid AS (SELECT row_number() OVER () AS r, *, CAST(coalesce(sum(size) OVER (PARTITION BY skey ORDER BY doc_id NULLS FIRST, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sizes),
 held AS (SELECT r, skey, size, start, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM laid WHERE size > 0),
 taken AS (SELECT r, CAST(sum((least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK})) * uses) AS BIGINT) AS taken

@@ -426,6 +426,38 @@ def test_mixture_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 40 + 0.02 * target[s] for s in taken)
 
 
+def test_permutation_of_blocks(spark):
+    """Every block once in each round, for any number of blocks; rounds and sources differ, and neighbours do not stay together."""
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 27, 1001, 5000):
+        j = spark.range(2 * n).selectExpr("id AS j", f"CAST({n} AS BIGINT) AS n", "'0a' AS skey").withColumn("keys", mixing._keys(F.col("skey"), F.col("n")))
+        got = [r[0] for r in j.orderBy("j").select(mixing._permuted(F.col("j"), F.col("n"), F.col("keys"))).collect()]
+        assert sorted(got[:n]) == sorted(got[n:]) == list(range(n))
+    first, second = np.array(got[:n]), np.array(got[n:])
+    assert (first == second).mean() < 0.01 and (np.abs(np.diff(first)) == 1).mean() < 0.01
+    assert abs(np.corrcoef(first, np.arange(n))[0, 1]) < 0.06 and abs(np.corrcoef(first, second)[0, 1]) < 0.06
+
+
+def test_output_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes, targets, _ = mixing.prepared(docs)
+    rows = mixing.output_shards(docs).collect()
+    uses = {(r.skey, r.block): r.uses for r in mixing.block_uses(targets).collect()}
+    assert sum(uses.values()) == len(rows) and len({(r.shard, r.slot) for r in rows}) == len(rows)
+    got: dict = {}
+    for r in rows:
+        assert len(r.text.split()) == r.words <= mixing.BLOCK
+        got.setdefault(r.source, {}).setdefault(r.block, []).append(r.text)
+    assert all(len(set(t)) == 1 and len(t) <= 2 for blocks in got.values() for t in blocks.values())
+    for source, blocks in got.items():
+        words = " ".join(r.text for r in sorted(docs.collect(), key=lambda r: r.doc_id) if r.source == source and r.text).split()
+        for k, texts in blocks.items():
+            assert texts[0].split() == words[k * mixing.BLOCK : (k + 1) * mixing.BLOCK]
+    assert mixing.output_shards(awkward(spark)).count() > 0 and mixing.output_shards(awkward(spark).where("false")).count() == 0
+
+
 def test_mixture_over_many_groups_of_shards(spark, monkeypatch):
     """Small settings make many shards, groups of shards and tasks; the rows stay those of the SQL."""
     monkeypatch.setattr(mixing, "SHARD", 16)
