@@ -3,12 +3,14 @@
 ``fit`` takes a bounded sample of labelled documents and
 1. finds words that mark toxic documents (likelihood ratio above what chance gives among so many words),
 2. labels tokens: such a word in a toxic document is offending, any other token is not,
-3. trains the field on windows of these tokens: a weight for each marking word, one for all other words, transitions,
+3. trains the field on windows around all such words, equal ones together: a weight for each marking word, one for all
+   other words, transitions,
 4. calibrates document scores by a logistic curve over the chance that any token offends.
 
-``score`` broadcasts the field, whose size is bounded by ``MAX_WORDS``, and runs forward-backward over whole texts. Runs
-of words without a weight of their own have one transfer matrix, whose powers stand for the runs, so the marginals are
-those of the full chain. A token whose marginal is at least one half is an offending span.
+``score`` broadcasts the field, whose words are those of the bounded sample, and runs forward-backward over whole texts.
+Runs of words without a weight of their own have one transfer matrix, whose powers stand for the runs, so the marginals
+are those of the full chain. A token whose marginal is at least one half is an offending span, in code points of the text,
+whatever the document's own score.
 
 Defined results: null and empty texts have no token and get the score of a text without marking words. Repeated rows get
 equal results, null ids pass through and are never held out, an empty table gives no rows. Several labels of one id count
@@ -31,12 +33,9 @@ from .common import fold_of, map_texts, small_batches, stored
 
 #: Documented bound of the training sample, in labelled documents (expected; picked by a hash of the id).
 SAMPLE_DOCS = 20_000
-MAX_WORDS = 2_000
 MIN_DOCS = 3
-#: Tokens on either side of a training window's middle, and windows of a document.
+#: Tokens on either side of a training window's middle.
 REACH = 5
-WINDOWS = 8
-MAX_WINDOWS = 40_000
 STEPS = 150
 
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -98,7 +97,7 @@ class Field:
         """(marginals, token numbers) of the tokens with a weight of their own, in a whole text."""
         if not text:
             return np.empty(0), []
-        tokens = _TOKEN.findall(text.lower())
+        tokens = [t.lower() for t in _TOKEN.findall(text)]
         words = self.words
         at = [i for i, t in enumerate(tokens) if t in words]
         if not at:
@@ -110,13 +109,16 @@ class Field:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
     def spans(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, marginal) of offending tokens, in code points of the text in lower case."""
-        p, at = self.judge(text)
-        if not at:
+        """(start, end, marginal) of offending tokens, in code points of the text."""
+        return self.offending(text, *self.judge(text))
+
+    def offending(self, text: str | None, p: np.ndarray, at: list[int]) -> list[tuple[int, int, float]]:
+        """The same from what ``judge`` found."""
+        chance = {i: x for i, x in zip(at, p) if x >= 0.5}
+        if not chance:
             return []
-        chance = dict(zip(at, p))
-        found = enumerate(_TOKEN.finditer(text.lower()))
-        return [(m.start(), m.end(), float(chance[i])) for i, m in found if chance.get(i, 0.0) >= 0.5]
+        found = enumerate(_TOKEN.finditer(text))
+        return [(m.start(), m.end(), float(chance[i])) for i, m in found if i in chance]
 
 
 def _marking(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
@@ -131,21 +133,22 @@ def _marking(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list
 
     limit = 2 * math.log(max(len(counts), 2)) + 3
     found = [(g2(a, b), w) for w, a, b in counts if a * clean > 4 * b * toxic and a >= MIN_DOCS]
-    return [w for g, w in sorted(found, key=lambda x: (-x[0], x[1]))[:MAX_WORDS] if g >= limit]
+    return [w for g, w in sorted(found, key=lambda x: (-x[0], x[1])) if g >= limit]
 
 
-def _trained(windows: np.ndarray, labels: np.ndarray, words: list[str]) -> Field:
-    """Maximum likelihood with a small penalty. ``windows``: word number from 1, 0 another word, -1 padding; ``labels``: 0 or 1."""
+def _trained(windows: np.ndarray, labels: np.ndarray, times: np.ndarray, words: list[str]) -> Field:
+    """Maximum likelihood with a small penalty. ``windows``: word number from 1, 0 another word, -1 padding; ``labels``: 0 or 1; ``times`` each occurs."""
     n, length = windows.shape
+    every = np.broadcast_to(times[:, None], windows.shape)
     weight = np.zeros(len(words) + 1)  # the first is for other words
     weight[0] = -2.0
     step = np.zeros((2, 2))
     real = windows >= 0
     ids = np.maximum(windows, 0)
-    seen_w = np.bincount(ids[real], weights=labels[real], minlength=len(weight))
+    seen_w = np.bincount(ids[real], weights=(labels * every)[real], minlength=len(weight))
     follow = real[:, 1:] & real[:, :-1]
     seen_s = np.zeros((2, 2))
-    np.add.at(seen_s, (labels[:, :-1][follow], labels[:, 1:][follow]), 1)
+    np.add.at(seen_s, (labels[:, :-1][follow], labels[:, 1:][follow]), every[:, 1:][follow])
     moments = [np.zeros(len(weight) + 4), np.zeros(len(weight) + 4)]
     for turn in range(1, STEPS + 1):
         e = np.ones((n, length, 2))
@@ -161,10 +164,10 @@ def _trained(windows: np.ndarray, labels: np.ndarray, words: list[str]) -> Field
             back[:, i] = np.where(real[:, i + 1, None], f / f.sum(axis=1, keepdims=True), 1.0)
         p = ahead * back
         p /= p.sum(axis=2, keepdims=True)
-        hope_w = np.bincount(ids[real], weights=p[:, :, 1][real], minlength=len(weight))
+        hope_w = np.bincount(ids[real], weights=(p[:, :, 1] * every)[real], minlength=len(weight))
         pair = ahead[:, :-1, :, None] * t * (e * back)[:, 1:, None, :]
         pair /= pair.sum(axis=(2, 3), keepdims=True)
-        hope_s = pair[follow].sum(axis=0)
+        hope_s = (pair * every[:, 1:, None, None])[follow].sum(axis=0)
         grad = np.append((seen_w - hope_w) - 0.05 * weight, (seen_s - hope_s - 0.05 * step).ravel())
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.99 * moments[1] + 0.01 * grad**2
@@ -190,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         for batch in batches:
             words, toxic = [], []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {"", *_TOKEN.findall((t or "").lower())}  # the empty word counts documents
+                own = {"", *(w.lower() for w in _TOKEN.findall(t or ""))}  # the empty word counts documents
                 words += own
                 toxic += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["w", "y"])
@@ -201,9 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     if whole is None or not whole["a"]:
         return Field()
     toxic, clean = whole["a"], whole["b"]
-    # Words that few toxic documents have, or that clean ones have as often, cannot mark; what is left is small.
+    # Words that few toxic documents have, or that clean ones have as often, cannot mark; what is left is small, the sample being bounded.
     kinds = counts.count()
-    able = counts.where(f"w <> '' and a >= {MIN_DOCS} and a * {clean} > 4 * b * {toxic}").orderBy(F.desc("a"), "b", "w").limit(20 * MAX_WORDS).collect()
+    able = counts.where(f"w <> '' and a >= {MIN_DOCS} and a * {clean} > 4 * b * {toxic}").collect()
     marking = _marking([(r["w"], r["a"], r["b"]) for r in able] + [("", 0, 0)] * max(0, kinds - len(able)), toxic, clean)
     number = {w: k + 1 for k, w in enumerate(marking)}
     size = 2 * REACH + 1
@@ -212,20 +215,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         for batch in batches:
             found, labelled = [], []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = [number.get(w, 0) for w in _TOKEN.findall((t or "").lower())]
+                ids = [number.get(w.lower(), 0) for w in _TOKEN.findall(t or "")]
                 at = [i for i, x in enumerate(ids) if x]
-                middles = at[:: max(1, -(-len(at) // WINDOWS))] + [len(ids) // 4, 3 * len(ids) // 4]
-                for m in middles if ids else []:
+                for m in at + [len(ids) // 4, 3 * len(ids) // 4] if ids else []:
                     w = ids[max(0, m - REACH) : m + REACH + 1]
                     found.append(w + [-1] * (size - len(w)))
                     labelled.append([int(bool(y and x > 0)) for x in found[-1]])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(labelled, pa.list_(pa.int32()))], names=["x", "y"])
 
     made = sample.select("text", "toxic").mapInArrow(window_rows, "x array<int>, y array<int>")
-    rows = made.orderBy(F.xxhash64("x", "y")).limit(MAX_WINDOWS).collect()
+    # Equal windows are one row; most hold one marking word, so there are few more than marking words.
+    rows = made.groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
     if not marking or not rows:
         return Field(curve=(math.log((toxic + 0.5) / (clean + 0.5)), 0.0, 0.0))
-    model = _trained(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), marking)
+    model = _trained(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), np.array([r["n"] for r in rows], dtype=float), marking)
 
     def sums(texts: list[str | None]) -> list[list]:
         found = [_document(model.judge(t)[0]) for t in texts]
@@ -245,12 +248,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 
 def score(docs: DataFrame, model: Field, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, score, predicted, spans) for every row; spans are ``start:end`` of offending words, comma-joined."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each marking word of the bounded sample
 
     def run(texts: list[str | None]) -> list[list]:
         own = shared.value
-        scores = [own.score(own.judge(t)[0]) for t in texts]
-        spans = [",".join(f"{a}:{b}" for a, b, _ in own.spans(t)) if s >= 0.5 else "" for t, s in zip(texts, scores)]
+        judged = [own.judge(t) for t in texts]
+        scores = [own.score(p) for p, _ in judged]
+        spans = [",".join(f"{a}:{b}" for a, b, _ in own.offending(t, *j)) for t, j in zip(texts, judged)]
         return [scores, [int(s >= 0.5) for s in scores], spans]
 
     return map_texts(docs, run, "score double, predicted int, spans string", key=key, text=text)
@@ -259,7 +263,7 @@ def score(docs: DataFrame, model: Field, *, text: str = "text", key: str = "doc_
 def without_toxic(docs: DataFrame, model: Field, *, text: str = "text") -> DataFrame:
     """The rows whose score is below one half, with all their columns."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each marking word of the bounded sample
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

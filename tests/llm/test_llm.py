@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import lzma
+import math
 import random
 import urllib.parse
 import zlib
@@ -110,6 +111,36 @@ def test_field_runs_equal_the_full_chain():
     assert np.allclose(field.marginals([2, 3, 9], [2.0] * 3, 14), full[[2, 3, 9]])
 
 
+def test_field_against_all_labellings():
+    """Marginals of short texts by summing over every labelling, and spans in code points of the text itself."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        field = toxicity.Field({"vile": float(rng.normal(1, 2)), "awful": float(rng.normal(1, 2))}, float(rng.normal(-1, 1)), rng.normal(size=(2, 2)))
+        tokens = [str(rng.choice(["vile", "awful", "tree", "İİİ", "ẞa"])) for _ in range(rng.integers(1, 9))]
+        text = "  " + " -- ".join(t.upper() if t.isascii() and rng.random() < 0.5 else t for t in tokens)
+        weight = [field.words.get(t.lower(), field.other) for t in tokens]
+        total, offending = 0.0, np.zeros(len(tokens))
+        for ys in itertools.product((0, 1), repeat=len(tokens)):
+            p = math.exp(sum(field.step[a, b] for a, b in zip((0, *ys), ys)) + sum(w for w, y in zip(weight, ys) if y))
+            total += p
+            offending += p * np.array(ys)
+        p, at = field.judge(text)
+        assert np.allclose(p, (offending / total)[at])
+        assert all(text[a:b].lower() in field.words and q >= 0.5 for a, b, q in field.spans(text))
+        assert len(field.spans(text)) == int((p >= 0.5).sum())
+    assert toxicity.Field({"vile": 9.0}).spans("İİİ vile")[0][:2] == (4, 8)
+
+
+def test_training_counts_equal_windows_as_often_as_they_occur():
+    windows = np.array([[0, 1, 0], [0, 2, 0], [1, 0, -1], [0, 0, 0]])
+    labels = np.array([[0, 1, 0], [0, 0, 0], [1, 0, 0], [0, 0, 0]])
+    once = toxicity._trained(windows.repeat([3, 1, 2, 4], axis=0), labels.repeat([3, 1, 2, 4], axis=0), np.ones(10), ["a", "b"])
+    counted = toxicity._trained(windows, labels, np.array([3.0, 1.0, 2.0, 4.0]), ["a", "b"])
+    assert np.allclose(once.step, counted.step) and np.isclose(once.other, counted.other) and all(np.isclose(once.words[w], counted.words[w]) for w in "ab")
+
+
 def test_language_accuracy(spark):
     got = {r.doc_id: r for r in Q.op10_langid(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").collect()
