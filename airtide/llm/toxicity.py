@@ -3,8 +3,8 @@
 ``fit`` takes a bounded sample of labelled documents and
 1. finds words that mark toxic documents (likelihood ratio above what chance gives among so many words),
 2. labels tokens: such a word in a toxic document is offending, any other token is not,
-3. trains the field on windows around all such words, equal ones together: a weight for each marking word, one for all
-   other words, transitions,
+3. trains the field on windows around all such words, equal ones together, documents with many of them counting no more
+   than others: a weight for each marking word, one for all other words, transitions,
 4. calibrates document scores by a logistic curve over the chance that any token offends.
 
 ``score`` broadcasts the field, whose words are those of the bounded sample, and runs forward-backward over whole texts.
@@ -36,6 +36,8 @@ SAMPLE_DOCS = 20_000
 MIN_DOCS = 3
 #: Tokens on either side of a training window's middle.
 REACH = 5
+#: Windows of a document that count whole; those of one with more share that much, so that no document outweighs many.
+EACH = 8
 STEPS = 150
 
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -213,19 +215,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, labelled = [], []
+            found, labelled, share = [], [], []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = [number.get(w.lower(), 0) for w in _TOKEN.findall(t or "")]
                 at = [i for i, x in enumerate(ids) if x]
-                for m in at + [len(ids) // 4, 3 * len(ids) // 4] if ids else []:
+                middles = at + [len(ids) // 4, 3 * len(ids) // 4] if ids else []
+                for m in middles:
                     w = ids[max(0, m - REACH) : m + REACH + 1]
                     found.append(w + [-1] * (size - len(w)))
                     labelled.append([int(bool(y and x > 0)) for x in found[-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(labelled, pa.list_(pa.int32()))], names=["x", "y"])
+                    share.append(EACH / max(EACH, len(middles)))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(labelled, pa.list_(pa.int32())), pa.array(share, pa.float64())], names=["x", "y", "n"])
 
-    made = sample.select("text", "toxic").mapInArrow(window_rows, "x array<int>, y array<int>")
+    made = sample.select("text", "toxic").mapInArrow(window_rows, "x array<int>, y array<int>, n double")
     # Equal windows are one row; most hold one marking word, so there are few more than marking words.
-    rows = made.groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
+    rows = made.groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()
     if not marking or not rows:
         return Field(curve=(math.log((toxic + 0.5) / (clean + 0.5)), 0.0, 0.0))
     model = _trained(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), np.array([r["n"] for r in rows], dtype=float), marking)
