@@ -2,23 +2,32 @@
 
 ``register(spark)`` makes ``spark.read.format("warc")`` and ``df.write.format("warc")`` known. Files are plain
 (``compression=none``) or have one gzip member for each record. Members carry their length in an "SL" extra field, so
-that a reader skips an unwanted payload without decoding it; archives without that field are read as well.
+that a reader skips an unwanted payload without decoding it; archives without that field, and members that hold several
+records, are read as well.
 
-Reading plans partitions of whole files, small ones together up to ``partition_bytes``. Filters on the record type and on
-headers are pushed down: a record's headers are parsed first, and its payload is decoded only if they pass and the
-asked-for schema has the column ``payload``.
+Reading plans partitions of whole files, small ones together up to ``partition_bytes``. Predicates on the record type and
+on headers are pushed down to the reader: a record's headers are parsed first, and its payload is decoded only if they
+pass and the asked-for schema has the column ``payload``. ``read(spark, path, ("record_type", "=", "response"))`` pushes
+them as an option of the table. Spark's own push-down keeps what it pushed with the table and not with the scan, so that
+two scans of one DataFrame both get the filters of the last (seen with 4.1.2); it is used only with the option
+``single_scan=true``, for a DataFrame that is scanned once.
 
 Writing makes files of up to ``file_bytes`` under a temporary name in each task, which the commit renames; a task that is
 repeated after a lost executor leaves no second copy, and an abort removes what was written.
 
 Defined results: a null payload is written empty. An empty table gives an archive folder without records. Columns other
-than those of ``WRITE_COLUMNS`` are ignored.
+than those of ``WRITE_COLUMNS`` are ignored. In foreign archives header lines that are none are left out, a digest or
+length that cannot be read is null, and after a record without a length reading goes on at the next line that begins one.
+Of pages with equal payloads, those that share the largest page_id are responses; a null page_id is below all others.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,7 +45,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import workspace
+from .common import HOT_KEYS, stored, workspace
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, content_type string, payload_digest string, "
@@ -51,7 +60,10 @@ DATE = "2000-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP = b"\x1f\x8b\x08"
+_BEGIN = re.compile(rb"(?:\A|\n)(?=WARC/[0-9.]+)")
 _BLOCK = 1 << 16
+#: Bits of the filter by which pages whose payload nobody shares stay out of a join; it is broadcast as 2**22 / 64 rows at most.
+FILTER_BITS = 1 << 22
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -90,14 +102,21 @@ def _headers(head: bytes) -> dict[str, str]:
     name = ""
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         if line[:1] in (" ", "\t"):  # a folded line
-            found[name] += " " + line.strip()
-        else:
+            if name:
+                found[name] += " " + line.strip()
+        elif ":" in line:
             name, _, value = line.partition(":")
             name = name.strip().lower()
             found[name] = value.strip()
+        else:
+            name = ""
     return found
 
 
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.isascii() and value.isdigit() else None
+
+
 class _Plain:
     """Content of a file without compression, from the current place on."""
 
@@ -123,54 +142,63 @@ class _Plain:
             parts.append(self.file.read(n))
         return b"".join(parts)
 
-    def skip(self, n: int) -> None:
+    def leave(self, n: int) -> None:
+        """Go on behind the next n bytes, the rest of a record."""
         if n <= len(self.held):
             self.held = self.held[n:]
         else:
             self.file.seek(self.file.tell() + n - len(self.held))
             self.held = b""
 
-    def next(self) -> None:
-        self.take(4)
-
 
 class _Members:
-    """Content of a file of gzip members, each a record."""
+    """Content of a file of gzip members, each of one record or more."""
 
     def __init__(self, file: pa.NativeFile) -> None:
-        self.file, self.raw, self.begin, self.length = file, b"", 0, None
+        self.file, self.raw, self.begin = file, b"", 0
         self._open()
 
-    def _open(self) -> None:
+    def _open(self) -> bool:
+        """Begin with the member that stands next; whether there is one."""
         if len(self.raw) < 24:
             self.raw += self.file.read(24 - len(self.raw))
         head = self.raw[:24]
         sized = len(head) == 24 and head[3] == 4 and head[12:14] == b"SL"
-        self.length = struct.unpack("<I", head[16:20])[0] if sized else None
-        self.inflate, self.held = zlib.decompressobj(31), b""
+        self.length, self.size = struct.unpack("<II", head[16:24]) if sized else (None, None)
+        self.inflate, self.held, self.read = zlib.decompressobj(31), b"", 0
+        return bool(head)
 
     def _more(self) -> bool:
+        """Inflate some more of the member; whether there was any."""
+        if self.inflate.eof:
+            return False
         data = self.raw or self.file.read(_BLOCK if self.length is None else min(_BLOCK, max(1, self.begin + self.length - self.file.tell())))
         self.raw = b""
-        if not data or self.inflate.eof:
-            self.raw = data
+        if not data:
             return False
         self.held += self.inflate.decompress(data)
         self.raw = self.inflate.unused_data
         return True
 
+    def _follow(self) -> bool:
+        """Go to the next member once this one is used up."""
+        self.begin = self.file.tell() - len(self.raw)
+        return self._open()
+
     def upto_blank(self) -> bytes | None:
         at = 0
         while (at := self.held.find(b"\r\n\r\n", at)) < 0:
             at = max(0, len(self.held) - 3)
             if not self._more():
-                return None
+                if not self._follow():
+                    return None
+                at = 0
         head, self.held = self.held[:at], self.held[at + 4 :]
+        self.read += at + 4
         return head
 
     def take(self, n: int) -> bytes:
-        parts = [self.held]
-        size = len(self.held)
+        parts, size = [self.held], len(self.held)
         while size < n:
             self.held = b""
             if not self._more():
@@ -179,21 +207,21 @@ class _Members:
             size += len(self.held)
         whole = b"".join(parts)
         self.held = whole[n:]
+        self.read += min(n, len(whole))
         return whole[:n]
 
-    def skip(self, n: int) -> None:
-        pass
-
-    def next(self) -> None:
-        if self.length is not None:  # by the length that the member states, without inflating the rest
+    def leave(self, n: int) -> None:
+        if self.size is not None and self.read + n >= self.size:  # by the length that the member states, without inflating the rest
             self.begin += self.length
             self.file.seek(self.begin)
             self.raw = b""
-        else:
-            while not self.inflate.eof and self._more():
-                self.held = b""
-            self.begin = self.file.tell() - len(self.raw)
-        self._open()
+            self._open()
+            return
+        while n > 0:
+            if not self.held and not self._more():
+                return
+            part = min(n, len(self.held))
+            self.held, self.read, n = self.held[part:], self.read + part, n - part
 
 
 _FIELD = {
@@ -204,11 +232,14 @@ _FIELD = {
 
 def _value(head: dict[str, str], column: str) -> str | int | None:
     if column == "content_length":
-        return int(head.get("content-length", 0))
+        return _number(head.get("content-length"))
     got = head.get(_FIELD[column])
     if column == "payload_digest" and got is not None:
         name, _, code = got.partition(":")
-        return base64.b32decode(code).hex() if name.lower() == "sha1" and len(code) == 32 else code.lower()
+        try:
+            return base64.b32decode(code.upper()).hex() if name.lower() == "sha1" and len(code) == 32 else code.lower()
+        except binascii.Error:
+            return None
     return got
 
 
@@ -218,38 +249,41 @@ def records(file: pa.NativeFile, wanted, with_payload: bool) -> Iterator[tuple[d
     file.seek(0)
     source = _Members(file) if start == _GZIP else _Plain(file)
     while (top := source.upto_blank()) is not None:
-        head = _headers(top.lstrip(b"\r\n"))
-        n = int(head.get("content-length", 0))
+        begin = _BEGIN.search(top)
+        if begin is None:  # what stands between records
+            continue
+        head = _headers(top[begin.end() :])
+        n = _number(head.get("content-length"))
         if not wanted(head):
-            source.skip(n)
-        else:
-            http = head.get("content-type", "").startswith("application/http")
-            stated, used = n, 0
-            if http:
-                inner = source.upto_blank() or b""
-                used = len(inner) + 4
-                stated = int(_headers(inner).get("content-length", n - used))
-            if with_payload:
-                payload = source.take(n - used)
-                yield head, stated if http else len(payload), payload
-            else:
-                source.skip(n - used)
-                yield head, stated, None
-        source.next()
+            source.leave((n or 0) + 4 * (n is not None))
+            continue
+        http, stated, used, data = head.get("content-type", "").startswith("application/http"), n or 0, 0, None
+        if http and n:
+            inner = source.upto_blank() or b""
+            used = len(inner) + 4
+            stated = _number(_headers(inner).get("content-length"))
+            stated = n - used if stated is None else stated
+        if with_payload:
+            data, used = source.take((n or 0) - used), n or 0
+            stated = stated if http else len(data)
+        yield head, stated, data
+        source.leave((n or 0) - used + 4 * (n is not None))
+
+
+#: Tests of a header's value by the name of a comparison; a header that is absent passes none.
+_TESTS = {
+    "=": lambda v, x: v == x, "in": lambda v, x: v in x, "prefix": lambda v, x: v.startswith(x), ">": lambda v, x: v > x, ">=": lambda v, x: v >= x,
+    "<": lambda v, x: v < x, "<=": lambda v, x: v <= x, "present": lambda v, x: True,
+}
+_NAMES = {EqualTo: "=", In: "in", StringStartsWith: "prefix", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", IsNotNull: "present"}
+Predicate = tuple[str, str, object]
+
 
+def _passes(predicates: list[Predicate]):
+    def passes(head: dict[str, str]) -> bool:
+        return all((v := _value(head, column)) is not None and _TESTS[test](v, x) for column, test, x in predicates)
 
-def _passes(filters: list[Filter]):
-    tests = {
-        EqualTo: lambda v, f: v is not None and v == f.value,
-        In: lambda v, f: v is not None and v in f.value,
-        StringStartsWith: lambda v, f: v is not None and v.startswith(f.value),
-        GreaterThan: lambda v, f: v is not None and v > f.value,
-        GreaterThanOrEqual: lambda v, f: v is not None and v >= f.value,
-        LessThan: lambda v, f: v is not None and v < f.value,
-        LessThanOrEqual: lambda v, f: v is not None and v <= f.value,
-        IsNotNull: lambda v, f: v is not None,
-    }
-    return lambda head: all(tests[type(f)](_value(head, f.attribute[0]), f) for f in filters)
+    return passes
 
 
 @dataclass
@@ -258,16 +292,22 @@ class WarcPartition(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    HANDLED = (EqualTo, In, StringStartsWith, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, IsNotNull)
-
     def __init__(self, schema: StructType, options: dict) -> None:
-        self.schema, self.path, self.filters = schema, options["path"], []
+        self.schema, self.path = schema, options["path"]
+        self.filters: list[Predicate] = [(c, t, x) for c, t, x in json.loads(options.get("filters", "[]"))]
+        if odd := [f for f in self.filters if not self._able(f[0]) or f[1] not in _TESTS]:
+            raise ValueError(f"predicates that headers cannot answer: {odd}")
+        self.single = options.get("single_scan", "false") == "true"
         self.partition_bytes = int(options.get("partition_bytes", 64 << 20))
 
+    @staticmethod
+    def _able(column: str) -> bool:
+        return column in _FIELD or column == "content_length"
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
-            if isinstance(f, self.HANDLED) and len(f.attribute) == 1 and (f.attribute[0] in _FIELD or f.attribute[0] == "content_length"):
-                self.filters.append(f)
+            if self.single and type(f) in _NAMES and len(f.attribute) == 1 and self._able(f.attribute[0]):
+                self.filters.append((f.attribute[0], _NAMES[type(f)], getattr(f, "value", None)))
             else:
                 yield f
 
@@ -312,7 +352,7 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = options["path"], overwrite
-        self.file_bytes = int(options.get("file_bytes", 256 << 20))
+        self.file_bytes = int(options.get("file_bytes", 64 << 20))
         self.gzip = options.get("compression", "gzip") == "gzip"
         self.job = uuid.uuid4().hex
 
@@ -382,15 +422,33 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
+def read(spark: SparkSession, path: str, *predicates: Predicate) -> DataFrame:
+    """The records whose headers pass all predicates (column, one of ``=``, ``in``, ``prefix``, ``>``, ``>=``, ``<``, ``<=``, ``present``, value)."""
+    register(spark)
+    return spark.read.format("warc").option("filters", json.dumps(predicates)).load(path)
+
+
 def records_of_pages(pages: DataFrame) -> DataFrame:
     """Rows to write: of equal payloads of ``REVISIT_BYTES`` or more, the one with the largest page_id is response, the others revisit it."""
     rows = pages.select("page_id", F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumns(
         {"payload_length": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")}
     )
+    # Which pages share a payload is found by digests alone. Payloads only move where their digest may be shared and is not hot.
     groups = rows.where(F.col("payload_length") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    shared = groups.where("n > 1").select("payload_digest", "kept")
-    joined = rows.join(shared, "payload_digest", "left")
-    again = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
+    shared = stored(groups.where("n > 1"), "warc-shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > max(1, total // HOT_KEYS)  # fewer than HOT_KEYS digests
+    slot = F.pmod(F.xxhash64("payload_digest"), F.lit(FILTER_BITS))
+    cells = shared.where(~hot).select(slot.alias("s")).distinct().groupBy(F.floor(F.col("s") / 64).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
+    marked = rows.withColumn("s", slot).withColumn("cell", F.floor(F.col("s") / 64)).join(F.broadcast(cells), "cell", "left")
+    marked = marked.join(F.broadcast(shared.where(hot).select("payload_digest", F.struct("kept").alias("hot"))), "payload_digest", "left")
+    may = F.coalesce(F.expr("shiftrightunsigned(bits, cast(s % 64 as int)) & 1 = 1"), F.lit(False)) & (F.col("payload_length") >= REVISIT_BYTES) & F.col("hot").isNull()
+    names = ["page_id", "url", "payload", "payload_length", "payload_digest"]
+    long = F.col("payload_length") >= REVISIT_BYTES
+    near = marked.where(~may).select(*names, F.when(long, F.col("hot.kept")).alias("kept"), (F.col("hot").isNotNull() & long).alias("shared"))
+    far = marked.where(may).select(*names).join(shared.where(~hot).select("payload_digest", "kept", F.lit(True).alias("shared")), "payload_digest", "left")
+    joined = near.unionByName(far.withColumn("shared", F.coalesce("shared", F.lit(False))))
+    again = F.col("shared") & ~F.col("page_id").eqNullSafe(F.col("kept"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     return joined.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), name(F.col("page_id")).alias("record_id"), F.col("url").alias("target_uri"),

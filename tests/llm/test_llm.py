@@ -446,6 +446,93 @@ def test_foreign_archive(spark, tmp_path):
     assert sorted(bytes(r.payload) for r in spark.read.format("warc").load(str(tmp_path)).collect()) == [b"hello", b"world"]
 
 
+def test_archive_of_members_with_many_records(spark, tmp_path):
+    every = [warc.record("response", f"<urn:{k}>", f"http://{k}", None, None, None, b"x" * (k * 700)) for k in range(200)]
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(every)))
+    (tmp_path / "some.warc.gz").write_bytes(b"".join(gzip.compress(b"".join(every[k : k + 7])) for k in range(0, 200, 7)))
+    (tmp_path / "sized.warc.gz").write_bytes(b"".join(warc.member(b"".join(every[k : k + 3])) for k in range(0, 200, 3)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(every))
+    warc.register(spark)
+    for name in ("whole.warc.gz", "some.warc.gz", "sized.warc.gz", "plain.warc"):
+        back = spark.read.format("warc").load(str(tmp_path / name))
+        assert sorted((r.record_id, len(r.payload)) for r in back.collect()) == sorted((f"<urn:{k}>", k * 700) for k in range(200)), name
+        assert back.where("record_id = '<urn:151>'").select("payload_length").collect()[0][0] == 151 * 700, name
+        assert back.select("record_type").count() == 200, name
+
+
+def test_malformed_records(spark, tmp_path):
+    good = warc.record("response", "<urn:good>", "http://a", None, None, None, b"hello")
+    lines = {"digest": good.replace(b"WARC-Target-URI: http://a", b"WARC-Payload-Digest: sha1:" + b"1" * 32), "folded": good.replace(b"WARC/1.1\r\n", b"WARC/1.1\r\n folded before any\r\nno colon\r\n"),
+             "length": good.replace(b"Content-Length: 79", b"Content-Length: many") if b"Content-Length: 79" in good else good}
+    bad_length = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:none>\r\nContent-Length: many\r\n\r\nlost body\r\n\r\n"
+    warc.register(spark)
+    for name, data in (lines | {"none": bad_length}).items():
+        for pack in (lambda b: b, gzip.compress, warc.member):
+            path = tmp_path / f"{name}.warc"
+            path.write_bytes(pack(good + data + good))
+            rows = spark.read.format("warc").load(str(path)).collect()
+            assert [bytes(r.payload) for r in rows if r.record_id == "<urn:good>"][:1] == [b"hello"] and sum(r.record_id == "<urn:good>" for r in rows) >= 2, name
+            assert all(r.payload_digest is None and (r.content_length is None) == (r.record_id == "<urn:none>") for r in rows), name
+
+
+def test_warc_push_down(spark, tmp_path):
+    """Predicates on headers go to the reader; what they leave out is neither read to its end nor given."""
+    import pyarrow as pa
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains, StringStartsWith
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("record_id string, payload binary")
+    asked = [EqualTo(("record_type",), "response"), StringStartsWith(("target_uri",), "http://1"), GreaterThan(("payload_length",), 3), StringContains(("target_uri",), "x")]
+    assert list(warc.WarcReader(schema, {"path": "/"}).pushFilters(asked)) == asked
+    reader = warc.WarcReader(schema, {"path": "/", "single_scan": "true"})
+    assert list(reader.pushFilters(asked)) == asked[2:]
+    every = [warc.record("response" if k % 3 == 0 else "revisit", f"<urn:{k}>", f"http://{k}", None, "<urn:0>", 5, b"") for k in range(10)]
+    every += [warc.record("response", f"<urn:{k}>", f"http://{k}", None, None, None, random.Random(k).randbytes(2_000_000)) for k in range(10, 30)]
+    data = b"".join(map(warc.member, every))
+
+    class Counting:
+        """A file that counts what is read of it."""
+
+        def __init__(self):
+            self.file, self.bytes = pa.BufferReader(data), 0
+
+        def read(self, n):
+            out = self.file.read(n)
+            self.bytes += len(out)
+            return out
+
+        def seek(self, at):
+            return self.file.seek(at)
+
+        def tell(self):
+            return self.file.tell()
+
+    want = [f"<urn:{k}>" for k in range(30) if (k >= 10 or k % 3 == 0) and str(k).startswith("1")]
+    file = Counting()
+    assert [h["warc-record-id"] for h, _, _ in warc.records(file, warc._passes(reader.filters), True)] == want
+    assert file.bytes < 11 * 2_200_000
+    file = Counting()
+    assert len(list(warc.records(file, warc._passes(reader.filters), False))) == len(want) and file.bytes < len(data) / 10
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    some = warc.read(spark, str(tmp_path), ("record_type", "=", "response"), ("target_uri", "prefix", "http://1"))
+    assert sorted(r.record_id for r in some.select("record_id").collect()) == sorted(want)
+    # Scans of one table keep their own filters.
+    back = spark.read.format("warc").load(str(tmp_path)).select("record_id")
+    both = back.where("record_id = '<urn:1>'").union(back.where("record_id = '<urn:2>'"))
+    assert sorted(r.record_id for r in both.collect()) == ["<urn:1>", "<urn:2>"] and back.count() == 30
+    with pytest.raises(ValueError):
+        warc.WarcReader(schema, {"path": "/", "filters": '[["payload_length", "=", 3]]'})
+
+
+def test_warc_awkward_pages(spark):
+    body, other = "é" * 600, "z" * 300_000
+    rows = [(None, "http://n", body, 1), (7, None, body, 1), (7, "http://7", body, 1), (3, "http://3", body, 1), (4, "a\r\nb", other, 1), (5, "http://5", other, 1), (6, "http://6", None, 1), (8, "http://8", "", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, kept int").selectExpr("*", "'x' AS payload_digest", "2 AS n", "'y' AS shared")
+    against_sql(warc.archive_table(pages).drop("url"), f"SELECT * EXCLUDE (url) FROM ({warc.archive_sql()})", pages=pages.select("page_id", "url", "html").toArrow())
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.archive_table(pages).collect()]
+    assert sorted(got, key=str) == sorted([(None, "revisit", 7), (7, "response", None), (7, "response", None), (3, "revisit", 7), (4, "revisit", 5), (5, "response", None), (6, "response", None), (8, "response", None)], key=str)
+
+
 def test_mixture_targets(spark):
     rows = mixing.mixture(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     docs = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
