@@ -23,9 +23,9 @@ SHINGLE = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 BITS = 8
-#: Ids that are dealt together, at least, and how many such ranges there may be.
+#: Rows that are dealt together, about, at least, and how many such ranges there may be.
 RANGE = 512
-MAX_RANGES = 1 << 16
+MAX_RANGES = 1 << 14
 
 
 def _bin(x: Column) -> Column:
@@ -78,13 +78,19 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(df: DataFrame, key: str, order: str, carried: list[str]) -> DataFrame:
     """``df`` with ``next <name>`` for each carried column: the value of the row that follows by ``key``, after the last the first.
 
-    Rows are dealt by ranges of ids, of which there are at most ``MAX_RANGES`` (ids should be spread rather evenly). The
-    first rows of a range also go to the range before it, so that its last row has a neighbour. The list of ranges is
-    what is broadcast.
+    Rows are dealt by ranges of ids between quantiles of the ids, so ranges are about alike however ids are spread. The
+    first rows of a range also go to the range before it, so that its last row has a neighbour. The list of ranges, of
+    ``MAX_RANGES`` at most, is what is broadcast.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(RANGE, -(-((high or 0) - (low or 0) + 1) // MAX_RANGES))
-    part = F.coalesce(F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
+    rows = df.count()
+    n = max(1, min(MAX_RANGES, -(-rows // RANGE)))
+    # Quantiles to a tenth of a range.
+    cuts = df.agg(F.percentile_approx(key, F.lit([k / n for k in range(1, n)]) if n > 1 else F.lit([0.5]), F.lit(10 * n))).first()[0] or []
+    cuts = sorted(set(cuts))
+    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.lit([1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)] or [1])
+    below = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(bounds, lo + step - 1) <= F.col(key), lo + step).otherwise(lo))
+    part = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(below if cuts else F.lit(0)).cast("long")
     ranged = df.withColumn("own range", part)
     ranges = ranged.groupBy("own range").agg(F.min(key).alias("first key"))
     order_all = W.orderBy("own range")

@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, words: int, percent: int) ->
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = _asked(docs, ids)
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -213,7 +213,7 @@ def _across(members: DataFrame, sigs: DataFrame, docs: DataFrame, least: list[tu
     counts = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     mains = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"))
     known = members.join(mains, "band").withColumn("stray", F.col("component") != F.col("main.component"))
-    small_batches(docs.sparkSession, 64)
+    small_batches(docs.sparkSession)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +231,7 @@ def _across(members: DataFrame, sigs: DataFrame, docs: DataFrame, least: list[tu
     dealt = known.select("band", "rep", "component", "stray", F.explode(F.concat(as_y, as_x)).alias("t"))
     held = F.collect_list(F.struct("rep", "component", "stray", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "sig", "set"))  # about two BLOCKs
     groups = dealt.join(stored(sigs.join(sets, "rep"), "near-sets"), "rep").groupBy("band", "t.o", "t.b").agg(held.alias("m"))
-    small_batches(members.sparkSession, 4)
+    small_batches(members.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

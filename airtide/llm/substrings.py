@@ -218,7 +218,7 @@ def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """(id, spans) for rows (id, text): runs of repeated windows, each a first window and a number, packed as first * 2**16 + number."""
-    small_batches(rows.sparkSession, 256)
+    small_batches(rows.sparkSession)
     most = WINDOW - GRAM + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +303,7 @@ def substring_table(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     """The contract's digest for every row; ``with_text`` adds the kept words as ``kept_text``."""
     rows = _numbered(docs, text, key)
     spans = stored(repeated_windows(rows), "sub-spans")
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
 

@@ -14,7 +14,8 @@ whatever the document's own score.
 
 Defined results: null and empty texts have no token and get the score of a text without marking words. Repeated rows get
 equal results, null ids pass through and are never held out, an empty table gives no rows. Several labels of one id count
-as toxic if one is. Without usable labels every score is 0.
+as toxic if one is. Without usable labels every score is 0; where no word marks toxic documents every score is the same,
+below one half.
 """
 
 from __future__ import annotations
@@ -231,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     # Equal windows are one row; most hold one marking word, so there are few more than marking words.
     rows = made.groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()
     if not marking or not rows:
-        return Field(curve=(math.log((toxic + 0.5) / (clean + 0.5)), 0.0, 0.0))
+        return Field(curve=(min(math.log((toxic + 0.5) / (clean + 0.5)), -0.01), 0.0, 0.0))  # a field that marks nothing rejects nothing
     model = _trained(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), np.array([r["n"] for r in rows], dtype=float), marking)
 
     def sums(texts: list[str | None]) -> list[list]:

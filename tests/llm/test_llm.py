@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from airtide.llm import fingerprints, langid, mixing, neardup, packing, quality, secrets, substrings, toxicity, warc
 from airtide.llm import queries as Q
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -163,6 +164,38 @@ def test_near_duplicates_in_one_large_group(spark):
     against_sql(neardup.near_dup_table(docs), neardup.near_dup_sql(), documents=docs.toArrow())
 
 
+@pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
+def test_recall_at_the_threshold(spark, words, percent):
+    """Pairs whose likeness is at the threshold or a little above it, and a little below: all links are found, no other is."""
+    rng = random.Random(17)
+    rows, linked = [], []
+    for k in range(500):
+        base = [f"{k}w{rng.randrange(10**9)}" for _ in range(160)]
+        other = list(base)
+        while True:
+            a, b = (neardup.shingles(" ".join(x), words) for x in (base, other))
+            common = len(np.intersect1d(a, b))
+            edited, union = list(other), len(a) + len(b) - common
+            edited[rng.randrange(160)] = f"e{rng.randrange(10**9)}"
+            c = neardup.shingles(" ".join(edited), words)
+            now = len(np.intersect1d(a, c))
+            if 100 * now < percent * (len(a) + len(c) - now):  # one more edit and they are apart
+                break
+            other = edited
+        apart = k % 5 == 0
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited if apart else other))]
+        linked += [] if apart else [2 * k + 1]
+        assert apart or 100 * common >= percent * union
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=words, percent=percent).where("not kept").collect()
+    assert sorted(r.doc_id for r in got) == linked
+
+
+def test_near_duplicates_with_null_ids_and_extra_columns(spark):
+    docs = awkward(spark).withColumn("component_id", F.lit("x")).withColumn("kept", F.lit(1))
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_dup_table(docs).collect()}
+    assert (None, 1, None, False) in got and (6, 3, 5, False) not in got and any(r[0] == 6 and r[2] == 5 for r in got)
+
+
 def test_repeated_windows_by_index_and_by_hash(spark, monkeypatch):
     rng = random.Random(2)
     passage = [f"p{k}" for k in range(60)]
@@ -207,6 +240,40 @@ def test_fingerprints_estimate_likeness(spark):
     assert abs(np.mean(error)) < 0.02 and np.std(error) < 0.08
 
 
+def test_neighbours_of_oddly_spread_ids(spark, monkeypatch):
+    """Ids far from all others, negative, repeated and null ones; the next row by id, after the last the first, and ranges about alike."""
+    monkeypatch.setattr(fingerprints, "RANGE", 8)
+    rng = random.Random(9)
+    ids = [None, -(1 << 62), 1 << 62, (1 << 62) + 1, 5, 5, *rng.sample(range(1000), 150), *rng.sample(range(1 << 40, (1 << 40) + 10**6), 50)]
+    rows = [(k, f"t{i} " + " ".join(rng.choice("abcdef") for _ in range(9))) for i, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, t string").repartition(5)
+    got = fingerprints.with_next(df, "doc_id", "t", ["t"]).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted((str(r.doc_id), r.t, r["next t"]) for r in got) == sorted((str(k), t, want[(i + 1) % len(want)][1]) for i, (k, t) in enumerate(want))
+
+
+def test_fingerprints_against_brute_force(spark):
+    """Bins from the same shingle hashes, filled by probing one bin after the other."""
+    texts = ["", "one", "a b c", " ".join(str(random.Random(1).random()) for _ in range(3)), *(" ".join(f"w{random.Random(k).randrange(50)}x{j}" for j in range(5 + 9 * k)) for k in range(40))]
+    words = F.expr(r"filter(split(t, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    rows = fingerprints.with_fingerprint(df, "t", "f").withColumn("h", hashed).withColumn("s", F.when(F.size("h") >= 5, F.expr("transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4]))")).when(F.size("h") > 0, F.expr("array(xxhash64(h))"))).collect()
+    bins, digits = fingerprints.BINS, fingerprints.BITS // 4
+    for r in rows:
+        low: dict[int, int] = {}
+        for x in r.s or []:
+            b = (x >> (64 - fingerprints.BIN_BITS)) + bins // 2
+            low[b] = min(low.get(b, 1 << 63), x)
+        out = ""
+        for j in range(bins if low else 0):
+            step = pow(((j * 46 + 11) % bins) | 1, -1, bins)  # bin j probes shift, shift + step, ...
+            probes = [j] + [((j * 73 + 29) + step * t) % bins for t in range(bins)]
+            value = next(low[b] for b in probes if b in low)
+            out += f"{value & ((1 << fingerprints.BITS) - 1):0{digits}x}"
+        assert r.f == out, r.t
+
+
 def test_secret_layers():
     secret = "password=abcdefghijkl1234"
     plain_ = base64.b64encode(secret.encode()).decode()
@@ -546,8 +613,6 @@ def test_mixture_targets(spark):
 
 def test_permutation_of_blocks(spark):
     """Every block once in each round, for any number of blocks; rounds and sources differ, and neighbours do not stay together."""
-    from pyspark.sql import functions as F
-
     for n in (1, 2, 27, 1001, 5000):
         j = spark.range(2 * n).selectExpr("id AS j", f"CAST({n} AS BIGINT) AS n", "'0a' AS skey").withColumn("keys", mixing._keys(F.col("skey"), F.col("n")))
         got = [r[0] for r in j.orderBy("j").select(mixing._permuted(F.col("j"), F.col("n"), F.col("keys"))).collect()]
@@ -601,6 +666,80 @@ def test_pipeline_stages(spark):
     assert kept.count() == awkward_docs.count() - 3  # a copy, a near copy and a repeated row go
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path, empty):
+    """The whole run and each stage on rows of all odd kinds, and on tables without rows."""
+    import corpus_pipeline
+
+    secret = "x " + encoded(b"password=abcdefghijkl1234") + " y"
+    docs = awkward(spark).unionByName(spark.createDataFrame([(20, secret, "en", "a", len(secret))], DOCS).selectExpr("*", "1 AS score", "'z' AS skey", "2 AS block", "3 AS rep", "4 AS id"))
+    docs = docs.where("false") if empty else docs
+    labels = spark.createDataFrame([(1, 0, 1), (5, 1, 0), (None, 1, 1), (6, 0, None)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    (labels.where("false") if empty else labels).write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        if name == "packing":
+            assert (out.count() > 0) == (not empty)
+        else:
+            assert out.columns == docs.columns
+            now = corpus_pipeline.stored(out, "test-odd")
+            if name == "secrets" and not empty:
+                assert "REDACTED" in now.where("doc_id = 20").first()["text"]
+    # Words that the mix shows: every document with words at most twice, null and empty texts never.
+    shown = {} if empty else {r.doc_id: r["count"] for r in now.groupBy("doc_id").count().collect()}
+    assert not {1, 2, 3} & shown.keys() and all(n <= 2 for n in shown.values())
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (not pieces) == empty and sum(p.length for p in pieces) == sum(len(p.ids) for p in pieces)
+
+
+def test_pipeline_against_brute_force(spark):
+    """What each stage keeps of the smallest tables, told by plain code from the stage's own input."""
+    import corpus_pipeline
+
+    (_, toxic), (_, near), (_, secret), (_, mix), (_, packing_) = corpus_pipeline.STAGES
+    docs = corpus_pipeline.stored(spark.read.parquet(f"{SF}/documents.parquet"), "test-brute")
+    clean = corpus_pipeline.stored(toxic(spark, docs, SF), "test-brute")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(corpus_pipeline.fold_of(F.col("doc_id"), 5) != 0))
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in docs.collect() if model.score(model.judge(r.text)[0]) < 0.5)
+    one = corpus_pipeline.stored(near(spark, clean, SF), "test-brute")
+    rows = sorted(clean.collect(), key=lambda r: r.doc_id)
+    sets = {r.doc_id: neardup.shingles(r.text, 5) for r in rows}
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = list(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    kept = [r.doc_id for r in one.collect()]
+    assert len(kept) == len({top(d) for d in ids}) and {top(d) for d in kept} == {top(d) for d in ids}
+    safe = corpus_pipeline.stored(secret(spark, one, SF), "test-brute")
+    assert {r.doc_id: r.text for r in safe.collect()} == {r.doc_id: secrets.redacted(r.text) for r in one.collect()}
+    mixed = corpus_pipeline.stored(mix(spark, safe, SF), "test-brute")
+    words = {r.doc_id: 0 for r in safe.collect()}
+    for r in mixed.collect():
+        words[r.doc_id] += len(r.text.split())
+    con = duckdb.connect()
+    con.register("documents", safe.select("doc_id", "text", "source").toArrow())
+    assert words == dict(con.sql(f"SELECT doc_id, taken FROM ({mixing.mixture_sql()})").fetchall())
+    t, got = library(), {}
+    for p in packing_(spark, mixed, SF).collect():
+        got.setdefault(p.doc_id, []).extend(p.ids)
+    want: dict = {}
+    for r in mixed.collect():
+        want.setdefault(r.doc_id, []).extend([*t.encode(r.text, add_special_tokens=False).ids, 1])
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
+
+
 def test_mix_does_not_depend_on_where_rows_stand(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = []
