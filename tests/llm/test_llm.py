@@ -445,17 +445,25 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_packing_knows_the_librarys_classes_of_characters():
+    """Every code point, within letters, digits and marks, after a space, alone and doubled: the pattern's classes are the same, hence all pieces are."""
+    encode = packing.Encoder()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 20_000):
+        texts = [f"a{c}a 1{c}1 .{c}. {c}{c}  {c} a\n{c}'s" for c in points[k : k + 20_000]]
+        assert [encode._fast.encode_ordinary(t) for t in texts] == encode.library(texts)
+
+
 def test_packing_ids_are_the_librarys():
     """Every document of sf0.01, texts with added tokens, very long runs, and random characters of all kinds."""
     import pyarrow.parquet as pq
 
     t, encode, rng, e = library(), packing.Encoder(), random.Random(6), "<|endoftext|>"
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
-    texts += [f"x {e} y", e, e + e, f"a{e}", f"{e}\n\n b", f"<|{e}|>", f"don't {e}'t", f"  {e}  é", e[:-1], f"a {e} " + " " * 100_000, "a" + "\n" * 100_000 + "b", "a" + " " * 100_000 + "b"]
+    texts += [f"x {e} y", e, e + e, f"a{e}", f"{e}\n\n b", f"<|{e}|>", f"don't {e}'t", f"  {e}  é", e[:-1], f"a {e} " + " " * 100_000, "a" + "\n" * 1_000_000 + "b", "a" + " " * 1_000_000 + "b"]
     kinds = "ab'stre .,!?)#  \n\n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u3000\u200b0١²Ⅷé\u0301字😀_-%$*|<>&"
     texts += ["".join(rng.choice(kinds) for _ in range(rng.randrange(1, 60))) for _ in range(20_000)]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 0x3000), 32, 10])) for _ in range(40)) for _ in range(3_000)]
-    assert encode._cut is not None
     for k in range(0, len(texts), 512):
         part = texts[k : k + 512]
         want = t.encode_batch([x or "" for x in part], add_special_tokens=False)
