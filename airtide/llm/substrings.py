@@ -38,7 +38,7 @@ from .neardup import _asked, _Words
 
 WINDOW = 35
 GRAM = 8
-SHARD_WORDS = 300_000
+SHARD_WORDS = 600_000
 #: Different pieces of a minimizer that go to one shard; those of a minimizer with more go window by window.
 MAX_CONTENTS = 4_000
 #: Above the longest piece; suffixes are sorted to this depth.
@@ -83,12 +83,17 @@ def pieces(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         none = np.empty(0, dtype=np.int64)
         return none, none, none, none
     at = np.arange(n - GRAM + 1)
-    grams = run_hashes(w, at, at + GRAM)
-    place = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).argmin(axis=1) + np.arange(n - WINDOW + 1)
-    start = np.append(0, np.flatnonzero(np.diff(place)) + 1)
-    count = np.diff(np.append(start, len(place)))
+    low = run_hashes(w, at, at + GRAM)
+    size, width = 1, WINDOW - GRAM + 1  # smallest of so many grams from each on
+    while 2 * size <= width:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    low = np.minimum(low[: len(low) - width + size], low[width - size :])
+    start = np.append(0, np.flatnonzero(low[1:] != low[:-1]) + 1)
+    place = np.arange(len(low)) - np.repeat(start, np.diff(np.append(start, len(low))))
+    start = np.flatnonzero(place % width == 0)  # one gram again and again may be smallest for longer
+    count = np.diff(np.append(start, len(low)))
     content = run_hashes(w, start, start + count + WINDOW - 1)
-    return grams[place[start]].view(np.int64), content.view(np.int64), start, count
+    return low[start].view(np.int64), content.view(np.int64), start, count
 
 
 class Bits:
@@ -125,7 +130,7 @@ class FMIndex:
         while True:
             key = rank * np.int64(2 * n + 2)
             key[: n - depth] += rank[depth:] + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             step = np.append(0, (key[order][1:] != key[order][:-1]).astype(np.int64))
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(step)
@@ -159,8 +164,9 @@ class FMIndex:
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes that begin with c and go on as those in [lo, hi)."""
-        base = self.first[c] - self.zero[c]
-        return base + self._down(c, lo), base + self._down(c, hi)
+        base, n = self.first[c] - self.zero[c], len(c)
+        both = self._down(np.concatenate([c, c]), np.concatenate([lo, hi]))
+        return base + both[:n], base + both[n:]
 
     def reach(self, codes: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """For each stop the smallest start, not before begin, such that codes[start:stop] occurs more than once. All go on in step."""
@@ -182,9 +188,10 @@ class FMIndex:
     def repeated(self, texts: list[np.ndarray], least: int) -> list[tuple[int, int, int]]:
         """(text, start, stop) of matches of at least ``least`` words that occur more than once; together they hold every such window.
 
-        A text is searched from its end first. Where the match does not go back to its begin, windows are tried from the
-        left: if the search of one fails at a word, no window with that word and the window's last one occurs twice, so
-        the next to try is the first that begins after that word.
+        A text is searched from its end first. Where the match does not go back to its begin, windows are settled from the
+        left. If the search of one fails at a word, no window with that word and the window's last one occurs twice, so
+        the next is the first that begins after that word. If it holds, several windows on are tried at once, more each
+        time, half as many after a failure; the first guess is all up to the word at which the search from the end failed.
         """
         out: list[tuple[int, int, int]] = []
         lengths = np.array([len(t) for t in texts])
@@ -202,13 +209,19 @@ class FMIndex:
         long = report(which, begin, start, last)
         last = np.where(long, start + least, last) - 1  # later windows are known
         at = begin + least
+        step = np.maximum(1, start - at)
         while True:
             on = at <= last
-            which, begin, last, at = which[on], begin[on], last[on], at[on]
+            which, begin, last, at, step = which[on], begin[on], last[on], at[on], step[on]
             if not len(which):
                 return out
-            start = self.reach(codes, begin, at)
-            at = np.where(report(which, begin, start, at), at + 1, start + least)
+            stop = np.minimum(at + step - 1, last)
+            start = self.reach(codes, begin, stop)
+            report(which, begin, start, stop)
+            held = start <= at - least  # the windows that end from at to stop
+            one = stop == at
+            at = np.where(held, stop + 1, np.where(one, start + least, at))
+            step = np.where(held, 2 * step, np.where(one, 1, np.maximum(1, (stop - at + 1) // 2)))
 
 
 def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
