@@ -48,36 +48,56 @@ def butterworth(kind: str, cutoff: float | tuple[float, float], order: int, rate
     return out
 
 
+#: Samples that a section filters in one product of matrices.
+BLOCK = 64
+
+
 def _sections(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Run the sections over the rows of x (series, samples)."""
-    y = x.copy()
+    """Run the sections over the rows of x (series, samples), block by block: outputs and the next state are linear in a block and its state."""
+    n = x.shape[1]
+    y = np.pad(x, ((0, 0), (0, -n % BLOCK)))
     for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        s1, s2 = state[k, 0].copy(), state[k, 1].copy()
-        for n in range(y.shape[1]):
-            v = y[:, n].copy()
-            o = b0 * v + s1
-            s1 = b1 * v - a1 * o + s2
-            s2 = b2 * v - a2 * o
-            y[:, n] = o
-    return y
+        move, push = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        powers = [np.eye(2)]
+        for _ in range(BLOCK):
+            powers.append(powers[-1] @ move)
+        answer = np.array([b0] + [(powers[i] @ push)[0] for i in range(BLOCK - 1)])
+        i, j = np.indices((BLOCK, BLOCK))
+        own = np.where(i >= j, answer[np.maximum(i - j, 0)], 0.0)
+        held = np.array([p[0] for p in powers[:BLOCK]])
+        into = np.array([powers[BLOCK - 1 - i] @ push for i in range(BLOCK)])
+        s = np.broadcast_to(state[k].T, (y.shape[0], 2))
+        for at in range(0, y.shape[1], BLOCK):
+            part = y[:, at : at + BLOCK].copy()
+            y[:, at : at + BLOCK] = part @ own.T + s @ held.T
+            s = s @ powers[BLOCK].T + part @ into
+    return y[:, :n]
+
+
+def at_rest(sos: np.ndarray) -> np.ndarray:
+    """(section, 2) states of sections that a constant 1 has gone through for ever."""
+    rest, scale = [], 1.0
+    for b0, b1, b2, _, a1, a2 in sos:
+        matrix = np.array([[1 + a1, -1.0], [a2, 1.0]])
+        rest.append(np.linalg.solve(matrix, [b1 - a1 * b0, b2 - a2 * b0]) * scale)
+        scale *= (b0 + b1 + b2) / (1 + a1 + a2)
+    return np.array(rest)
+
+
+def padding(sos: np.ndarray) -> int:
+    """Samples by which a series is extended at either end."""
+    return 3 * (2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum())))
 
 
 def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward over the last axis, odd extension at the ends, sections in their steady state at first."""
     if np.isnan(x).any():
         raise ValueError("missing values cannot be filtered")
-    flat = np.atleast_2d(x.reshape(-1, x.shape[-1]))
-    taps = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
-    pad = 3 * taps
+    flat, pad = np.atleast_2d(x.reshape(-1, x.shape[-1])), padding(sos)
     if flat.shape[1] <= pad:
         raise ValueError(f"a series of more than {pad} samples is needed")
     wide = np.concatenate([2 * flat[:, :1] - flat[:, pad:0:-1], flat, 2 * flat[:, -1:] - flat[:, -2 : -pad - 2 : -1]], axis=1)
-    rest, scale = [], 1.0
-    for b0, b1, b2, _, a1, a2 in sos:
-        matrix = np.array([[1 + a1, -1.0], [a2, 1.0]])
-        rest.append(np.linalg.solve(matrix, [b1 - a1 * b0, b2 - a2 * b0]) * scale)
-        scale *= (b0 + b1 + b2) / (1 + a1 + a2)
-    zi = np.array(rest)[:, :, None]
+    zi = at_rest(sos)[:, :, None]
     y = _sections(sos, wide, zi * wide[:, 0])
     y = _sections(sos, y[:, ::-1].copy(), zi * y[:, -1])[:, ::-1]
     return y[:, pad:-pad].reshape(x.shape)
@@ -104,19 +124,44 @@ def refined_peak(freq: np.ndarray, power: np.ndarray, low: float, high: float) -
     return float(freq[k] + (freq[1] - freq[0]) * (0.5 * (a - c) / bend if bend else 0.0))
 
 
-def phase_lag(a: np.ndarray, b: np.ndarray, reach: int) -> int | None:
-    """Lag of the correlation peak of two series nearest to 0 within ``reach``; None if there is no peak."""
+def prominent(c: np.ndarray, height: float, least: float) -> list[int]:
+    """Peaks not below a height with at least this prominence; a flat top counts at its middle.
+
+    A peak's prominence is its height over the higher of the two lowest values that lie between it and, on either side,
+    the next higher value or the end.
+    """
+    edges = np.flatnonzero(np.diff(c) != 0)
+    first, last = np.append(0, edges + 1), np.append(edges, len(c) - 1)  # runs of equal values
+    v = c[first]
+    found = []
+    for r in range(1, len(v) - 1):
+        if v[r] <= v[r - 1] or v[r] <= v[r + 1] or v[r] < height:
+            continue
+        left, right = v[:r][::-1], v[r + 1 :]
+        lows = [side[: int(np.argmax(side > v[r])) if (side > v[r]).any() else len(side)].min() for side in (left, right)]
+        if v[r] - max(lows) >= least:
+            found.append(int(first[r] + last[r]) // 2)
+    return found
+
+
+def phase_lag(a: np.ndarray, b: np.ndarray, reach: float) -> int | None:
+    """How much later series a is than b, from the peak of their correlation nearest to 0 within ``reach``; None without one.
+
+    Peaks are as prominent as the deviation of the whole correlation; of two as near the higher one counts, and then the later.
+    """
     t = np.arange(len(a))
     a, b = (v - np.polyval(np.polyfit(t, v, 1), t) for v in (a, b))
     n = len(a)
     size = 1 << (2 * n - 1).bit_length()
     full = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)
-    lags = np.arange(-min(reach, n - 1), min(reach, n - 1) + 1)
+    lags = np.arange(-((n - 1) // 2), n // 2 + 1)  # the middle n lags
     c = full[lags]
-    top = [k for k in range(1, len(c) - 1) if c[k] > c[k - 1] and c[k] >= c[k + 1] and c[k] >= 0 and c[k] - max(c[:k].min(), c[k + 1 :].min()) >= c.std()]
+    near = np.abs(lags) <= reach
+    top = prominent(c[near], 0.0, float(c.std()))
     if not top:
         return None
-    return int(lags[min(top, key=lambda k: (abs(lags[k]), -c[k]))])
+    inside, values = lags[near], c[near]
+    return int(inside[min(top, key=lambda k: (abs(inside[k]), -values[k], -inside[k]))])
 
 
 def watershed(image: np.ndarray, markers: np.ndarray) -> np.ndarray:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .signal import order
+from .signal import blackman, fill_nearest, moving_average, order, with_invalid
 
 
 def extrema(data: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ def suppressed(points: DataFrame, distance: int) -> DataFrame:
 def trimmed(points: DataFrame, data: DataFrame) -> DataFrame:
     """Without the first or last valley if the signal outside it stays below the average there; peaks only between valleys."""
     before = F.max("value").over(order().rowsBetween(W.unboundedPreceding, -1))
-    after = F.max("value").over(order().rowsBetween(1, W.unboundedFollowing))
+    after = F.max("value").over(W.partitionBy("recording_id").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1))
     around = data.select("recording_id", "idx", "average", before.alias("before"), after.alias("after"))
     joined = points.join(around, ["recording_id", "idx"])
     valley = F.col("kind") == -1
@@ -103,6 +106,27 @@ def near_invalid(breaths: DataFrame, data: DataFrame, width: int) -> DataFrame:
     return some.where(F.coalesce("chi", F.lit(0)) == F.coalesce("clo", F.lit(0))).select(*breaths.columns)
 
 
+def find_breaths(
+    data: DataFrame, sample_frequency: float, *, minimum_duration: float = 2 / 3, averaging_duration: float = 15.0, averaging_function: Callable[[int], list[float]] | None = blackman,
+    amplitude_cutoff_fraction: float | None = 0.25, invalid_window: float = 0.5, invalid_percentile: float = 5, invalid_multiplier: float = 4,
+) -> DataFrame:
+    """(recording_id, breath_idx, start, middle and end idx, time and value) of the breaths of every recording.
+
+    ``data`` has (recording_id, idx, time, value). Outliers are replaced by their nearest neighbours. Peaks above and
+    valleys below the moving average, at least ``minimum_duration`` seconds from others of their kind, are thinned to turns:
+    the ends' valleys must be real ones, between two of a kind only the most extreme stays, peaks of low amplitude go.
+    Breaths within ``invalid_window`` seconds of an outlier are left out. A recording without two valleys and a peak has none.
+    """
+    source = data.select("recording_id", "idx", "time", F.col("value").cast("double").alias("value"))
+    filled = fill_nearest(with_invalid(source, percent=invalid_percentile, multiplier=invalid_multiplier))
+    averaged = moving_average(filled, int(sample_frequency * averaging_duration), averaging_function)
+    points = suppressed(extrema(averaged), math.ceil(max(minimum_duration * sample_frequency, 1)))
+    kinds = points.groupBy("recording_id").agg(F.sum(F.expr("int(kind = -1)")).alias("valleys"), F.sum(F.expr("int(kind = 1)")).alias("peaks"))
+    points = points.join(kinds.where("valleys >= 2 and peaks >= 1").select("recording_id"), "recording_id")
+    found = assembled(without_low(alternating(trimmed(points, averaged)), amplitude_cutoff_fraction))
+    return near_invalid(found, averaged, math.ceil(invalid_window * sample_frequency))
+
+
 def tidal_variation(breaths: DataFrame) -> DataFrame:
     """Inspiratory, expiratory and mean tidal variation and end-expiratory level of each breath."""
     s, m, e = F.col("start_value"), F.col("middle_value"), F.col("end_value")

@@ -20,15 +20,69 @@ def aggregate_maps(maps: DataFrame, **aggregates: Callable[[Column], Column]) ->
     return maps.groupBy("row", "col").agg(*[f(F.col("value")).alias(n) for n, f in aggregates.items()])
 
 
-def arithmetic(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pixelwise sum, difference, product and quotient (null for a divisor of 0) of two maps of one shape."""
-    x, y = a.select("row", "col", F.col("value").alias("x")), b.select("row", "col", F.col("value").alias("y"))
+def arithmetic(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pixelwise sum, difference, product and quotient (null for a divisor of 0) of maps, paired by the columns ``by``.
+
+    Maps of a pair must be of one shape: a pixel that only one of them has is an error.
+    """
+    on = [*by, "row", "col"]
+    x, y = a.select(*on, "value", F.lit(1).alias("in a")), b.select(*on, F.col("value").alias("other"), F.lit(1).alias("in b"))
+    odd = F.col("in a").isNull() | F.col("in b").isNull()
+    both = x.join(y, on, "full").withColumn("value", F.when(odd, F.raise_error(F.lit("maps of different shapes")).cast("double")).otherwise(F.col("value")))
     c = F.col
-    return x.join(y, ["row", "col"]).select(
-        "row", "col", (c("x") + c("y")).alias("total"), (c("x") - c("y")).alias("difference"), (c("x") * c("y")).alias("product"), F.try_divide("x", "y").alias("quotient")
+    return both.select(
+        *on, (c("value") + c("other")).alias("total"), (c("value") - c("other")).alias("difference"), (c("value") * c("other")).alias("product"), F.try_divide("value", "other").alias("quotient")
     )
 
 
+#: Kinds of maps: what values may be. A difference of maps is a ``difference``; other results keep the first map's kind.
+KINDS = ("plain", "difference", "amplitude", "tidal impedance variation", "perfusion", "pendelluft", "signed pendelluft")
+NOT_NEGATIVE = ("amplitude", "tidal impedance variation", "perfusion", "pendelluft")
+
+
+def combine(a: DataFrame, b: DataFrame | float, operation: str, *, by: tuple[str, ...] = (), reverse: bool = False) -> DataFrame:
+    """Map values plus (``+``), minus (``-``), times (``*``) or over (``/``) another map's or a number; ``reverse`` swaps the sides.
+
+    A ``kind`` column goes on: a number keeps it, ``-`` of maps makes it ``difference``, other operations keep the first's.
+    """
+    made = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": F.try_divide}
+    if operation not in made:
+        raise ValueError(f"unknown operation {operation!r}")
+    sides = lambda x, y: made[operation](*((y, x) if reverse else (x, y)))
+    if not isinstance(b, DataFrame):
+        return a.withColumn("value", sides(F.col("value"), F.lit(float(b))))
+    on = [*by, "row", "col"]
+    name = {"+": "total", "-": "difference", "*": "product", "/": "quotient"}[operation]
+    out = (arithmetic(b, a, by) if reverse else arithmetic(a, b, by)).select(*on, F.col(name).alias("value"))
+    if "kind" not in a.columns:
+        return out
+    return out.join(a.select(*on, "kind"), on).withColumn("kind", F.lit("difference") if operation == "-" else F.col("kind"))
+
+
+def convert(maps: DataFrame, kind: str, **attributes: str) -> DataFrame:
+    """The maps as another kind, with further columns set; ``negative`` tells of values that the kind should not have."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}")
+    out = maps.withColumn("kind", F.lit(kind)).withColumns({n: F.lit(v) for n, v in attributes.items()})
+    return out.withColumn("negative", F.lit(kind in NOT_NEGATIVE) & F.coalesce(F.col("value") < 0, F.lit(False)))
+
+
+def to_boolean(value: Column, *, zero: bool = False) -> Column:
+    """Missing values are false, as is 0 unless ``zero``."""
+    there = value.isNotNull() & ~F.isnan(value)
+    return F.coalesce(there if zero else there & (value != 0), F.lit(False))
+
+
+def to_integer(value: Column) -> Column:
+    """Whole part; missing values are 0."""
+    return filled(value).cast("long")
+
+
+def filled(value: Column, by: float = 0.0) -> Column:
+    """Missing values replaced."""
+    return F.coalesce(F.when(~F.isnan(value), value), F.lit(float(by)))
+
+
 def normalize(maps: DataFrame, mode: str, reference: float | None = None) -> DataFrame:
     """``zero-based``, ``symmetric``, ``maximum`` or ``reference`` normalization within each map.
 

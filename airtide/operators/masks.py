@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 NAMES = {
     "V": "ventral", "D": "dorsal", "R": "right", "L": "left", "L1": "layer 1", "L2": "layer 2", "L3": "layer 3", "L4": "layer 4",
@@ -30,30 +31,46 @@ def geometric(spark: SparkSession, names: list[str], rows: int = 32, cols: int =
     return out
 
 
-def apply(pixels: DataFrame, masks: DataFrame, value: str = "z") -> DataFrame:
-    """Weighted values of the pixels that each mask includes. A mask is an image's size at most, so it is broadcast."""
-    return pixels.join(F.broadcast(masks), ["row", "col"]).withColumn(value, F.col(value) * F.col("weight"))
+def apply(pixels: DataFrame, masks: DataFrame, value: str = "z", *, label_format: str | None = None) -> DataFrame:
+    """Weighted values of the pixels that each mask includes; masks with a recording_id only apply to that recording's pixels.
+
+    ``label_format`` makes a column ``label``, its ``{mask_label}`` being the mask's id.
+    """
+    on = [c for c in ("recording_id", "row", "col") if c != "recording_id" or c in masks.columns]
+    out = pixels.join(masks, on).withColumn(value, F.col(value) * F.col("weight"))
+    if label_format is None:
+        return out
+    if "{mask_label}" not in label_format:
+        raise ValueError("label_format must hold {mask_label}")
+    return out.withColumn("label", F.replace(F.lit(label_format), F.lit("{mask_label}"), F.col("mask_id").cast("string")))
 
 
-def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sum of the weights, at most 1."""
-    return a.unionByName(b).groupBy("row", "col").agg(F.least(F.sum("weight"), F.lit(1.0)).alias("weight")).where("weight > 0")
+def union(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of the weights, at most 1; masks are paired by the columns ``by``."""
+    on = [*by, "row", "col"]
+    return a.select(*on, "weight").unionByName(b.select(*on, "weight")).groupBy(*on).agg(F.least(F.sum("weight"), F.lit(1.0)).alias("weight")).where("weight > 0")
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+def difference(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Weights of a less those of b; pixels left without weight are excluded."""
-    other = b.select("row", "col", F.col("weight").alias("less"))
-    return a.join(other, ["row", "col"], "left").select("row", "col", (F.col("weight") - F.coalesce("less", F.lit(0.0))).alias("weight")).where("weight > 0")
+    on = [*by, "row", "col"]
+    other = b.select(*on, F.col("weight").alias("less"))
+    return a.join(other, on, "left").select(*on, (F.col("weight") - F.coalesce("less", F.lit(0.0))).alias("weight")).where("weight > 0")
 
 
-def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+def intersection(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Product of the weights of pixels in both."""
-    return a.join(b.select("row", "col", F.col("weight").alias("by")), ["row", "col"]).select("row", "col", (F.col("weight") * F.col("by")).alias("weight"))
+    on = [*by, "row", "col"]
+    return a.join(b.select(*on, F.col("weight").alias("by")), on).select(*on, (F.col("weight") * F.col("by")).alias("weight"))
 
 
-def combine(masks: DataFrame, method: str, n_masks: int) -> DataFrame:
-    """Sum (at most 1) or product over all masks of a collection."""
-    if n_masks == 0 or method not in ("sum", "product"):
+def combine(masks: DataFrame, method: str, n_masks: int | None = None) -> DataFrame:
+    """Sum (at most 1) or product over all masks of a collection, which are counted unless their number is given."""
+    if method not in ("sum", "product"):
+        raise ValueError("masks are combined by sum or product")
+    if n_masks is None:
+        n_masks = masks.select("mask_id").distinct().count()
+    if n_masks == 0:
         raise ValueError("a sum or product needs masks")
     each = masks.groupBy("row", "col")
     if method == "sum":
@@ -62,14 +79,82 @@ def combine(masks: DataFrame, method: str, n_masks: int) -> DataFrame:
     return each.agg(F.count("*").alias("n"), product.alias("weight")).where(F.col("n") == n_masks).drop("n")
 
 
-def regions(mask: DataFrame, *, connectivity: int = 1, limit: int = 10_000) -> DataFrame:
-    """(mask_id, row, col, region): the smallest pixel number that each pixel reaches by neighbours of four (1) or eight (2).
+class Collection:
+    """Masks (row, col, weight) by label, or without labels, by number; a collection is of one sort only."""
+
+    def __init__(self, masks: dict[str, DataFrame] | list[DataFrame] | None = None) -> None:
+        self.masks: dict[str | int, DataFrame] = {}
+        for label, mask in masks.items() if isinstance(masks, dict) else ((None, m) for m in masks or ()):
+            self.add(mask, label)
+
+    @property
+    def anonymous(self) -> bool:
+        return bool(self.masks) and all(isinstance(k, int) for k in self.masks)
+
+    def add(self, mask: DataFrame, label: str | None = None, *, overwrite: bool = False) -> Collection:
+        """Add a mask; one without a label gets the next number. A label that is there is only taken with ``overwrite``."""
+        if missing := {"row", "col", "weight"} - set(mask.columns):
+            raise ValueError(f"a mask needs the columns {sorted(missing)}")
+        if label is not None and not isinstance(label, str):
+            raise TypeError("a label is a string")
+        if self.masks and self.anonymous != (label is None):
+            raise ValueError("masks with and without labels do not mix")
+        if label in self.masks and not overwrite:
+            raise KeyError(f"{label!r} is in the collection already")
+        self.masks[len(self.masks) if label is None else label] = mask.select("row", "col", "weight")
+        return self
+
+    def __len__(self) -> int:
+        return len(self.masks)
+
+    def __getitem__(self, key: str | int) -> DataFrame:
+        return self.masks[key]
+
+    def table(self) -> DataFrame:
+        """(mask_id, row, col, weight) of all masks."""
+        if not self.masks:
+            raise ValueError("the collection is empty")
+        out = None
+        for key, mask in self.masks.items():
+            part = mask.select(F.lit(key).alias("mask_id"), "row", "col", "weight")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def combine(self, method: str = "sum") -> DataFrame:
+        return combine(self.table(), method, len(self))
+
+    def apply(self, pixels: DataFrame, value: str = "z", *, label_format: str | None = None) -> DataFrame:
+        return apply(pixels, self.table(), value, label_format=label_format)
+
+
+def is_weighted(masks: DataFrame) -> DataFrame:
+    """(mask_id, weighted): whether a mask has weights other than 1."""
+    return masks.groupBy("mask_id").agg(F.bool_or(F.col("weight") != 1).alias("weighted"))
+
+
+#: Region numbers are row * WIDTH + column of a region's first pixel, so images have fewer columns.
+WIDTH = 1 << 20
+
+
+def _steps(connectivity: int | list[list[int]]) -> list[tuple[int, int]]:
+    if isinstance(connectivity, int) and not isinstance(connectivity, bool):
+        if connectivity not in (1, 2):
+            raise ValueError("connectivity is 1, 2 or a table of three by three")
+        return [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(r) + abs(c) <= connectivity]
+    table = [[bool(x) for x in row] for row in connectivity]
+    if len(table) != 3 or any(len(row) != 3 for row in table):
+        raise ValueError("connectivity is 1, 2 or a table of three by three")
+    if any(table[r][c] != table[2 - r][2 - c] for r in range(3) for c in range(3)):
+        raise ValueError("connectivity must be the same in opposite directions")
+    return [(r - 1, c - 1) for r in range(3) for c in range(3) if table[r][c] and (r, c) != (1, 1)]
+
+
+def regions(mask: DataFrame, *, connectivity: int | list[list[int]] = 1) -> DataFrame:
+    """(mask_id, row, col, region): the smallest pixel number that each pixel reaches by neighbours.
 
-    Smallest numbers spread along edges and are then followed to their ends, so few rounds are needed.
+    ``connectivity``: of four (1), of eight (2), or as a table of three by three tells. One mask is an image's size.
     """
-    if connectivity not in (1, 2):
-        raise ValueError("connectivity is 1 or 2")
-    steps = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(r) + abs(c) <= connectivity]
+    steps = _steps(connectivity)
 
     def label(key, rows):
         import numpy as np
@@ -92,20 +177,23 @@ def regions(mask: DataFrame, *, connectivity: int = 1, limit: int = 10_000) -> D
         low: dict[int, int] = {}
         tops = [top(k) for k in range(len(r))]
         for k, t in enumerate(tops):
-            low[t] = min(low.get(t, 1 << 62), int(r[k]) * limit + int(c[k]))
+            low[t] = min(low.get(t, 1 << 62), int(r[k]) * WIDTH + int(c[k]))
         return pa.table({"mask_id": rows["mask_id"], "row": rows["row"], "col": rows["col"], "region": pa.array([low[t] for t in tops], pa.int64())})
 
     kind = mask.schema["mask_id"].dataType.simpleString()
     return mask.select("mask_id", "row", "col").groupBy("mask_id").applyInArrow(lambda k, t: label(k, t), f"mask_id {kind}, row int, col int, region long")
 
 
-def by_size(mask: DataFrame, *, least: int = 10, connectivity: int = 1) -> DataFrame:
-    """Pixels of the regions with at least ``least`` pixels."""
+def by_size(mask: DataFrame, *, least: int = 10, connectivity: int | list[list[int]] = 1, empty: str = "error") -> DataFrame:
+    """Pixels of the regions with at least ``least`` pixels, of weight 1. A mask without any is an error, or left out with ``empty="drop"``."""
     found = regions(mask, connectivity=connectivity)
-    sizes = found.groupBy("mask_id", "region").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return found.join(sizes, ["mask_id", "region"]).select("mask_id", "row", "col", F.lit(1.0).alias("weight"))
+    n = F.count("*").over(W.partitionBy("mask_id", "region"))
+    sized = found.withColumn("n", n).withColumn("most", F.max("n").over(W.partitionBy("mask_id")))
+    if empty == "error":
+        sized = sized.withColumn("n", F.when(F.col("most") < least, F.raise_error(F.lit("a mask has no region of the least size")).cast("long")).otherwise(F.col("n")))
+    return sized.where(F.col("n") >= least).select("mask_id", "row", "col", F.lit(1.0).alias("weight"))
 
 
-def region_sizes(mask: DataFrame, *, connectivity: int = 1) -> DataFrame:
+def region_sizes(mask: DataFrame, *, connectivity: int | list[list[int]] = 1) -> DataFrame:
     """(mask_id, region, n): number of pixels of each connected region."""
     return regions(mask, connectivity=connectivity).groupBy("mask_id", "region").agg(F.count("*").alias("n"))

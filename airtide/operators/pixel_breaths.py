@@ -50,12 +50,12 @@ def pixel_breaths(breaths: DataFrame, pixels: DataFrame, *, negative: bool = Fal
 def phase_lags(signal: DataFrame, pixels: DataFrame, breaths: DataFrame) -> DataFrame:
     """(recording_id, row, col, lag): how much later than the global signal each pixel breathes, within one mean breath."""
     spacing = breaths.groupBy("recording_id").agg(((F.max("middle_idx") - F.min("middle_idx")) / (F.count("*") - 1)).alias("reach"))
-    both = pixels.select(*PIXEL, "frame_idx", "z").join(signal.select("recording_id", F.col("idx").alias("frame_idx"), "value"), ["recording_id", "frame_idx"]).join(F.broadcast(spacing), "recording_id")
+    both = pixels.select(*PIXEL, "frame_idx", "z").join(signal.select("recording_id", F.col("idx").alias("frame_idx"), "value"), ["recording_id", "frame_idx"]).join(spacing, "recording_id")
 
     def each(table: pa.Table) -> pa.Table:
         table = table.sort_by("frame_idx")
         z = np.array(table["z"], dtype=float)
-        lag = kernels.phase_lag(z, np.array(table["value"], dtype=float), int(table["reach"][0].as_py() or 1)) if z.std() > 0 else None
+        lag = kernels.phase_lag(z, np.array(table["value"], dtype=float), float(table["reach"][0].as_py() or 0)) if z.std() > 0 else None
         one = table.select(PIXEL).slice(0, 1 if lag is not None else 0)
         return one.append_column("lag", pa.array([lag] * len(one), pa.int64()))
 
@@ -93,7 +93,7 @@ def watershed_lungspace(signal: DataFrame, breaths: DataFrame, pixels: DataFrame
     global_ = B.pixel_variation(breaths, pixels)
     own = pixel_timing_variation(pixel_breaths(breaths, pixels, lags=phase_lags(signal, pixels, breaths)), pixels)
     common = global_.select("recording_id", "breath_idx").distinct().join(own.select("recording_id", "breath_idx").distinct(), ["recording_id", "breath_idx"])
-    tiv, amplitude = (mean_map(x.join(F.broadcast(common), ["recording_id", "breath_idx"])) for x in (global_, own))
+    tiv, amplitude = (mean_map(x.join(common, ["recording_id", "breath_idx"])) for x in (global_, own))
     both = amplitude.withColumnRenamed("value", "amplitude").join(tiv.withColumnRenamed("value", "tiv"), ["map_id", "row", "col"], "full")
 
     def each(table: pa.Table) -> pa.Table:

@@ -120,8 +120,9 @@ def as_of(points: DataFrame, data: DataFrame) -> DataFrame:
     extra = [c for c in points.columns if c not in ("recording_id", "time")]
     left = points.select("recording_id", "time", F.struct(F.lit(1).alias("is point"), *extra).alias("point"), F.lit(None).cast("long").alias("at"))
     right = data.select("recording_id", "time", F.lit(None).cast(left.schema["point"].dataType).alias("point"), F.col("idx").alias("at"))
-    order = W.partitionBy("recording_id").orderBy("time", F.col("point").isNull(), "at").rowsBetween(0, W.unboundedFollowing)
-    found = left.unionByName(right).withColumn("idx", F.first("at", ignorenulls=True).over(order)).where("point is not null")
+    # Backwards, so that the window only grows.
+    order = W.partitionBy("recording_id").orderBy(F.desc("time"), F.col("point").isNull().desc(), F.desc("at")).rowsBetween(W.unboundedPreceding, 0)
+    found = left.unionByName(right).withColumn("idx", F.last("at", ignorenulls=True).over(order)).where("point is not null")
     return found.select("recording_id", "time", *[F.col("point")[c].alias(c) for c in extra], "idx")
 
 

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
@@ -26,42 +31,57 @@ def blackman(n: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-#: Longer averages take the samples as an array, not as a term for each weight.
-MOST_TERMS = 101
+#: Samples of a recording that go to a task together; longer recordings are cut into spans that overlap by what a window needs.
+SPAN = 1 << 17
+#: Paddings that look no further than half a window from an end; others see a recording whole.
+LOCAL = ("edge", "constant", "reflect", "symmetric")
 
 
-def _long_average(data: DataFrame, weights: list[float], name: str) -> DataFrame:
-    h = len(weights) // 2
-    total = [0.0]
-    for w in weights:
-        total.append(total[-1] + w)
-    around = F.collect_list("value").over(order().rowsBetween(-h, h))
-    place = F.row_number().over(order())
-    out = data.withColumn("around", around).withColumn("missing", F.greatest(F.lit(0), h + 1 - place))
-    used = F.slice(F.lit(weights), F.col("missing") + 1, F.size("around"))
-    inner = F.aggregate(F.zip_with("around", used, lambda v, w: v * w), F.lit(0.0), lambda s, x: s + x)
-    sums = F.lit(total)
-    left, right = F.get(sums, F.col("missing")), F.lit(total[-1]) - F.get(sums, F.col("missing") + F.size("around"))
-    return out.withColumn(name, inner + F.col("edge first") * left + F.col("edge last") * right).drop("around", "missing", "edge first", "edge last")
+def moving_average(
+    data: DataFrame, window: int | list[float], function: Callable[[int], list[float]] | None = None, *, padding: str = "edge", name: str = "average"
+) -> DataFrame:
+    """Centred weighted average; ``data`` has idx from 0 without gaps.
 
-
-def moving_average(data: DataFrame, weights: list[float], name: str = "average") -> DataFrame:
-    """Centred weighted average with the edge values repeated; the weights are odd in number, values not null. One sort, no join."""
-    if len(weights) % 2 == 0:
+    ``window`` is a number of samples, one more if even, with the weights that ``function`` gives for it (equal ones without
+    it), or an odd number of weights. A number is shortened to the largest odd one below a recording's length plus one.
+    ``padding`` names how numpy.pad makes values beyond the ends. Missing values are missing in every average that holds them.
+    """
+    if not isinstance(window, int) and len(window) % 2 == 0:
         raise ValueError("an odd number of weights is needed")
-    h = len(weights) // 2
-    first, last = F.first("value").over(each().orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.last("value").over(
-        each().orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    )
-    out = data.withColumn("edge first", first).withColumn("edge last", last)
-    if len(weights) > MOST_TERMS:
-        return _long_average(out, weights, name)
-    term: Column = F.lit(0.0)
-    for k, w in enumerate(weights):
-        at = k - h
-        value = F.col("value") if at == 0 else F.coalesce(F.lead("value", at).over(order()), F.col("edge last")) if at > 0 else F.coalesce(F.lag("value", -at).over(order()), F.col("edge first"))
-        term = term + value * w
-    return out.withColumn(name, term).drop("edge first", "edge last")
+    size = window + (window % 2 == 0) if isinstance(window, int) else len(window)
+    half = size // 2
+    span = max(SPAN, 8 * size) if padding in LOCAL else 1 << 62
+    own = F.floor(F.col("idx") / span)
+    beside = [F.when((F.col("idx") % span < half) & (own > 0), own - 1), F.when(F.col("idx") % span >= span - half, own + 1)] if padding in LOCAL else []
+    spread = data.withColumn("of span", F.explode(F.array_compact(F.array(own, *beside))))
+    schema = StructType([*data.schema.fields, StructField(name, DoubleType())])
+
+    def weights_of(n: int) -> np.ndarray:
+        if not isinstance(window, int):
+            return np.array(window, dtype=float)
+        n = min(size, (n - 1) // 2 * 2 + 1)
+        w = np.array(function(n) if function else np.ones(n), dtype=float)
+        return w / w.sum()
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        k = table.column("of span")[0].as_py()
+        at = table.column("idx").to_numpy()
+        x = table.column("value").cast(pa.float64()).to_numpy()
+        inside = (at >= k * span) & (at < (k + 1) * span)
+        if not inside.any():  # the recording ended with the span before
+            return table.drop_columns("of span").append_column(name, pa.nulls(len(table), pa.float64())).slice(0, 0).cast(to_arrow_schema(schema))
+        at_start, at_end = k == 0, at[-1] < (k + 1) * span + half - 1 or padding not in LOCAL
+        w = weights_of(len(x) if at_start and at[-1] < span else size)
+        h = len(w) // 2
+        lo, hi = (h if at_start else 0), (h if at_end else 0)
+        wide = np.pad(x, (lo, hi), mode=padding) if lo or hi else x
+        out = np.full(len(x), np.nan)
+        out[h - lo : len(x) - (h - hi)] = np.convolve(wide, w[::-1], mode="valid")
+        table = table.drop_columns("of span").append_column(name, pa.array(out, from_pandas=True))
+        return table.filter(pa.array(inside)).cast(to_arrow_schema(schema))
+
+    return spread.groupBy("recording_id", "of span").applyInArrow(each, schema)
 
 
 def with_invalid(data: DataFrame, *, percent: float = 5, multiplier: float = 4) -> DataFrame:
@@ -74,14 +94,16 @@ def with_invalid(data: DataFrame, *, percent: float = 5, multiplier: float = 4)
 
 
 def fill_nearest(data: DataFrame) -> DataFrame:
-    """Invalid samples get the value of the nearest valid one; of an odd run the middle gets the right one's."""
+    """Invalid samples get the value of the nearest valid one; of an odd run the middle gets the right one's. Without a valid one an error is raised."""
     good = F.when(~F.col("invalid"), F.struct("idx", "value"))
-    before = F.last(good, ignorenulls=True).over(order().rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(good, ignorenulls=True).over(order().rowsBetween(0, W.unboundedFollowing))
-    out = data.withColumn("p", before).withColumn("n", after)
+    so_far = lambda by: F.last(good, ignorenulls=True).over(each().orderBy(by).rowsBetween(W.unboundedPreceding, 0))
+    out = data.withColumn("p", so_far(F.col("idx"))).withColumn("n", so_far(F.col("idx").desc()))
     run = F.col("n.idx") - F.col("p.idx") - 1
     place = F.col("idx") - F.col("p.idx") - 1
-    value = F.when(F.col("p").isNull(), F.col("n.value")).when(F.col("n").isNull(), F.col("p.value")).when(place < F.floor(run / 2), F.col("p.value")).otherwise(F.col("n.value"))
+    value = (
+        F.when(F.col("p").isNull() & F.col("n").isNull(), F.raise_error(F.lit("a recording has invalid samples only")).cast("double"))
+        .when(F.col("p").isNull(), F.col("n.value")).when(F.col("n").isNull(), F.col("p.value")).when(place < F.floor(run / 2), F.col("p.value")).otherwise(F.col("n.value"))
+    )
     return out.withColumn("value", F.when(F.col("invalid"), value).otherwise(F.col("value"))).drop("p", "n")
 
 
@@ -92,8 +114,16 @@ def unwrap(data: DataFrame, period: float) -> DataFrame:
     return data.withColumn("turn", turn).withColumn("time", F.col("time") + period * F.sum("turn").over(order().rowsBetween(W.unboundedPreceding, 0))).drop("turn")
 
 
-def sample_frequency(data: DataFrame) -> DataFrame:
-    """One over the slope of time on index, to four significant digits."""
-    rate = data.groupBy("recording_id").agg((1 / F.regr_slope("time", "idx")).alias("rate"))
+def sample_frequency(data: DataFrame, given: float | None = None) -> DataFrame:
+    """(recording_id, sample_frequency): one over the slope of time on index, to four significant digits.
+
+    A recording of fewer than two samples is an error. With a ``given`` rate that is the result, and ``differs`` tells
+    whether the samples say otherwise.
+    """
+    rate = data.groupBy("recording_id").agg(F.count("time").alias("n"), (1 / F.regr_slope("time", "idx")).alias("rate"))
+    rate = rate.withColumn("rate", F.when(F.col("n") < 2, F.raise_error(F.lit("a sample frequency needs two samples")).cast("double")).otherwise(F.col("rate")))
     digits = 3 - F.floor(F.log10(F.abs("rate")))
-    return rate.select("recording_id", (F.round(F.col("rate") * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)).alias("sample_frequency"))
+    rounded = F.round(F.col("rate") * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)
+    if given is None:
+        return rate.select("recording_id", rounded.alias("sample_frequency"))
+    return rate.select("recording_id", F.lit(float(given)).alias("sample_frequency"), (rounded != float(given)).alias("differs"))

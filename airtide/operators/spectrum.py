@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,12 +28,56 @@ def _map_series(data: DataFrame, run) -> DataFrame:
     return cols.groupBy("recording_id").applyInArrow(each, cols.schema)
 
 
+def _map_frames(frames: DataFrame, run) -> DataFrame:
+    """``run`` over the pixels (pixel, frame) of each recording in order of frames."""
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame_idx")
+        x = run(np.array(table["pixels"].to_pylist(), dtype=float).T).T
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+        return table.set_column(table.column_names.index("pixels"), "pixels", flat)
+
+    cols = frames.select("recording_id", "frame_idx", "time", F.col("pixels").cast("array<double>").alias("pixels"))
+    return cols.groupBy("recording_id").applyInArrow(each, cols.schema)
+
+
+class Filter(Protocol):
+    """What filters have in common."""
+
+    def apply(self, data: DataFrame, captures: dict | None = None) -> DataFrame:
+        """``data`` filtered: signals by value, frames by each of their pixels. ``captures`` takes the input, the output and what was designed."""
+
+
+def _applied(data: DataFrame, run, captures: dict | None, **designed) -> DataFrame:
+    out = (_map_frames if "pixels" in data.columns else _map_series)(data, run)
+    if captures is not None:
+        captures.update(designed, unfiltered=data, filtered=out)
+    return out
+
+
+@dataclass(frozen=True)
+class Butterworth:
+    """Zero-phase Butterworth filter: lowpass, highpass, bandpass or bandstop; it is designed once on the driver."""
+
+    kind: str
+    cutoff: float | tuple[float, float]
+    order: int
+    rate: float
+    ignore_max_order: bool = False
+
+    def __post_init__(self) -> None:
+        if self.order > 10 and not self.ignore_max_order:
+            raise ValueError("order must be 10 at most")
+        kernels.butterworth(self.kind, self.cutoff, self.order, self.rate)
+
+    def apply(self, data: DataFrame, captures: dict | None = None) -> DataFrame:
+        sos = kernels.butterworth(self.kind, self.cutoff, self.order, self.rate)
+        return _applied(data, lambda v: kernels.zero_phase(sos, v), captures, sections=sos)
+
+
 def butterworth(data: DataFrame, kind: str, cutoff: float | tuple[float, float], order: int, rate: float, *, ignore_max_order: bool = False) -> DataFrame:
-    """Zero-phase Butterworth filter; it is designed once on the driver."""
-    if order > 10 and not ignore_max_order:
-        raise ValueError("order must be 10 at most")
-    sos = kernels.butterworth(kind, cutoff, order, rate)
-    return _map_series(data, lambda v: kernels.zero_phase(sos, v))
+    """The filter at once."""
+    return Butterworth(kind, cutoff, order, rate, ignore_max_order).apply(data)
 
 
 def notch_bands(respiratory: float, heart: float, *, limit: float = NOISE_LIMIT, notch: float = NOTCH) -> list[tuple[int, float, float]]:
@@ -41,17 +88,36 @@ def notch_bands(respiratory: float, heart: float, *, limit: float = NOISE_LIMIT,
     return [(k, max(k * heart - notch, (heart + respiratory) / 2) if k == 1 else k * heart - notch, k * heart + notch) for k in range(1, n + 1)]
 
 
-def multiple_notch(data: DataFrame, respiratory: float, heart: float, rate: float, *, limit: float = NOISE_LIMIT, notch: float = NOTCH, order: int = 10) -> DataFrame:
+@dataclass(frozen=True)
+class MultipleNotch:
     """Band stops around the heart rate's harmonics, then a low pass, in one pass over each series."""
-    bands = notch_bands(respiratory, heart, limit=limit, notch=notch)
-    filters = [kernels.butterworth("bandstop", (low, high), order, rate) for _, low, high in bands] + [kernels.butterworth("lowpass", limit, order, rate)]
 
-    def run(v: np.ndarray) -> np.ndarray:
-        for sos in filters:
-            v = kernels.zero_phase(sos, v)
-        return v
+    respiratory: float
+    heart: float
+    rate: float
+    limit: float = NOISE_LIMIT
+    notch: float = NOTCH
+    order: int = 10
 
-    return _map_series(data, run)
+    def __post_init__(self) -> None:
+        notch_bands(self.respiratory, self.heart, limit=self.limit, notch=self.notch)
+
+    def apply(self, data: DataFrame, captures: dict | None = None) -> DataFrame:
+        bands = notch_bands(self.respiratory, self.heart, limit=self.limit, notch=self.notch)
+        filters = [kernels.butterworth("bandstop", (low, high), self.order, self.rate) for _, low, high in bands]
+        filters.append(kernels.butterworth("lowpass", self.limit, self.order, self.rate))
+
+        def run(v: np.ndarray) -> np.ndarray:
+            for sos in filters:
+                v = kernels.zero_phase(sos, v)
+            return v
+
+        return _applied(data, run, captures, bands=bands, n_harmonics=len(bands))
+
+
+def multiple_notch(data: DataFrame, respiratory: float, heart: float, rate: float, *, limit: float = NOISE_LIMIT, notch: float = NOTCH, order: int = 10) -> DataFrame:
+    """The filter at once."""
+    return MultipleNotch(respiratory, heart, rate, limit, notch, order).apply(data)
 
 
 def rates(frames: DataFrame, rate: float, subject: str = "adult", *, window: float = 30.0, overlap: float = 0.5, refine: bool = True) -> DataFrame:

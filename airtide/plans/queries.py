@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import categories as cat
+from ..functions import kernels
 from ..operators import breaths as B
 from ..operators import maps, masks, select, signal, spectrum
 from ..operators import pixel_breaths as P
@@ -39,12 +40,9 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), 6) for n in names})
 
 
-def label_map(spark: SparkSession, sf_dir: str, label: int | None = None) -> DataFrame:
-    """Mean map of each recording, or of one."""
-    px = A.pixels(A.frames(spark, sf_dir))
-    if label is not None:
-        px = px.where(F.col("recording_id") == label)
-    return px.groupBy(F.col("recording_id").alias("map_id"), "row", "col").agg(F.avg("z").alias("value"))
+def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean map of each recording."""
+    return A.pixels(A.frames(spark, sf_dir)).groupBy(F.col("recording_id").alias("map_id"), "row", "col").agg(F.avg("z").alias("value"))
 
 
 MAPS = "m AS (SELECT recording_id AS map_id, row, col, avg(z) AS value FROM pix GROUP BY ALL)"
@@ -82,17 +80,38 @@ _norm("map_norm_maximum", "maximum", "value / max(value) OVER w")
 _norm("map_norm_reference", "reference", "value / 4.0", 4.0)
 
 
-@query(f"""{MAPS} SELECT row, col, round(a.value + b.value, 6) AS total, round(a.value - b.value, 6) AS difference, round(a.value * b.value, 6) AS product,
-    round(a.value / b.value, 3) AS quotient FROM m a JOIN m b USING (row, col) WHERE a.map_id = 0 AND b.map_id = 1""")
+TOPS = "t AS (SELECT recording_id AS map_id, row, col, max(z) AS value FROM pix GROUP BY ALL)"
+
+
+def top_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest value of each pixel of each recording."""
+    return A.pixels(A.frames(spark, sf_dir)).groupBy(F.col("recording_id").alias("map_id"), "row", "col").agg(F.max("z").alias("value"))
+
+
+@query(f"""{MAPS}, {TOPS} SELECT map_id, row, col, round(a.value + b.value, 6) AS total, round(a.value - b.value, 6) AS difference, round(a.value * b.value, 6) AS product,
+    round(a.value / b.value, 3) AS quotient FROM m a JOIN t b USING (map_id, row, col)""")
 def map_arithmetic(spark, d):
-    out = maps.arithmetic(label_map(spark, d, 0), label_map(spark, d, 1))
+    out = maps.arithmetic(label_map(spark, d), top_map(spark, d), ("map_id",))
     return rounded(out, "total", "difference", "product").withColumn("quotient", F.round("quotient", 3))
 
 
+@query(f"""{MAPS}, {TOPS} SELECT map_id, row, col, 'difference' AS kind, round(2 - (3 * a.value - b.value), 6) AS value FROM m a JOIN t b USING (map_id, row, col)""")
+def map_kinds(spark, d):
+    """Numbers and maps together: three times a map of a kind, less another, from 2."""
+    mean = maps.convert(label_map(spark, d), "plain").drop("negative")
+    less = maps.combine(maps.combine(mean, 3, "*"), top_map(spark, d), "-", by=("map_id",))
+    return rounded(maps.combine(less, 2, "-", reverse=True), "value").select("map_id", "row", "col", "kind", "value")
+
+
+@query(f"""{MAPS} SELECT map_id, row, col, 'amplitude' AS kind, 'a. u.' AS unit, value < 0 AS negative, round(value, 6) AS value FROM m""")
+def map_converted(spark, d):
+    return rounded(maps.convert(label_map(spark, d), "amplitude", unit="a. u."), "value").select("map_id", "row", "col", "kind", "unit", "negative", "value")
+
+
 @query(f"{MAPS} SELECT map_id, row, col, CAST(trunc(value * 100) AS BIGINT) AS whole, value <> 0 AS truth, round(value * 3 + 1, 6) AS scaled FROM m")
 def map_convert(spark, d):
     v = F.col("value")
-    return label_map(spark, d).select("map_id", "row", "col", F.coalesce(v * 100, F.lit(0.0)).cast("long").alias("whole"), F.coalesce(v != 0, F.lit(False)).alias("truth"), F.round(v * 3 + 1, 6).alias("scaled"))
+    return label_map(spark, d).select("map_id", "row", "col", maps.to_integer(v * 100).alias("whole"), maps.to_boolean(v).alias("truth"), F.round(maps.filled(v) * 3 + 1, 6).alias("scaled"))
 
 
 MASKS = """grid AS (SELECT CAST(i // 8 AS INTEGER) AS row, CAST(i % 8 AS INTEGER) AS col FROM range(64) AS r(i)),
@@ -113,44 +132,72 @@ def mask_collection_apply(spark, d):
     return rounded(px.groupBy("mask_id", "recording_id", "frame_idx").agg(F.sum("z").alias("value")), "value")
 
 
-WEIGHTS = f"""{MAPS}, big AS (SELECT *, max(value) OVER (PARTITION BY map_id) AS top FROM m),
-wm AS (SELECT map_id AS mask_id, row, col, least(value / top, 1.0) AS weight FROM big WHERE value > 0 AND map_id < 3),
-a AS (SELECT * FROM wm WHERE mask_id = 0), b AS (SELECT * FROM wm WHERE mask_id = 1)"""
+WEIGHTS = f"""{MAPS}, {TOPS}, big AS (SELECT *, max(value) OVER (PARTITION BY map_id) AS top FROM m), big2 AS (SELECT *, max(value) OVER (PARTITION BY map_id) AS top FROM t),
+a AS (SELECT map_id AS mask_id, row, col, least(value / top, 1.0) AS weight FROM big WHERE value > 0),
+b AS (SELECT map_id AS mask_id, row, col, least(value / top, 1.0) AS weight FROM big2 WHERE value > 0.5 * top)"""
 
 
-def weighted(spark: SparkSession, d: str) -> DataFrame:
-    value = label_map(spark, d).where("map_id < 3").withColumn("top", F.max("value").over(W.partitionBy("map_id"))).where("value > 0")
-    return value.select(F.col("map_id").alias("mask_id"), "row", "col", F.least(F.col("value") / F.col("top"), F.lit(1.0)).alias("weight"))
+def weighted(values: DataFrame, least: float = 0.0) -> DataFrame:
+    """Masks of maps: the share of the largest value, where it is above a part of that."""
+    top = values.withColumn("top", F.max("value").over(W.partitionBy("map_id"))).where(F.col("value") > least * F.col("top")).where("value > 0" if not least else "true")
+    return top.select(F.col("map_id").alias("mask_id"), "row", "col", F.least(F.col("value") / F.col("top"), F.lit(1.0)).alias("weight"))
 
 
 def two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    every = weighted(spark, d)
-    return every.where("mask_id = 0").drop("mask_id"), every.where("mask_id = 1").drop("mask_id")
+    """Masks of the mean and of the largest values of every recording."""
+    return weighted(label_map(spark, d)), weighted(top_map(spark, d), 0.5)
+
 
+PAIR = ("mask_id",)
 
-@query(f"{WEIGHTS} SELECT row, col, round(least(sum(weight), 1.0), 6) AS weight FROM (FROM a UNION ALL FROM b) GROUP BY row, col")
+
+@query(f"{WEIGHTS} SELECT mask_id, row, col, round(least(sum(weight), 1.0), 6) AS weight FROM (FROM a UNION ALL FROM b) GROUP BY ALL")
 def mask_union(spark, d):
-    return rounded(masks.union(*two(spark, d)), "weight")
+    return rounded(masks.union(*two(spark, d), PAIR), "weight")
 
 
-@query(f"{WEIGHTS} SELECT row, col, round(a.weight - coalesce(b.weight, 0), 6) AS weight FROM a LEFT JOIN b USING (row, col) WHERE a.weight > coalesce(b.weight, 0)")
+@query(f"{WEIGHTS} SELECT mask_id, row, col, round(a.weight - coalesce(b.weight, 0), 6) AS weight FROM a LEFT JOIN b USING (mask_id, row, col) WHERE a.weight > coalesce(b.weight, 0)")
 def mask_difference(spark, d):
-    return rounded(masks.difference(*two(spark, d)), "weight")
+    return rounded(masks.difference(*two(spark, d), PAIR), "weight")
 
 
-@query(f"{WEIGHTS} SELECT row, col, round(a.weight * b.weight, 6) AS weight FROM a JOIN b USING (row, col)")
+@query(f"{WEIGHTS} SELECT mask_id, row, col, round(a.weight * b.weight, 6) AS weight FROM a JOIN b USING (mask_id, row, col)")
 def mask_intersection(spark, d):
-    return rounded(masks.intersection(*two(spark, d)), "weight")
+    return rounded(masks.intersection(*two(spark, d), PAIR), "weight")
 
 
-@query(f"{WEIGHTS} SELECT row, col, round(least(sum(weight), 1.0), 6) AS weight FROM wm GROUP BY row, col")
+@query(f"{WEIGHTS} SELECT row, col, round(least(sum(weight), 1.0), 6) AS weight FROM a GROUP BY row, col")
 def mask_combine_sum(spark, d):
-    return rounded(masks.combine(weighted(spark, d), "sum", 3), "weight")
+    return rounded(masks.combine(two(spark, d)[0], "sum"), "weight")
 
 
-@query(f"{WEIGHTS} SELECT row, col, round(product(weight), 6) AS weight FROM wm GROUP BY row, col HAVING count(*) = 3")
+@query(f"{MAPS}, f AS (SELECT *, 1.0 / (1 + abs(value)) AS weight FROM m) SELECT row, col, round(product(weight), 6) AS weight FROM f GROUP BY row, col HAVING count(*) = (SELECT count(DISTINCT map_id) FROM f)")
 def mask_combine_product(spark, d):
-    return rounded(masks.combine(weighted(spark, d), "product", 3), "weight")
+    every = label_map(spark, d).select(F.col("map_id").alias("mask_id"), "row", "col", (F.lit(1.0) / (1 + F.abs("value"))).alias("weight"))
+    return rounded(masks.combine(every, "product"), "weight")
+
+
+@query(f"{WEIGHTS} SELECT mask_id, bool_or(weight <> 1) AS weighted FROM b GROUP BY ALL")
+def mask_weighted(spark, d):
+    return masks.is_weighted(two(spark, d)[1])
+
+
+@query(f"""{MASKS} SELECT 'impedance of ' || mask_id AS label, recording_id, round(sum(z), 6) AS value FROM pix JOIN masks USING (row, col) WHERE mask_id IN ('V', 'Q3') GROUP BY ALL""")
+def mask_collection_labels(spark, d):
+    grid = masks.geometric(spark, ["V", "Q3"], 8, 8)
+    held = masks.Collection({n: grid.where(F.col("mask_id") == n) for n in ("V", "Q3")})
+    px = held.apply(A.pixels(A.frames(spark, d)), label_format="impedance of {mask_label}")
+    return rounded(px.groupBy("label", "recording_id").agg(F.sum("z").alias("value")), "value")
+
+
+@query(f"""{MAPS}, t AS (SELECT map_id, row, col, row * {masks.WIDTH} + col AS region FROM m WHERE value > 0),
+hop AS (WITH RECURSIVE r AS (SELECT * FROM t UNION SELECT t.map_id, t.row, t.col, r.region FROM r JOIN t ON t.map_id = r.map_id AND t.row = r.row AND abs(t.col - r.col) = 1)
+    SELECT map_id, row, col, min(region) AS region FROM r GROUP BY ALL)
+SELECT map_id AS mask_id, row, col, CAST(region AS BIGINT) AS region FROM hop""")
+def regions_within_rows(spark, d):
+    """Connectivity by a table: neighbours to the left and right only."""
+    mask = maps.threshold(label_map(spark, d), 0.0, comparator=lambda v, t: v > t).withColumnRenamed("map_id", "mask_id")
+    return masks.regions(mask, connectivity=[[0, 0, 0], [1, 1, 1], [0, 0, 0]])
 
 
 @query(f"{MAPS} SELECT map_id, row, col, 1.0::DOUBLE AS weight FROM m WHERE value >= 0.02")
@@ -170,13 +217,13 @@ def local_maxima(spark, d):
 
 
 @query(f"""{MAPS}, t AS (SELECT map_id, row, col FROM m WHERE value > 0),
-reach AS (SELECT map_id, row, col, row * 10000 + col AS region FROM t),
+reach AS (SELECT map_id, row, col, row * {masks.WIDTH} + col AS region FROM t),
 hop AS (WITH RECURSIVE r AS (SELECT map_id, row, col, region FROM reach UNION SELECT t.map_id, t.row, t.col, r.region FROM r JOIN t ON t.map_id = r.map_id
     AND abs(t.row - r.row) + abs(t.col - r.col) = 1) SELECT map_id, row, col, min(region) AS region FROM r GROUP BY ALL)
 SELECT map_id AS mask_id, row, col, 1.0::DOUBLE AS weight FROM (SELECT *, count(*) OVER (PARTITION BY map_id, region) AS n FROM hop) WHERE n >= 4""")
 def roi_by_size(spark, d):
     mask = maps.threshold(label_map(spark, d), 0.0, comparator=lambda v, t: v > t).withColumnRenamed("map_id", "mask_id")
-    return masks.by_size(mask, least=4)
+    return masks.by_size(mask, least=4, empty="drop")
 
 
 @query("SELECT recording_id, idx, round(value, 6) AS value FROM (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM sig) WHERE idx >= 10 AND idx < greatest(n - 20, 0)")
@@ -232,11 +279,29 @@ def concatenate(spark, d):
     return rounded(select.concatenate(select.by_time(sig, None, START), late).select("recording_id", "idx", "value"), "value")
 
 
-@query()
+_TREE = ", ".join(f"('{n}', {'NULL' if p is None else chr(39) + p + chr(39)})" for n, p, _, _ in cat.compact(cat.DEFAULT))
+TREE = f"""tree(name, parent) AS (VALUES {_TREE}),
+below AS (WITH RECURSIVE b AS (SELECT name, parent, name AS top, 0 AS depth FROM tree UNION ALL SELECT t.name, t.parent, b.top, b.depth + 1 FROM tree t JOIN b ON t.parent = b.name) SELECT * FROM b)"""
+
+
+@query(f"{TREE} SELECT name, parent, depth + (SELECT depth FROM below WHERE name = 'impedance' AND top = 'root') AS depth FROM below WHERE top = 'impedance'")
 def category_subtree(spark, d):
     return cat.categories(spark).where(cat.within(F.col("path"), "impedance")).select("name", "parent", F.col("depth").cast("long").alias("depth"))
 
 
+@query(f"{TREE} SELECT name, parent, CAST(depth AS BIGINT) AS depth FROM below WHERE top = 'root'")
+def category_tree(spark, d):
+    return cat.categories(spark).select("name", "parent", F.col("depth").cast("long").alias("depth"))
+
+
+@query(f"""{TREE}, kind AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'airway pressure' WHEN 'error' THEN 'plateau pressure' WHEN 'view' THEN 'relative impedance' ELSE 'other' END AS category FROM sig)
+SELECT category, count(*) AS n FROM kind WHERE category IN (SELECT name FROM below WHERE top = 'pressure') GROUP BY ALL""")
+def category_check(spark, d):
+    """Rows of a category or one below it."""
+    kind = F.when(F.col("event_type") == "purchase", "airway pressure").when(F.col("event_type") == "error", "plateau pressure").when(F.col("event_type") == "view", "relative impedance").otherwise("other")
+    return cat.of_category(A.signal(spark, d).withColumn("category", kind), "pressure").groupBy("category").agg(F.count("*").alias("n"))
+
+
 INVALID = """st AS (SELECT recording_id, avg(value) AS m, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM sig GROUP BY ALL),
 inv AS (SELECT s.*, s.value < m - 1.5 * (m - lo) OR s.value > m + 1.5 * (hi - m) AS invalid FROM sig s JOIN st USING (recording_id))"""
 
@@ -353,13 +418,40 @@ def breaths_near_invalid(spark, d):
     return B.near_invalid(breaths_of(data), data, 3).select("recording_id", "breath_idx", "start_idx", "middle_idx", "end_idx")
 
 
-@query()
+def _breaths_sql(source: str, weights: list[float], distance: int) -> str:
+    """Breaths of ``src`` with a smallest distance of extrema: the greatest among neighbours stay and their neighbours go, until none are left."""
+    frame = f"RANGE BETWEEN {distance - 1} PRECEDING AND {distance - 1} FOLLOWING"
+    thin = f"""sup AS (WITH RECURSIVE s AS (SELECT recording_id, kind, idx, value, value * kind AS h, false AS kept FROM ext UNION ALL
+    SELECT recording_id, kind, idx, value, h, win FROM (SELECT *, bool_or(win) OVER (PARTITION BY recording_id, kind ORDER BY idx {frame}) AS near FROM
+        (SELECT *, max({{'h': h, 'i': idx}}) OVER (PARTITION BY recording_id, kind ORDER BY idx {frame}) = {{'h': h, 'i': idx}} AS win FROM s WHERE NOT kept)) WHERE win OR NOT near)
+    SELECT recording_id, idx, value, kind FROM s WHERE kept),
+enough AS (SELECT recording_id FROM sup GROUP BY recording_id HAVING count(*) FILTER (kind = -1) >= 2 AND count(*) FILTER (kind = 1) >= 1),
+far AS (SELECT sup.* FROM sup JOIN enough USING (recording_id))"""
+    body = BREATHS.replace(_average_sql("src", BLACKMAN), _average_sql("src", weights)).replace("FROM ext e JOIN side", "FROM far e JOIN side").replace("side AS (SELECT", f"{thin},\nside AS (SELECT", 1)
+    return f"src AS ({source}), {body}"
+
+
+@query(f"{_breaths_sql('SELECT recording_id, idx, value FROM sig', BLACKMAN, 13)} SELECT recording_id, breath_idx, start_idx, middle_idx, end_idx FROM br")
 def breaths_min_distance(spark, d):
     data = averaged(spark, d)
     points = B.trimmed(B.suppressed(B.extrema(data), 13), data)
     return B.assembled(B.without_low(B.alternating(points))).select("recording_id", "breath_idx", "start_idx", "middle_idx", "end_idx")
 
 
+#: Samples a second that the detector is told of for the events.
+EVENT_RATE = 5.0
+
+
+@query(f"""{INVALID.replace('1.5', '1.4')}, {FILLED}, {_breaths_sql('SELECT * FROM filled', signal.blackman(int(EVENT_RATE * 15)), 4)}
+SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY breath_idx) - 1 AS n, start_idx, middle_idx, end_idx, round(mv, 6) AS middle_value FROM br
+    WHERE NOT EXISTS (SELECT 1 FROM inv WHERE inv.recording_id = br.recording_id AND invalid AND inv.idx >= start_idx - 3 AND inv.idx < end_idx + 3)""")
+def find_breaths(spark, d):
+    """The detector with its defaults, but for a multiplier that makes some of the events outliers."""
+    found = B.find_breaths(A.signal(spark, d), EVENT_RATE, invalid_multiplier=1.4)
+    n = F.row_number().over(W.partitionBy("recording_id").orderBy("breath_idx")).cast("long") - 1
+    return rounded(found.select("recording_id", n.alias("n"), "start_idx", "middle_idx", "end_idx", "middle_value"), "middle_value")
+
+
 @query(f"""{SIGNAL} SELECT recording_id, breath_idx, round(mv - sv, 6) AS inspiratory, round(mv - ev, 6) AS expiratory, round(mv - (sv + ev) / 2, 6) AS mean,
     round(ev, 6) AS end_expiratory FROM br""")
 def tidal_variation(spark, d):
@@ -453,21 +545,122 @@ def notch_bands(spark, d):
     return spark.createDataFrame(bands, "harmonic int, low double, high double")
 
 
-@query()
-def rates(spark, d):
-    return spectrum.rates(A.frames(spark, d), A.RATE)
+def _pass_sql(source: str, out: str, sos: list[list[float]], rest: list[list[float]]) -> str:
+    """Second-order sections over ``source`` (recording_id, idx, value) in order of idx, a sample for each recursion; at first at rest at the first value."""
+    number = lambda x: f"({float(x)!r}::DOUBLE)"
+    begin = ", ".join(f"{number(z[0])} * first AS p{k}, {number(z[1])} * first AS q{k}" for k, z in enumerate(rest))
+    inner = "SELECT r.*, e.value AS x0 FROM r JOIN e ON e.recording_id = r.recording_id AND e.idx = r.i + 1"
+    after = []
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+        inner = f"SELECT *, {number(b0)} * x{k} + p{k} AS x{k + 1} FROM ({inner})"
+        after.append(f"{number(b1)} * x{k} - {number(a1)} * x{k + 1} + q{k}, {number(b2)} * x{k} - {number(a2)} * x{k + 1}")
+    return f"""{out} AS (WITH RECURSIVE e AS (SELECT * FROM {source}), r AS (
+    SELECT recording_id, CAST(i AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS y, {begin} FROM (SELECT recording_id, min(idx) - 1 AS i, arg_min(value, idx) AS first FROM e GROUP BY recording_id)
+    UNION ALL SELECT recording_id, i + 1, x{len(sos)}, {", ".join(after)} FROM ({inner})) SELECT recording_id, i AS idx, y AS value FROM r WHERE y IS NOT NULL)"""
 
 
-@query()
-def lowpass_filter(spark, d):
-    data = maps.global_impedance(A.frames(spark, d)).withColumnRenamed("frame_idx", "idx")
-    return spectrum.butterworth(data, "lowpass", 4.0, 4, A.RATE).select("recording_id", "idx", F.round("value", 6).alias("value"))
+def _filter_sql(source: str, out: str, kind: str, cutoff: float | tuple[float, float], order: int) -> str:
+    """Zero-phase filter of ``source`` as ``out``: odd extension, forward, backward."""
+    sos = kernels.butterworth(kind, cutoff, order, A.RATE)
+    rest, pad = kernels.at_rest(sos), kernels.padding(sos)
+    return f"""{out}_n AS (SELECT recording_id, count(*) AS n, arg_min(value, idx) AS v0, arg_max(value, idx) AS v1 FROM {source} GROUP BY recording_id),
+{out}_e AS (SELECT recording_id, idx, value FROM {source} UNION ALL
+    SELECT recording_id, -idx, 2 * v0 - value FROM {source} JOIN {out}_n USING (recording_id) WHERE idx BETWEEN 1 AND {pad} UNION ALL
+    SELECT recording_id, 2 * (n - 1) - idx, 2 * v1 - value FROM {source} JOIN {out}_n USING (recording_id) WHERE idx BETWEEN n - 1 - {pad} AND n - 2),
+{_pass_sql(f"{out}_e", f"{out}_f", sos.tolist(), rest.tolist())},
+{out}_g AS (SELECT recording_id, -idx AS idx, value FROM {out}_f),
+{_pass_sql(f"{out}_g", f"{out}_b", sos.tolist(), rest.tolist())},
+{out} AS (SELECT recording_id, -b.idx AS idx, value FROM {out}_b b JOIN {out}_n USING (recording_id) WHERE -b.idx >= 0 AND -b.idx < n)"""
 
 
-@query()
-def bandstop_filter(spark, d):
-    data = maps.global_impedance(A.frames(spark, d)).withColumnRenamed("frame_idx", "idx")
-    return spectrum.butterworth(data, "bandstop", (1.0, 2.0), 1, A.RATE).select("recording_id", "idx", F.round("value", 6).alias("value"))
+RAW = "raw AS (SELECT recording_id, frame_idx AS idx, sum(z) AS value FROM pix GROUP BY ALL)"
+
+
+def _impedance_signal(spark: SparkSession, d: str) -> DataFrame:
+    return maps.global_impedance(A.frames(spark, d)).withColumnRenamed("frame_idx", "idx")
+
+
+def _butterworth(name: str, kind: str, cutoff: float | tuple[float, float], order: int) -> None:
+    def run(spark, d):
+        out = spectrum.Butterworth(kind, cutoff, order, A.RATE).apply(_impedance_signal(spark, d))
+        return rounded(out.select("recording_id", "idx", "value"), "value")
+
+    run.__name__ = name
+    query(f"{RAW}, {_filter_sql('raw', 'flt', kind, cutoff, order)} SELECT recording_id, idx, round(value, 6) AS value FROM flt")(run)
+
+
+_butterworth("lowpass_filter", "lowpass", 4.0, 4)
+_butterworth("highpass_filter", "highpass", 1.0, 2)
+_butterworth("bandpass_filter", "bandpass", (1.0, 4.0), 2)
+_butterworth("bandstop_filter", "bandstop", (1.0, 2.0), 1)
+
+
+@query(f"""src4 AS (SELECT recording_id * 1000 + row * 8 + col AS recording_id, frame_idx AS idx, z AS value FROM pix), {_filter_sql('src4', 'flt', 'lowpass', 4.0, 2)}
+SELECT recording_id // 1000 AS recording_id, idx AS frame_idx, CAST(recording_id % 1000 AS INTEGER) AS pixel, round(value, 6) AS z FROM flt""")
+def lowpass_frames(spark, d):
+    """A filter on every pixel of the frames."""
+    out = spectrum.Butterworth("lowpass", 4.0, 2, A.RATE).apply(A.frames(spark, d))
+    return rounded(out.select("recording_id", "frame_idx", F.posexplode("pixels").alias("pixel", "z")), "z")
+
+
+NOTCHES = (0.2, 1.2)
+
+
+def _notch_sql(source: str, out: str) -> str:
+    """The band stops in turn, then the low pass."""
+    steps = [("bandstop", (low, high)) for _, low, high in spectrum.notch_bands(*NOTCHES)] + [("lowpass", spectrum.NOISE_LIMIT)]
+    parts, before = [], source
+    for k, (kind, cutoff) in enumerate(steps):
+        name = out if k + 1 == len(steps) else f"{out}{k}"
+        parts.append(_filter_sql(before, name, kind, cutoff, 2))
+        before = name
+    return ",\n".join(parts)
+
+
+@query(f"{RAW}, {_notch_sql('raw', 'mdn')} SELECT recording_id, idx, round(value, 6) AS value FROM mdn")
+def multiple_notch_filter(spark, d):
+    out = spectrum.MultipleNotch(*NOTCHES, A.RATE, order=2).apply(_impedance_signal(spark, d))
+    return rounded(out.select("recording_id", "idx", "value"), "value")
+
+
+def _welch_sql(source: str, out: str, size: str, step: str, rate: float) -> str:
+    """Power ``p`` at ``f`` of (recording_id, px, idx, value) by segments of ``size`` samples of n; ``k`` numbers the frequencies."""
+    return f"""{out}_n AS (SELECT recording_id, n, {size} AS size FROM (SELECT recording_id, max(idx) + 1 AS n FROM {source} GROUP BY ALL)),
+{out}_g AS (SELECT recording_id, size, unnest(range(0, n - size + 1, {step})) AS a FROM {out}_n),
+{out}_p AS (SELECT s.recording_id, px, a, size, idx - a AS j, (value - avg(value) OVER (PARTITION BY s.recording_id, px, a)) * (0.5 - 0.5 * cos(2 * pi() * (idx - a) / size)) AS v
+    FROM {source} s JOIN {out}_g g ON g.recording_id = s.recording_id AND idx >= a AND idx < a + size),
+{out}_k AS (SELECT recording_id, unnest(range(0, size // 2 + 1)) AS k FROM {out}_n),
+{out}_d AS (SELECT p.recording_id, px, a, size, k, pow(sum(v * cos(2 * pi() * k * j / size)), 2) + pow(sum(v * sin(2 * pi() * k * j / size)), 2) AS p
+    FROM {out}_p p JOIN {out}_k USING (recording_id) GROUP BY ALL),
+{out} AS (SELECT recording_id, px, k, k * {rate} / size AS f, avg(p) * CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END / ({rate} * size * 0.375) AS p FROM {out}_d GROUP BY recording_id, px, k, size)"""
+
+
+def _rates_sql(rate: float, window: int) -> str:
+    (r0, r1), (h0, h1) = spectrum.LIMITS["adult"]
+    both = f"s AS (SELECT recording_id, -1 AS px, frame_idx AS idx, sum(z) AS value FROM pix GROUP BY ALL UNION ALL SELECT recording_id, row * {A.SIDE} + col, frame_idx, z FROM pix)"
+    pick = """round(CASE WHEN k = lo OR k = hi OR a - 2 * b + c = 0 THEN f ELSE f + (f1 - f) * 0.5 * (a - c) / (a - 2 * b + c) END, 6)"""
+
+    def best(name: str, value: str, low: float, high: float) -> str:
+        return f"""{name} AS (SELECT recording_id, {pick} AS rate FROM (SELECT *, {value} AS b, lag({value}) OVER w AS a, lead({value}) OVER w AS c, lead(f) OVER w AS f1 FROM two WINDOW w AS (PARTITION BY recording_id ORDER BY k))
+    JOIN (SELECT recording_id, min(k) AS lo, max(k) AS hi FROM two WHERE f >= {low!r} AND f <= {high!r} GROUP BY ALL) USING (recording_id)
+    WHERE k BETWEEN lo AND hi QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY b DESC, k) = 1)"""
+
+    return f"""{both}, {_welch_sql('s', 'psd', f'least({window}, n)', 'size - size // 2', rate)},
+nrm AS (SELECT recording_id, px, k, f, p / sum(p) OVER (PARTITION BY recording_id, px) AS p FROM psd),
+two AS (SELECT recording_id, k, f, max(CASE WHEN px = -1 THEN p END) AS total, avg(CASE WHEN px >= 0 THEN p END) AS pixels FROM nrm GROUP BY ALL),
+{best('resp', 'total', r0, r1)}, {best('heart', 'pixels - total', h0, h1)}
+SELECT recording_id, resp.rate AS respiratory_rate, heart.rate AS heart_rate FROM resp JOIN heart USING (recording_id)"""
+
+
+@query(_rates_sql(A.RATE, int(30 * A.RATE)))
+def rates(spark, d):
+    return rounded(spectrum.rates(A.frames(spark, d), A.RATE), "respiratory_rate", "heart_rate")
+
+
+@query(_rates_sql(2.0, 16))
+def rates_refined(spark, d):
+    """The same frames as if two a second, in segments of eight seconds, so that peaks lie within their ranges."""
+    return rounded(spectrum.rates(A.frames(spark, d), 2.0, window=8.0), "respiratory_rate", "heart_rate")
 
 
 @query(f"{SIGNAL}, t AS (SELECT recording_id, idx, time FROM sig) SELECT br.recording_id, breath_idx, round(time, 3) AS time, round(ev, 6) AS value FROM br JOIN t ON t.recording_id = br.recording_id AND t.idx = end_idx")
@@ -539,7 +732,7 @@ def as_of_forward(spark, d):
     return Q.as_of(points, sig).select("recording_id", "point", "idx")
 
 
-@query(f"{MAPS}, t AS (SELECT map_id, row, col, row * 10000 + col AS region FROM m WHERE value > 0), hop AS (WITH RECURSIVE r AS (SELECT * FROM t UNION SELECT t.map_id, t.row, t.col, r.region FROM r "
+@query(f"{MAPS}, t AS (SELECT map_id, row, col, row * {masks.WIDTH} + col AS region FROM m WHERE value > 0), hop AS (WITH RECURSIVE r AS (SELECT * FROM t UNION SELECT t.map_id, t.row, t.col, r.region FROM r "
        "JOIN t ON t.map_id = r.map_id AND greatest(abs(t.row - r.row), abs(t.col - r.col)) = 1) SELECT map_id, row, col, min(region) AS region FROM r GROUP BY ALL) "
        "SELECT map_id AS mask_id, CAST(region AS BIGINT) AS region, count(*) AS n FROM hop GROUP BY ALL")
 def region_sizes(spark, d):
@@ -633,28 +826,12 @@ def spectra(spark, d):
     return rounded(spectrum.spectra(A.frames(spark, d), A.RATE, SEGMENT, OVERLAP), "frequency", "total", "pixels", "difference")
 
 
-def _impedance_signal(spark: SparkSession, d: str) -> DataFrame:
-    return maps.global_impedance(A.frames(spark, d)).withColumnRenamed("frame_idx", "idx")
-
-
-@query()
-def highpass_filter(spark, d):
-    return rounded(spectrum.butterworth(_impedance_signal(spark, d), "highpass", 1.0, 2, A.RATE).select("recording_id", "idx", "value"), "value")
-
-
-@query()
-def bandpass_filter(spark, d):
-    return rounded(spectrum.butterworth(_impedance_signal(spark, d), "bandpass", (1.0, 4.0), 2, A.RATE).select("recording_id", "idx", "value"), "value")
-
-
-@query()
-def multiple_notch_filter(spark, d):
-    return rounded(spectrum.multiple_notch(_impedance_signal(spark, d), 0.2, 1.2, A.RATE, order=2).select("recording_id", "idx", "value"), "value")
-
-
-@query()
+@query(f"""{RAW}, {_notch_sql('raw', 'mdn')}, a AS (SELECT recording_id, 0 AS px, idx, value FROM raw), b AS (SELECT recording_id, 0 AS px, idx, value FROM mdn),
+{_welch_sql('a', 'pa', 'least(32, n)', 'size - least(16, size - 1)', A.RATE)}, {_welch_sql('b', 'pb', 'least(32, n)', 'size - least(16, size - 1)', A.RATE)}
+SELECT recording_id, CAST(k AS INTEGER) AS k, round(pa.f, 6) AS frequency, round(pa.f * 60, 6) AS per_minute, round(pa.p, 6) AS power, round(pb.p, 6) AS filtered FROM pa JOIN pb USING (recording_id, k)""")
 def filter_spectra(spark, d):
     """Power before and after the notch filter, the data of a plot of its effect."""
     raw = _impedance_signal(spark, d)
-    after = spectrum.power(spectrum.multiple_notch(raw, 0.2, 1.2, A.RATE, order=2), A.RATE, 32, 16).withColumnRenamed("power", "filtered")
-    return rounded(spectrum.power(raw, A.RATE, 32, 16).join(after.select("recording_id", "k", "filtered"), ["recording_id", "k"]), "power", "filtered")
+    after = spectrum.power(spectrum.MultipleNotch(*NOTCHES, A.RATE, order=2).apply(raw), A.RATE, 32, 16).withColumnRenamed("power", "filtered")
+    both = spectrum.power(raw, A.RATE, 32, 16).join(after.select("recording_id", "k", "filtered"), ["recording_id", "k"])
+    return rounded(both, "frequency", "per_minute", "power", "filtered")

@@ -7,6 +7,7 @@ from airtide.functions import categories, kernels
 from airtide.operators import breaths as B
 from airtide.operators import masks, select, signal, spectrum
 from airtide.operators import maps as M
+from airtide.operators import sequences as Q
 from airtide.sources import vendors
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -45,8 +46,23 @@ def test_long_average_equals_the_short_way(spark, monkeypatch):
     data, weights = series(spark, [(k * 7) % 11 for k in range(40)]), signal.blackman(21)
     got = lambda: [r.average for r in signal.moving_average(data, weights).orderBy("idx").collect()]
     short = got()
-    monkeypatch.setattr(signal, "MOST_TERMS", 5)
-    assert np.allclose(short, got())
+    monkeypatch.setattr(signal, "SPAN", 5)
+    wide = np.pad([(k * 7) % 11 for k in range(40)], 10, mode="edge")
+    assert np.allclose(short, got()) and np.allclose(short, [wide[k : k + 21] @ weights for k in range(40)])
+
+
+@pytest.mark.parametrize("padding", ["edge", "constant", "reflect", "symmetric", "wrap", "mean"])
+def test_paddings_in_spans(spark, monkeypatch, padding):
+    """Each padding, with recordings of many spans, of a span exactly, and shorter than the window; an even window is one longer."""
+    monkeypatch.setattr(signal, "SPAN", 8)
+    rng = np.random.default_rng(3)
+    for n in (200, 64, 65, 70, 9, 5, 1):
+        x = rng.normal(size=n)
+        size = min(9, (n - 1) // 2 * 2 + 1)
+        w = np.array(signal.blackman(size))
+        want = np.convolve(np.pad(x, size // 2, mode=padding), w / w.sum(), mode="valid")
+        got = signal.moving_average(series(spark, x), 8, signal.blackman, padding=padding).orderBy("idx").collect()
+        assert [r.idx for r in got] == list(range(n)) and np.allclose([r.average for r in got], want), (padding, n)
 
 
 def test_even_window_is_refused(spark):
@@ -87,7 +103,13 @@ def test_regions(spark):
     mask = spark.createDataFrame(pixels, "mask_id string, row int, col int")
     count = lambda c: masks.regions(mask, connectivity=c).select("mask_id", "region").distinct().count()
     assert (count(1), count(2)) == (4, 3)
-    assert masks.by_size(mask, least=2).count() == 2
+    assert masks.by_size(mask, least=2, empty="drop").count() == 2
+    with pytest.raises(PySparkException):  # mask n has no region of two
+        masks.by_size(mask, least=2).collect()
+    assert count([[0, 0, 1], [0, 1, 0], [1, 0, 0]]) == 5 and count([[1, 0, 0], [0, 1, 0], [0, 0, 1]]) == 4
+    for wrong in (3, [[1, 1], [1, 1]], [[1, 0, 0], [0, 1, 0], [0, 0, 0]]):
+        with pytest.raises(ValueError):
+            masks.regions(mask, connectivity=wrong)
 
 
 def test_normalize_by_zero_raises(spark):
@@ -137,11 +159,116 @@ def test_phase_lag_sign():
 
 
 def test_categories(spark):
-    assert categories.check("airway pressure", "pressure") and not categories.check("flow", "pressure")
+    assert categories.check("plateau pressure", "pressure") and categories.check("pressure", "physical measurement") and not categories.check("flow", "pressure")
     with pytest.raises(ValueError):
         categories.check("flow", "no such thing")
     with pytest.raises(ValueError):
-        categories.rows({"a": {"b": {}}, "c": {"b": {}}})
+        categories.check("flow", "pressure", raise_=True)
+    with pytest.raises(ValueError):
+        categories.nested({"a": {"b": {}}, "c": {"b": {}}})
+    small = "top:\n- one:\n  - two\n  - three: \n    - four\n- five\n"
+    want = [("top", None, ["top"], 0), ("one", "top", ["top", "one"], 1), ("two", "one", ["top", "one", "two"], 2), ("three", "one", ["top", "one", "three"], 2),
+            ("four", "three", ["top", "one", "three", "four"], 3), ("five", "top", ["top", "five"], 1)]
+    assert categories.compact(small) == want == categories.nested({"top": [{"one": ["two", {"three": ["four"]}]}, "five"]})
+    assert categories.nested({"name": "top", "children": [{"name": "one", "children": [{"name": "two"}]}]})[-1] == ("two", "one", ["top", "one", "two"], 2)
+    for wrong in (small + "- one\n", "top:\n- one\n  - two\n", "top:\none:\n"):
+        with pytest.raises(ValueError):
+            categories.compact(wrong)
+    data = spark.createDataFrame([("flow",), ("airflow",), ("volume",)], "category string")
+    assert sorted(r.category for r in categories.of_category(data, "flow").collect()) == ["airflow", "flow"]
+    assert categories.categories(spark).where("parent = 'root'").count() == 3
+
+
+def test_find_breaths_of_a_wave(spark):
+    """A regular wave, with other shortest durations and with an outlier."""
+    wave = [-math.cos(2 * math.pi * (k / 25) / 3.5) for k in range(25 * 70)]
+    count = lambda values, **given: B.find_breaths(series(spark, values, 25.0), 25.0, **given).count()
+    assert count(wave) == count(wave, minimum_duration=3) == count(wave, minimum_duration=1 / 25)
+    assert 0 < count(wave, minimum_duration=4) < count(wave)
+    outlier = list(wave)
+    outlier[438] = -100.0
+    assert 0 < count(wave) - count(outlier) <= 2 and count(outlier, invalid_window=3.5) < count(outlier)
+    assert count([1.0] * 500) == 0 and count(wave[:30]) == 0
+    found = B.find_breaths(series(spark, wave, 25.0), 25.0).orderBy("breath_idx").collect()
+    assert all(a.end_idx == b.start_idx for a, b in zip(found, found[1:])) and all(abs(r.middle_value - 1) < 1e-3 and abs(r.start_value + 1) < 1e-3 for r in found)
+
+
+def test_only_invalid_samples_are_an_error(spark):
+    with pytest.raises(PySparkException):
+        signal.fill_nearest(series(spark, [1, 2]).withColumn("invalid", F.lit(True))).collect()
+
+
+def test_windows_grow_in_proportion(spark):
+    """Twice the samples of one recording take about twice as long."""
+    import time
+
+    def seconds(n):
+        data = spark.range(0, n, 1, 1).selectExpr("0L AS recording_id", "id AS idx", "double(id) AS time", "double(id % 97) AS value").withColumn("average", F.lit(40.0))
+        valleys = data.where("idx % 97 = 0").selectExpr("*", "-1 AS kind").drop("average")
+        began = time.perf_counter()
+        signal.fill_nearest(data.withColumn("invalid", F.col("idx") % 11 == 0)).write.format("noop").mode("overwrite").save()
+        B.trimmed(valleys, data).write.format("noop").mode("overwrite").save()
+        Q.as_of(valleys.select("recording_id", (F.col("time") + 0.5).alias("time")), data).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 4 * seconds(50_000) + 4
+
+
+def test_prominent_peaks_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        c = rng.integers(-3, 4, rng.integers(3, 25)).astype(float)
+        least = float(rng.choice([0.0, 1.0, 2.5]))
+        want = []
+        for a in range(1, len(c) - 1):
+            b = a
+            while b + 1 < len(c) and c[b + 1] == c[a]:
+                b += 1
+            if c[a - 1] >= c[a] or b + 1 == len(c) or c[b + 1] >= c[a] or c[a] < 0:
+                continue
+            left, right = a, b
+            while left > 0 and c[left - 1] <= c[a]:
+                left -= 1
+            while right + 1 < len(c) and c[right + 1] <= c[a]:
+                right += 1
+            if c[a] - max(c[left : a + 1].min(), c[a : right + 1].min()) >= least:
+                want.append((a + b) // 2)
+        assert kernels.prominent(c, 0.0, least) == want, c
+
+
+def test_mask_collection(spark):
+    grid = lambda *cells: spark.createDataFrame([(r, c, w) for r, c, w in cells], "row int, col int, weight double")
+    held = masks.Collection({"a": grid((0, 0, 1.0), (0, 1, 0.5)), "b": grid((0, 1, 0.5), (1, 1, 1.0))})
+    rows = lambda df: sorted((r.row, r.col, r.weight) for r in df.collect())
+    assert not held.anonymous and len(held) == 2
+    assert rows(held.combine("sum")) == [(0, 0, 1.0), (0, 1, 1.0), (1, 1, 1.0)] and rows(held.combine("product")) == [(0, 1, 0.25)]
+    for wrong, error in ((lambda: held.add(grid((0, 0, 1.0)), "a"), KeyError), (lambda: held.add(grid((0, 0, 1.0))), ValueError), (lambda: held.add(grid((0, 0, 1.0)).drop("weight"), "c"), ValueError),
+                         (lambda: held.combine("mean"), ValueError), (lambda: masks.Collection().combine(), ValueError)):
+        with pytest.raises(error):
+            wrong()
+    held.add(grid((1, 0, 1.0)), "a", overwrite=True)
+    assert rows(held["a"]) == [(1, 0, 1.0)]
+    numbered = masks.Collection([grid((0, 0, 1.0)), grid((1, 1, 1.0))])
+    assert numbered.anonymous and list(numbered.masks) == [0, 1]
+    px = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0)], "row int, col int, z double")
+    assert sorted((r.label, r.z) for r in held.apply(px, label_format="z of {mask_label}").collect()) == [("z of b", 4.0)]
+    with pytest.raises(ValueError):
+        held.apply(px, label_format="z")
+
+
+def test_map_kinds(spark):
+    grid = lambda *v: spark.createDataFrame([(0, c, x) for c, x in enumerate(v)], "row int, col int, value double")
+    values = lambda df: [r.value for r in df.orderBy("col").collect()]
+    a, b = M.convert(grid(1.0, -2.0, None), "amplitude"), grid(2.0, 0.0, 1.0)
+    assert [r.negative for r in a.orderBy("col").collect()] == [False, True, False]
+    assert values(M.combine(a, b, "+")) == [3.0, -2.0, None] and values(M.combine(a, 2, "-", reverse=True)) == [1.0, 4.0, None]
+    assert values(M.combine(a, b, "/")) == [0.5, None, None] and values(M.combine(a, b, "-", reverse=True)) == [1.0, 2.0, None]
+    assert {r.kind for r in M.combine(a, b, "-").collect()} == {"difference"} and {r.kind for r in M.combine(a, 3, "*").collect()} == {"amplitude"}
+    with pytest.raises(PySparkException):
+        M.combine(a, grid(1.0), "+").collect()
+    with pytest.raises(ValueError):
+        M.convert(a, "no such kind")
 
 
 def test_draeger(spark, tmp_path):
