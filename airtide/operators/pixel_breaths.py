@@ -53,13 +53,21 @@ def phase_lags(signal: DataFrame, pixels: DataFrame, breaths: DataFrame) -> Data
     both = pixels.select(*PIXEL, "frame_idx", "z").join(signal.select("recording_id", F.col("idx").alias("frame_idx"), "value"), ["recording_id", "frame_idx"]).join(spacing, "recording_id")
 
     def each(table: pa.Table) -> pa.Table:
-        table = table.sort_by("frame_idx")
-        z = np.array(table["z"], dtype=float)
-        lag = kernels.phase_lag(z, np.array(table["value"], dtype=float), float(table["reach"][0].as_py() or 0)) if z.std() > 0 else None
-        one = table.select(PIXEL).slice(0, 1 if lag is not None else 0)
-        return one.append_column("lag", pa.array([lag] * len(one), pa.int64()))
-
-    return both.groupBy(*PIXEL).applyInArrow(each, "recording_id long, row int, col int, lag long")
+        table = table.sort_by([("col", "ascending"), ("frame_idx", "ascending")])
+        col = table["col"].to_numpy()
+        z, value = (np.array(table[n], dtype=float) for n in ("z", "value"))
+        cut = np.flatnonzero(np.diff(col)) + 1
+        found = []
+        for c, a, b in zip(col[np.append(0, cut)].tolist(), np.append(0, cut).tolist(), np.append(cut, len(col)).tolist()):
+            lag = kernels.phase_lag(z[a:b], value[a:b], float(table["reach"][0].as_py() or 0)) if z[a:b].std() > 0 else None
+            if lag is not None:
+                found.append((c, lag))
+        n = len(found)
+        same = [pa.array([table[k][0].as_py()] * n, table.schema.field(k).type) for k in ("recording_id", "row")]
+        return pa.table([*same, pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64())], names=[*PIXEL, "lag"])
+
+    # A row of pixels goes to a task, so a long recording is spread over as many.
+    return both.groupBy("recording_id", "row").applyInArrow(each, "recording_id long, row int, col int, lag long")
 
 
 def pixel_timing_variation(found: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from ..operators import breaths as B
 from ..operators import maps, masks, select, signal, spectrum
 from ..operators import pixel_breaths as P
 from ..operators import sequences as Q
+from ..session import scratch
+from ..sources import encoders, loading, vendors
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -482,11 +484,11 @@ def tiv_lungspace(spark, d):
     return P.tiv_lungspace(found, px)
 
 
-def _pixel_breaths_sql(sign: str) -> str:
-    return f"""{IMPEDANCE}, {PIXEL_TIV}, mt AS (SELECT recording_id, row, col, avg(inspiratory) AS tiv FROM pv GROUP BY ALL),
-px2 AS (SELECT pix.recording_id, frame_idx, pix.row, pix.col, z * {sign} AS v FROM pix JOIN mt USING (recording_id, row, col)),
+def _pixel_breaths_sql(sign: str, lags: str = "lg AS (SELECT DISTINCT recording_id, row, col, 0 AS lag FROM pix)") -> str:
+    return f"""{IMPEDANCE}, {PIXEL_TIV}, {lags}, mt AS (SELECT recording_id, row, col, avg(inspiratory) AS tiv FROM pv GROUP BY ALL),
+px2 AS (SELECT pix.recording_id, frame_idx, frame_idx - lag AS pos, pix.row, pix.col, z * {sign} AS v FROM pix JOIN mt USING (recording_id, row, col) JOIN lg USING (recording_id, row, col)),
 seg AS (SELECT recording_id, breath_idx, middle_idx AS lo, lead(middle_idx) OVER (PARTITION BY recording_id ORDER BY breath_idx) AS hi FROM br),
-cut AS (SELECT x.recording_id, row, col, breath_idx, arg_min(frame_idx, (v, frame_idx)) AS cut, min(v) AS low, max(v) AS top FROM seg s JOIN px2 x ON x.recording_id = s.recording_id AND frame_idx >= lo AND frame_idx < hi GROUP BY ALL),
+cut AS (SELECT x.recording_id, row, col, breath_idx, arg_min(frame_idx, (v, frame_idx)) AS cut, min(v) AS low, max(v) AS top FROM seg s JOIN px2 x ON x.recording_id = s.recording_id AND pos >= lo AND pos < hi GROUP BY ALL),
 ok AS (SELECT * FROM cut WHERE low < top),
 fr AS (SELECT recording_id, row, col, breath_idx + 1 AS breath_idx, cut AS s, lead(cut) OVER w AS e, lead(breath_idx) OVER w AS nx FROM ok WINDOW w AS (PARTITION BY recording_id, row, col ORDER BY breath_idx)),
 pk AS (SELECT f.recording_id, f.breath_idx, f.row, f.col, s AS start_idx, e AS end_idx, arg_max(frame_idx, (v, -frame_idx)) AS middle_idx FROM fr f
@@ -506,7 +508,36 @@ def pixel_breaths_negative(spark, d):
     return P.pixel_breaths(found, px, negative=True)
 
 
-@query()
+#: Lag of each pixel: correlation with the summed signal without trends; the most prominent peaks within a breath, of them the nearest to 0.
+LAGS = """lz AS (SELECT recording_id, row, col, regr_intercept(z, frame_idx) AS i, regr_slope(z, frame_idx) AS s, stddev_pop(z) AS spread FROM pix GROUP BY ALL),
+lv AS (SELECT recording_id, regr_intercept(value, idx) AS i, regr_slope(value, idx) AS s, count(*) AS n FROM src GROUP BY ALL),
+tz AS (SELECT recording_id, row, col, frame_idx, z - (i + s * frame_idx) AS a, spread FROM pix JOIN lz USING (recording_id, row, col)),
+tg AS (SELECT recording_id, idx, value - (i + s * idx) AS b, n FROM src JOIN lv USING (recording_id)),
+reach AS (SELECT recording_id, (max(middle_idx) - min(middle_idx)) / (count(*) - 1) AS reach FROM br GROUP BY ALL HAVING count(*) > 1),
+xc AS (SELECT z.recording_id, row, col, frame_idx - idx AS lag, sum(a * b) AS c FROM tz z JOIN tg ON tg.recording_id = z.recording_id AND frame_idx - idx BETWEEN -((n - 1) // 2) AND n // 2 WHERE spread > 0 GROUP BY ALL),
+dv AS (SELECT recording_id, row, col, stddev_pop(c) AS dev FROM xc GROUP BY ALL),
+nc AS (SELECT xc.* FROM xc JOIN reach USING (recording_id) WHERE abs(lag) <= reach),
+tops AS (SELECT *, lag(c) OVER w AS before, lead(c) OVER w AS after FROM nc WINDOW w AS (PARTITION BY recording_id, row, col ORDER BY lag)),
+wide AS (SELECT t.recording_id, t.row, t.col, t.lag, t.c, coalesce(max(o.lag) FILTER (o.lag < t.lag AND o.c > t.c), -1000000) AS l, coalesce(min(o.lag) FILTER (o.lag > t.lag AND o.c > t.c), 1000000) AS r
+    FROM tops t JOIN nc o ON o.recording_id = t.recording_id AND o.row = t.row AND o.col = t.col WHERE t.c > before AND t.c > after AND t.c >= 0 GROUP BY ALL),
+prom AS (SELECT w.recording_id, w.row, w.col, w.lag, w.c, w.c - greatest(min(o.c) FILTER (o.lag < w.lag), min(o.c) FILTER (o.lag > w.lag)) AS prominence
+    FROM wide w JOIN nc o ON o.recording_id = w.recording_id AND o.row = w.row AND o.col = w.col AND o.lag > l AND o.lag < r GROUP BY w.recording_id, w.row, w.col, w.lag, w.c),
+lg AS (SELECT recording_id, row, col, lag FROM prom JOIN dv USING (recording_id, row, col) WHERE prominence >= dev QUALIFY row_number() OVER (PARTITION BY recording_id, row, col ORDER BY abs(lag), c DESC, lag DESC) = 1)"""
+
+
+@query(f"{IMPEDANCE}, {LAGS} SELECT recording_id, row, col, lag FROM lg")
+def phase_lags(spark, d):
+    data, found, px = impedance(spark, d)
+    return P.phase_lags(data, px, found)
+
+
+@query(f"""{_pixel_breaths_sql("1", LAGS).rsplit("SELECT recording_id, breath_idx, row, col, start_idx", 1)[0]},
+own AS (SELECT p.recording_id AS map_id, p.row, p.col, avg(m.z - (s.z + e.z) / 2) AS value FROM pk p
+    JOIN pix s ON s.recording_id = p.recording_id AND s.row = p.row AND s.col = p.col AND s.frame_idx = start_idx
+    JOIN pix m ON m.recording_id = p.recording_id AND m.row = p.row AND m.col = p.col AND m.frame_idx = middle_idx
+    JOIN pix e ON e.recording_id = p.recording_id AND e.row = p.row AND e.col = p.col AND e.frame_idx = end_idx
+    WHERE start_idx < middle_idx AND middle_idx < end_idx GROUP BY ALL)
+SELECT map_id, row, col, 1.0::DOUBLE AS weight FROM (SELECT *, max(value) OVER (PARTITION BY map_id) AS top FROM own) WHERE value >= 0.15 * top""")
 def amplitude_lungspace(spark, d):
     data, found, px = impedance(spark, d)
     return P.amplitude_lungspace(data, found, px)
@@ -835,3 +866,75 @@ def filter_spectra(spark, d):
     after = spectrum.power(spectrum.MultipleNotch(*NOTCHES, A.RATE, order=2).apply(raw), A.RATE, 32, 16).withColumnRenamed("power", "filtered")
     both = spectrum.power(raw, A.RATE, 32, 16).join(after.select("recording_id", "k", "filtered"), ["recording_id", "k"])
     return rounded(both, "frequency", "per_minute", "power", "filtered")
+
+
+def written(spark: SparkSession, d: str, vendor: str) -> list[str]:
+    """Files of the frames in a vendor's format, with flags, and times that go on from one recording to the next."""
+    idx = F.col("frame_idx")
+    phase = F.when(idx % 5 == 0, -1).when(idx % 5 == 2, 1).otherwise(0)
+    marked = A.frames(spark, d).withColumns({"phase": phase, "marker": F.expr("CAST(frame_idx div 7 AS INT)"), "time": F.col("time") + F.col("recording_id") * 1000 + 1})
+    return encoders.write(marked, scratch(spark, f"files-{vendor}"), vendor, A.RATE)
+
+
+def loaded(spark: SparkSession, d: str, vendor: str, **given) -> DataFrame:
+    """Frames of these files, with the recording that a file is of."""
+    return vendors.load(spark, written(spark, d, vendor), vendor, **given).withColumn("recording_id", F.regexp_extract("path", r"([0-9]+)[.][a-z]+$", 1).cast("long"))
+
+
+def _loaded(frames: DataFrame, *more) -> DataFrame:
+    px = F.aggregate("pixels", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return frames.select("recording_id", "frame_idx", F.round("time", 3).alias("time"), F.size("pixels").alias("n_pixels"), F.round(px, 4).alias("value"), *more)
+
+
+def _loaded_sql(pixels: int, time: str, more: str, where: str = "true") -> str:
+    return f"SELECT recording_id, frame_idx, round({time}, 3) AS time, {pixels} AS n_pixels, round(sum(z), 4) AS value, {more} FROM pix WHERE {where} GROUP BY recording_id, frame_idx"
+
+
+_PHASE = "CASE frame_idx % 5 WHEN 0 THEN -1 WHEN 2 THEN 1 ELSE 0 END AS phase"
+
+
+@query(_loaded_sql(1024, "recording_id * 1000 + 1 + frame_idx / 20.0", f"{_PHASE}, CAST(frame_idx // 7 AS INTEGER) AS marker", "frame_idx >= 3 AND frame_idx < 13"))
+def load_records(spark, d):
+    """Files of records of fixed size, ten frames of each from the fourth on."""
+    return _loaded(loaded(spark, d, "draeger", first_frame=3, max_frames=10), "phase", "marker")
+
+
+@query(_loaded_sql(1024, "frame_idx / 20.0", f"{_PHASE}, frame_idx >= 7 AS qrs"))
+def load_text(spark, d):
+    return _loaded(loaded(spark, d, "timpel", rate=A.RATE), "phase", "qrs")
+
+
+@query(_loaded_sql(64, "recording_id * 1000 + 1 + frame_idx / 20.0 - 4294.967295 * floor((recording_id * 1000 + 1) / 4294.967295)", "20.0::DOUBLE AS rate"))
+def load_packets(spark, d):
+    """Packets, whose times start anew after 2**32 - 1 microseconds."""
+    return _loaded(loaded(spark, d, "sentec"), "rate")
+
+
+@query("SELECT recording_id, frame_idx, CAST(frame_idx // 7 AS INTEGER) AS marker FROM frames WHERE frame_idx >= 7 AND frame_idx % 7 = 0")
+def loaded_events(spark, d):
+    """Rises of the marker, one of them at the first frame that is loaded."""
+    frames = loaded(spark, d, "draeger", first_frame=7)
+    return vendors.events(frames.drop("path").withColumnRenamed("recording_id", "path")).select(F.col("path").alias("recording_id"), "frame_idx", "marker")
+
+
+SERIES = "whole AS (SELECT *, row_number() OVER (ORDER BY recording_id, frame_idx) - 1 AS place FROM (SELECT recording_id, frame_idx, sum(z) AS value, avg(z) AS mean FROM pix GROUP BY ALL))"
+
+
+@query(f"""{SERIES}
+SELECT 'global_impedance_(raw)' AS label, place AS idx, round(recording_id * 1000 + 1 + frame_idx / 20.0, 3) AS time, round(value, 4) AS value FROM whole
+UNION ALL SELECT 'airway pressure', place, round(recording_id * 1000 + 1 + frame_idx / 20.0, 3), round(mean, 4) FROM whole""")
+def load_sequence(spark, d):
+    """All files joined as one recording: the summed signal and one that was recorded beside it."""
+    found = loading.load(spark, written(spark, d, "draeger"), "draeger", label="all")
+    rows = found.sequence.continuous.where("label in ('global_impedance_(raw)', 'airway pressure')")
+    return rows.select("label", "idx", F.round("time", 3).alias("time"), F.round("value", 4).alias("value"))
+
+
+@query(f"""{SERIES}, ph AS (SELECT place AS idx, value, CASE frame_idx % 5 WHEN 0 THEN -1 ELSE 1 END AS kind, 0 AS recording_id FROM whole WHERE frame_idx % 5 IN (0, 2)), {_alternate_sql('ph', 'alt2')}
+SELECT row_number() OVER (ORDER BY middle_idx) - 1 AS breath, round(value, 4) AS value FROM
+    (SELECT kind, value, idx AS middle_idx, lag(idx) OVER (ORDER BY idx) AS s, lead(idx) OVER (ORDER BY idx) AS e FROM alt2) WHERE kind = 1 AND s IS NOT NULL AND e IS NOT NULL""")
+def loaded_breaths(spark, d):
+    """Breaths by the device's flags over all files joined."""
+    found = loading.load(spark, written(spark, d, "draeger"), "draeger", label="all").sequence.intervals
+    breath = F.row_number().over(W.partitionBy("recording_id").orderBy("start_time")).cast("long") - 1
+    return found.select(breath.alias("breath"), F.round("value", 4).alias("value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,19 @@ def ship(spark: SparkSession) -> None:
             z.write(file, str(Path(root.name) / file.relative_to(root)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses in the folder that driver and executors share (``spark.checkpoint.dir``), deleted when the application ends.
+
+    Only on a local master that names no such folder is it a temporary one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="airtide-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

@@ -1,11 +1,14 @@
-"""Readers of the vendors' files, each into frames and signals.
+"""Formats of the vendors' files, decoded into batches of frames, and the tables that frames hold.
 
-Files are read with Spark's own readers and decoded in tasks. Records of fixed size are decoded by ranges of frames.
+``load`` reads files as frames by the data source of ``datasource``: files of records of fixed size by ranges, the others
+as a stream, a file in a task, in batches of ``BATCH`` frames, so that memory does not grow with a file.
 """
 
 from __future__ import annotations
 
+import json
 import struct
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .binary import Primitives
+
 VENDORS = ("draeger", "timpel", "sentec")
 #: Record sizes of the two formats and how many values follow the frame.
 DRAEGER = {4358: 52, 4382: 58}
@@ -24,112 +29,149 @@ POD_SIGNALS = [("airway pressure (pod)", "mbar"), ("esophageal pressure (pod)",
 POD_PLACE = 54
 PIXELS = 1024
 
-FRAME = "path string, frame_idx long, time double, pixels array<double>, phase int, marker int, text string, aux array<double>"
+BATCH = 1024
+#: Sentec's domains of fields: measurements (time 0, image 5) and settings (sample frequency 1).
+MEASURED, SETTINGS = 16, 64
 
+FRAME = "path string, frame_idx long, time double, pixels array<double>, phase int, marker int, marker_before int, text string, qrs boolean, rate double, aux array<double>"
+#: Phase flags: smallest, largest, and both in one frame.
+LOW, HIGH, BOTH = -1, 1, 2
 
-def draeger_dtype(aux: int) -> np.dtype:
-    return np.dtype([("time", "<f8"), ("skip", "<f4"), ("pixels", "<f4", PIXELS), ("phase", "<i4"), ("marker", "<i4"), ("text", "S30"), ("error", "<i4"), ("aux", "<f4", aux)])
 
+def batch(name: str, first: int, columns: dict[str, list | np.ndarray | pa.Array], n: int) -> pa.RecordBatch:
+    """Consecutive frames; what is not given is missing, flags and markers are 0."""
+    plain = {
+        "path": pa.array([name] * n, pa.string()), "frame_idx": pa.array(np.arange(first, first + n)), "phase": pa.array(np.zeros(n, dtype=np.int32)), "marker": pa.array(np.zeros(n, dtype=np.int32)),
+        "marker_before": pa.nulls(n, pa.int32()), "text": pa.array([""] * n), "qrs": pa.nulls(n, pa.bool_()), "rate": pa.nulls(n, pa.float64()), "aux": pa.array([[]] * n, pa.list_(pa.float64())),
+    }
+    names = ["path", "frame_idx", "time", "pixels", "phase", "marker", "marker_before", "text", "qrs", "rate", "aux"]
+    return pa.RecordBatch.from_arrays([columns.get(c, plain.get(c)) for c in names], names=names)
 
-def draeger_batch(name: str, first: int, part: np.ndarray) -> pa.RecordBatch:
-    """Rows of consecutive records."""
-    lists = [[[None if v < -1e30 or np.isnan(v) else float(v) for v in row] for row in part[n]] for n in ("pixels", "aux")]
-    text = [t.decode("latin-1").rstrip("\0 ") for t in part["text"]]
-    return pa.RecordBatch.from_arrays([
-        pa.array([name] * len(part)), pa.array(np.arange(first, first + len(part))), pa.array(part["time"] * 86400.0), pa.array(lists[0], pa.list_(pa.float64())),
-        pa.array(part["phase"]), pa.array(part["marker"]), pa.array(text), pa.array(lists[1], pa.list_(pa.float64())),
-    ], names=["path", "frame_idx", "time", "pixels", "phase", "marker", "text", "aux"])
 
+def lists(values: np.ndarray, missing: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists, with nulls where values are missing."""
+    n, width = values.shape
+    flat = pa.array(values.astype(float).ravel(), mask=missing.ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), flat)
 
-def load(spark: SparkSession, path: str | list[str], vendor: str, *, first_frame: int = 0, max_frames: int | None = None, rate: float | None = None) -> DataFrame:
-    """Frames of files of one vendor, numbered within each file."""
+
+def draeger_dtype(aux: int) -> np.dtype:
+    return np.dtype([("time", "<f8"), ("skip", "<f4"), ("pixels", "<f4", PIXELS), ("phase", "<i4"), ("marker", "<i4"), ("text", "S30"), ("error", "<i4"), ("aux", "<f4", aux)])
+
+
+def draeger_batch(name: str, first: int, part: np.ndarray, before: int | None = None) -> pa.RecordBatch:
+    """Frames of consecutive records. Time is in days, values below -1e30 are missing; ``before`` is the marker of the record before the first."""
+    held = {n: lists(part[n], (part[n] < -1e30) | np.isnan(part[n])) for n in ("pixels", "aux")}
+    marker = part["marker"].astype(np.int32)
+    earlier = pa.array([before, *marker[:-1].tolist()][: len(part)], pa.int32())
+    text = pa.array([t.decode("latin-1").rstrip("\0 ") for t in part["text"]])
+    columns = {"time": pa.array(part["time"] * 86400.0), "phase": pa.array(part["phase"].astype(np.int32)), "marker": pa.array(marker), "marker_before": earlier, "text": text}
+    return batch(name, first, columns | held, len(part))
+
+
+def timpel_batches(name: str, lines: Iterator[str], rate: float | None) -> Iterator[pa.RecordBatch]:
+    """Text of 1030 columns: pixels (-1000 is missing), pressure, flow, volume, smallest and largest flag, QRS flag."""
+    first, rows = 0, []
+
+    def made() -> pa.RecordBatch:
+        v = np.array(rows)
+        low, high = v[:, PIXELS + 3] == 1, v[:, PIXELS + 4] == 1
+        phase = np.where(low & high, BOTH, np.where(low, LOW, np.where(high, HIGH, 0))).astype(np.int32)
+        time = (first + np.arange(len(v))) / (rate or 50.0)
+        none = np.zeros((len(v), 3), dtype=bool)
+        columns = {"time": pa.array(time), "pixels": lists(v[:, :PIXELS], v[:, :PIXELS] == TIMPEL_MISSING), "phase": pa.array(phase), "qrs": pa.array(v[:, PIXELS + 5] == 1),
+                   "rate": pa.array(np.full(len(v), rate or 50.0)), "aux": lists(v[:, PIXELS : PIXELS + 3], none)}
+        return batch(name, first, columns, len(v))
+
+    for line in lines:
+        if not line.strip():
+            continue
+        parts = line.split(",")
+        if len(parts) != TIMPEL_COLUMNS:
+            raise OSError(f"{name} has a line of {len(parts)} columns instead of {TIMPEL_COLUMNS}")
+        try:
+            rows.append([float(x) for x in parts])
+        except ValueError as e:
+            raise OSError(f"{name} has a line that is not of numbers") from e
+        if len(rows) == BATCH:
+            yield made()
+            first, rows = first + len(rows), []
+    if rows:
+        yield made()
+
+
+def sentec_batches(name: str, data: Primitives, rate: float | None) -> Iterator[pa.RecordBatch]:
+    """Tagged packets, read in order: the time in microseconds, which starts anew every ``SENTEC_PERIOD``, the negated image, the sample frequency.
+
+    A frequency in the file counts from its packet on, rather than a given one.
+    """
+    first, time, turns, last = 0, 0.0, 0, None
+    version = data.u8()
+    if version is None:
+        return
+    rows: list[tuple[float, np.ndarray, float | None]] = []
+
+    def made() -> pa.RecordBatch:
+        image = np.array([r[1] for r in rows])
+        return batch(name, first, {"time": pa.array([r[0] for r in rows]), "pixels": lists(image, np.isnan(image)), "rate": pa.array([r[2] for r in rows], pa.float64())}, len(rows))
+
+    while data.u64() is not None:  # a time stamp of the packet itself
+        domain, fields = data.u8(), data.u8()
+        for _ in range(fields or 0):
+            kind, size = data.u8(), data.u16()
+            body = data.take(size or 0)
+            if body is None:  # the file ends within a packet
+                break
+            if domain == MEASURED and kind == 0:
+                now = struct.unpack("<I", body)[0]
+                turns += last is not None and now < last - SENTEC_PERIOD // 2
+                last, time = now, (now + turns * SENTEC_PERIOD) / 1e6
+            elif domain == MEASURED and kind == 5:
+                skip = int(version > 1)
+                width, height = body[skip], body[skip + 1]
+                if len(body) != skip + 2 + 4 * width * height:
+                    raise OSError(f"{name} has an image that is not of its stated size")
+                rows.append((time, -np.frombuffer(body, "<f4", offset=skip + 2).astype(float), rate))
+            elif domain == SETTINGS and kind == 1:
+                found = round(struct.unpack("<f", body)[0], 4)
+                if rate is not None and rate != found:
+                    warnings.warn(f"{name} has a sample frequency of {found}, not {rate}", RuntimeWarning, stacklevel=2)
+                rate = found
+        if len(rows) >= BATCH:
+            yield made()
+            first, rows = first + len(rows), []
+    if rows:
+        yield made()
+
+
+def vendor_name(vendor: str) -> str:
     name = vendor.lower().replace("dräger", "draeger").replace("drager", "draeger")
     if name not in VENDORS:
         raise NotImplementedError(f"unknown vendor {vendor!r}")
-    if not isinstance(first_frame, int) or first_frame < 0:
-        raise ValueError("first_frame must be a whole number of at least 0")
-    frames = {"draeger": draeger, "timpel": timpel, "sentec": sentec}[name](spark, path, rate)
-    chosen = frames.where(F.col("frame_idx") >= first_frame)
+    return name
+
+
+def load(spark: SparkSession, path: str | list[str], vendor: str, *, first_frame: int = 0, max_frames: int | None = None, rate: float | None = None) -> DataFrame:
+    """Frames of files of one vendor, numbered within each file; all files must be there."""
+    from . import datasource
+
+    name = vendor_name(vendor)
+    if not isinstance(first_frame, int) or isinstance(first_frame, bool):
+        raise TypeError("first_frame must be a whole number")
+    if first_frame < 0:
+        raise ValueError("first_frame must be at least 0")
+    datasource.register(spark)
+    options = {"paths": json.dumps([path] if isinstance(path, str) else [str(x) for x in path]), "vendor": name, "first_frame": str(first_frame)}
     if max_frames is not None:
-        chosen = chosen.where(F.col("frame_idx") < first_frame + max_frames)
-    return chosen
-
-
-def draeger(spark: SparkSession, path: str | list[str], rate: float | None = None) -> DataFrame:
-    """Fixed-size records; the format follows from the file's size. Time is in days; values below -1e30 are missing."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = content.as_buffer()
-                size = next((s for s in DRAEGER if len(data) % s == 0), None)
-                if size is None:
-                    raise OSError(f"{name} has the size of no known format")
-                records = np.frombuffer(data, dtype=draeger_dtype(DRAEGER[size]))
-                for at in range(0, len(records), 1024):
-                    yield draeger_batch(name, at, records[at : at + 1024])
-
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInArrow(decode, FRAME)
-
-
-def timpel(spark: SparkSession, path: str | list[str], rate: float | None = None) -> DataFrame:
-    """Text of 1030 columns: pixels, pressure, flow, volume, minimum, maximum and QRS flags. Lines of a file are numbered in order."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.rtrim("value", F.lit("\r\n ")), "\r?\n")).alias("frame_idx", "line"))
-    values = F.transform(F.split("line", ","), lambda x: F.trim(x).try_cast("double"))
-    rows = whole.select("path", F.col("frame_idx").cast("long").alias("frame_idx"), values.alias("v"))
-    checked = F.when((F.size("v") == TIMPEL_COLUMNS) & ~F.exists("v", lambda x: x.isNull()), F.col("v")).otherwise(F.raise_error(F.lit("a line is not of 1030 numbers")).cast("array<double>"))
-    pixels = F.transform(F.slice("v", 1, PIXELS), lambda x: F.when(x != TIMPEL_MISSING, x))
-    return rows.withColumn("v", checked).select(
-        "path", "frame_idx", (F.col("frame_idx") / F.lit(rate or 50.0)).alias("time"), pixels.alias("pixels"),
-        F.when(F.col("v")[PIXELS + 3] == 1, -1).when(F.col("v")[PIXELS + 4] == 1, 1).otherwise(0).alias("phase"), F.col("v")[PIXELS + 5].cast("int").alias("marker"),
-        F.lit("").alias("text"), F.slice("v", PIXELS + 1, 3).alias("aux"),
-    )
-
-
-def sentec(spark: SparkSession, path: str | list[str], rate: float | None = None) -> DataFrame:
-    """Tagged packets: domain 16 has the time in microseconds (field 0) and the negated image (field 5). A file is read in order."""
-
-    def frames_of(data: bytes) -> Iterator[tuple[float, list]]:
-        version, at, time, turns, last = data[0], 1, 0.0, 0, None
-        while at + 10 <= len(data):
-            domain, fields = data[at + 8], data[at + 9]
-            at += 10
-            for _ in range(fields):
-                kind, size = struct.unpack_from("<BH", data, at)
-                body = data[at + 3 : at + 3 + size]
-                at += 3 + size
-                if domain == 16 and kind == 0:
-                    now = struct.unpack("<I", body)[0]
-                    turns += last is not None and now < last - SENTEC_PERIOD // 2
-                    last, time = now, (now + turns * SENTEC_PERIOD) / 1e6
-                elif domain == 16 and kind == 5:
-                    skip = int(version > 1)
-                    width, height = body[skip], body[skip + 1]
-                    if len(body) != skip + 2 + 4 * width * height:
-                        raise OSError("an image is not of its stated size")
-                    image = -np.frombuffer(body, "<f4", offset=skip + 2).astype(float)
-                    yield time, [None if np.isnan(v) else float(v) for v in image]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = list(frames_of(content.as_py()))
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([name] * n), pa.array(range(n), pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.float64())),
-                    pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([""] * n), pa.array([[]] * n, pa.list_(pa.float64())),
-                ], names=["path", "frame_idx", "time", "pixels", "phase", "marker", "text", "aux"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, FRAME)
+        options["max_frames"] = str(max_frames)
+    if rate is not None:
+        options["rate"] = str(rate)
+    return spark.read.format(datasource.NAME).options(**options).load()
 
 
 def events(frames: DataFrame) -> DataFrame:
-    """Frames where the marker rises, and a first frame with text."""
-    from pyspark.sql.window import Window as W
-
-    before = F.lag("marker").over(W.partitionBy("path").orderBy("frame_idx"))
-    return frames.withColumn("before", before).where("marker > before or (before is null and text <> '')").select("path", "frame_idx", "time", "marker", "text")
+    """Frames where the marker rises over the frame before, also one that was not loaded, and a file's first frame with text."""
+    return frames.where("marker > marker_before or (marker_before is null and text <> '')").select("path", "frame_idx", "time", "marker", "text")
 
 
 def signals(frames: DataFrame) -> DataFrame:
@@ -143,7 +185,13 @@ def signals(frames: DataFrame) -> DataFrame:
 
 def phases(frames: DataFrame) -> DataFrame:
     """(path, time, kind) where the device flags a smallest (-1) or largest (1) value."""
-    return frames.where("phase in (-1, 1)").select("path", "frame_idx", "time", F.col("phase").alias("kind"))
+    kinds = F.when(F.col("phase") == BOTH, F.array(F.lit(LOW), F.lit(HIGH))).otherwise(F.array("phase"))
+    return frames.where(F.col("phase").isin(LOW, HIGH, BOTH)).select("path", "frame_idx", "time", F.explode(kinds).alias("kind"))
+
+
+def heart_beats(frames: DataFrame) -> DataFrame:
+    """(path, frame_idx, time) where the device flags a heart beat."""
+    return frames.where("qrs").select("path", "frame_idx", "time")
 
 
 def device_breaths(frames: DataFrame) -> DataFrame:
