@@ -543,7 +543,31 @@ def amplitude_lungspace(spark, d):
     return P.amplitude_lungspace(data, found, px)
 
 
-@query()
+#: Flooding a pixel a turn: of the pixels that have a number and were not yet taken the highest, the earliest numbered of equals, hands its number on.
+FLOOD = """im AS (SELECT map_id, row, col, coalesce(am.v, 0) AS a, tm.v AS t FROM am FULL JOIN tm USING (map_id, row, col)),
+lim AS (SELECT map_id, 0.15 * max(t) AS lim, min(a) AS low FROM im GROUP BY ALL),
+mk AS (SELECT i.*, lim, a > low AND NOT EXISTS (SELECT 1 FROM im o WHERE o.map_id = i.map_id AND abs(o.row - i.row) <= 1 AND abs(o.col - i.col) <= 1 AND o.a > i.a) AS top FROM im i JOIN lim USING (map_id)),
+flood AS (WITH RECURSIVE s AS (
+    SELECT map_id, row, col, a, CASE WHEN top THEN sum(CASE WHEN top THEN 1 ELSE 0 END) OVER (PARTITION BY map_id ORDER BY row, col) ELSE 0 END AS mark, CAST(row * 8 + col AS BIGINT) AS age, false AS taken, 0 AS turn FROM mk
+    UNION ALL SELECT map_id, row, col, a, CASE WHEN new THEN pm ELSE mark END, CASE WHEN new THEN 1000 + turn * 4 + 2 * (row - pr) + (col - pc) ELSE age END, taken OR pick, turn + 1 FROM
+        (SELECT *, mark = 0 AND abs(row - pr) + abs(col - pc) = 1 AS new FROM
+            (SELECT *, max(CASE WHEN pick THEN row END) OVER m AS pr, max(CASE WHEN pick THEN col END) OVER m AS pc, max(CASE WHEN pick THEN mark END) OVER m AS pm FROM
+                (SELECT *, mark > 0 AND NOT taken AND row_number() OVER (PARTITION BY map_id ORDER BY mark > 0 AND NOT taken DESC, a DESC, age) = 1 AS pick FROM s) WINDOW m AS (PARTITION BY map_id)))
+        WHERE pm IS NOT NULL)
+    SELECT map_id, row, col, mark FROM s QUALIFY turn = max(turn) OVER (PARTITION BY map_id))"""
+
+
+@query(f"""{_pixel_breaths_sql("1", LAGS).rsplit("SELECT recording_id, breath_idx, row, col, start_idx", 1)[0]},
+ov AS (SELECT p.recording_id, p.breath_idx, p.row, p.col, m.z - (s.z + e.z) / 2 AS mean FROM pk p
+    JOIN pix s ON s.recording_id = p.recording_id AND s.row = p.row AND s.col = p.col AND s.frame_idx = start_idx
+    JOIN pix m ON m.recording_id = p.recording_id AND m.row = p.row AND m.col = p.col AND m.frame_idx = middle_idx
+    JOIN pix e ON e.recording_id = p.recording_id AND e.row = p.row AND e.col = p.col AND e.frame_idx = end_idx
+    WHERE start_idx < middle_idx AND middle_idx < end_idx),
+cm AS (SELECT DISTINCT recording_id, breath_idx FROM ov JOIN (SELECT DISTINCT recording_id, breath_idx FROM pv) USING (recording_id, breath_idx)),
+am AS (SELECT recording_id AS map_id, row, col, avg(mean) AS v FROM ov JOIN cm USING (recording_id, breath_idx) GROUP BY ALL),
+tm AS (SELECT recording_id AS map_id, row, col, avg(mean) AS v FROM pv JOIN cm USING (recording_id, breath_idx) GROUP BY ALL), {FLOOD}
+SELECT f.map_id, f.row, f.col, 1.0::DOUBLE AS weight FROM flood f JOIN mk USING (map_id, row, col)
+    WHERE a >= lim AND EXISTS (SELECT 1 FROM flood g JOIN mk k USING (map_id, row, col) WHERE g.map_id = f.map_id AND g.mark = f.mark AND k.top AND k.t >= k.lim)""")
 def watershed_lungspace(spark, d):
     data, found, px = impedance(spark, d)
     return P.watershed_lungspace(data, found, px)
