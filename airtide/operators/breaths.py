@@ -12,20 +12,26 @@ from pyspark.sql.window import Window as W
 from .signal import blackman, fill_nearest, moving_average, order, with_invalid
 
 
-def extrema(data: DataFrame) -> DataFrame:
+def extrema(data: DataFrame, *, around: bool = False) -> DataFrame:
     """(…, kind): peaks (1) not below the moving average and valleys (-1) not above it; flat tops count at their middle.
 
-    Runs of equal values are one point, so a plateau is found by comparing it with the runs beside it.
+    Runs of equal values are one point, so a plateau is compared with the runs beside it. All is told by windows that grow
+    forwards and backwards within a recording: one shuffle, two sorts. With ``around`` the average and the largest values
+    ``before`` and ``after`` go along, for ``trimmed``.
     """
-    changed = data.withColumn("new", F.coalesce((F.col("value") != F.lag("value").over(order())).cast("int"), F.lit(1)))
-    runs = changed.withColumn("run", F.sum("new").over(order().rowsBetween(W.unboundedPreceding, 0)))
-    flat = runs.groupBy("recording_id", "run").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.first("value").alias("v"))
-    by = W.partitionBy("recording_id").orderBy("run")
-    p, n = F.lag("v").over(by), F.lead("v").over(by)
-    kind = F.when((F.col("v") > p) & (F.col("v") > n), 1).when((F.col("v") < p) & (F.col("v") < n), -1)
-    middles = flat.withColumn("kind", kind).where("kind is not null").select("recording_id", F.expr("(lo + hi) div 2").alias("idx"), "kind")
-    ok = ((F.col("kind") == 1) & (F.col("value") >= F.col("average"))) | ((F.col("kind") == -1) & (F.col("value") <= F.col("average")))
-    return data.join(middles, ["recording_id", "idx"]).where(ok).select("recording_id", "idx", "time", "value", "kind")
+    value, idx = F.col("value"), F.col("idx")
+    back = W.partitionBy("recording_id").orderBy(F.desc("idx"))
+    so_far, ahead = order().rowsBetween(W.unboundedPreceding, 0), back.rowsBetween(W.unboundedPreceding, -1)
+    changed = data.withColumn("earlier", F.lag("value").over(order())).withColumn("starts", F.coalesce(value != F.col("earlier"), F.lit(True)))
+    runs = changed.withColumn("run", F.last(F.when(F.col("starts"), F.struct(idx.alias("lo"), F.col("earlier").alias("p"))), ignorenulls=True).over(so_far))
+    runs = runs.withColumn("next", F.last(F.when(F.col("starts"), F.struct(idx.alias("lo"), value.alias("v"))), ignorenulls=True).over(ahead))
+    if around:
+        runs = runs.withColumn("before", F.max("value").over(order().rowsBetween(W.unboundedPreceding, -1))).withColumn("after", F.max("value").over(ahead))
+    middle = idx == F.floor((F.col("run.lo") + F.col("next.lo") - 1) / 2)
+    top = (value > F.col("run.p")) & (value > F.col("next.v")) & (value >= F.col("average"))
+    low = (value < F.col("run.p")) & (value < F.col("next.v")) & (value <= F.col("average"))
+    kind = F.when(middle & top, 1).when(middle & low, -1)
+    return runs.withColumn("kind", kind).where("kind is not null").select("recording_id", "idx", "time", "value", "kind", *["average", "before", "after"] * around)
 
 
 def suppressed(points: DataFrame, distance: int) -> DataFrame:
@@ -52,12 +58,16 @@ def suppressed(points: DataFrame, distance: int) -> DataFrame:
     return points.groupBy("recording_id", "kind").applyInArrow(lambda key, t: thin(key, t), points.schema)
 
 
-def trimmed(points: DataFrame, data: DataFrame) -> DataFrame:
-    """Without the first or last valley if the signal outside it stays below the average there; peaks only between valleys."""
-    before = F.max("value").over(order().rowsBetween(W.unboundedPreceding, -1))
-    after = F.max("value").over(W.partitionBy("recording_id").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1))
-    around = data.select("recording_id", "idx", "average", before.alias("before"), after.alias("after"))
-    joined = points.join(around, ["recording_id", "idx"])
+def trimmed(points: DataFrame, data: DataFrame | None = None) -> DataFrame:
+    """Without the first or last valley if the signal outside it stays below the average there; peaks only between valleys.
+
+    What is around a point comes with it (``extrema`` with ``around``) or is looked up in ``data``.
+    """
+    if data is not None:
+        before = F.max("value").over(order().rowsBetween(W.unboundedPreceding, -1))
+        after = F.max("value").over(W.partitionBy("recording_id").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1))
+        points = points.join(data.select("recording_id", "idx", "average", before.alias("before"), after.alias("after")), ["recording_id", "idx"])
+    joined = points
     valley = F.col("kind") == -1
     each = W.partitionBy("recording_id")
     joined = joined.withColumn("v0", F.min(F.when(valley, F.col("idx"))).over(each)).withColumn("v1", F.max(F.when(valley, F.col("idx"))).over(each))
@@ -80,9 +90,8 @@ def without_low(points: DataFrame, fraction: float | None = 0.25) -> DataFrame:
     if not fraction:
         return points
     height = F.when(F.col("kind") == 1, F.col("value") - (F.lag("value").over(order()) + F.lead("value").over(order())) / 2)
-    high = points.withColumn("height", height)
-    limits = high.groupBy("recording_id").agg((F.median("height") * fraction).alias("limit"))
-    return alternating(high.join(limits, "recording_id").where("kind = -1 or height >= limit").drop("height", "limit"))
+    limit = F.median("height").over(W.partitionBy("recording_id")) * fraction
+    return alternating(points.withColumn("height", height).withColumn("limit", limit).where("kind = -1 or height >= limit").drop("height", "limit"))
 
 
 def assembled(points: DataFrame) -> DataFrame:
@@ -120,10 +129,10 @@ def find_breaths(
     source = data.select("recording_id", "idx", "time", F.col("value").cast("double").alias("value"))
     filled = fill_nearest(with_invalid(source, percent=invalid_percentile, multiplier=invalid_multiplier))
     averaged = moving_average(filled, int(sample_frequency * averaging_duration), averaging_function)
-    points = suppressed(extrema(averaged), math.ceil(max(minimum_duration * sample_frequency, 1)))
-    kinds = points.groupBy("recording_id").agg(F.sum(F.expr("int(kind = -1)")).alias("valleys"), F.sum(F.expr("int(kind = 1)")).alias("peaks"))
-    points = points.join(kinds.where("valleys >= 2 and peaks >= 1").select("recording_id"), "recording_id")
-    found = assembled(without_low(alternating(trimmed(points, averaged)), amplitude_cutoff_fraction))
+    points = suppressed(extrema(averaged, around=True), math.ceil(max(minimum_duration * sample_frequency, 1)))
+    count = lambda kind: F.count_if(F.col("kind") == kind).over(W.partitionBy("recording_id"))
+    points = points.withColumns({"valleys": count(-1), "peaks": count(1)}).where("valleys >= 2 and peaks >= 1").drop("valleys", "peaks")
+    found = assembled(without_low(alternating(trimmed(points)), amplitude_cutoff_fraction))
     return near_invalid(found, averaged, math.ceil(invalid_window * sample_frequency))
 
 

@@ -386,8 +386,7 @@ def averaged(spark: SparkSession, d: str) -> DataFrame:
 
 def breaths_of(data: DataFrame) -> DataFrame:
     """Breaths of averaged signals without a minimum distance."""
-    points = B.trimmed(B.extrema(data), data)
-    return B.assembled(B.without_low(B.alternating(points)))
+    return B.assembled(B.without_low(B.alternating(B.trimmed(B.extrema(data, around=True)))))
 
 
 def impedance(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -436,7 +435,7 @@ far AS (SELECT sup.* FROM sup JOIN enough USING (recording_id))"""
 @query(f"{_breaths_sql('SELECT recording_id, idx, value FROM sig', BLACKMAN, 13)} SELECT recording_id, breath_idx, start_idx, middle_idx, end_idx FROM br")
 def breaths_min_distance(spark, d):
     data = averaged(spark, d)
-    points = B.trimmed(B.suppressed(B.extrema(data), 13), data)
+    points = B.trimmed(B.suppressed(B.extrema(data, around=True), 13))
     return B.assembled(B.without_low(B.alternating(points))).select("recording_id", "breath_idx", "start_idx", "middle_idx", "end_idx")
 
 
