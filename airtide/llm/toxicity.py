@@ -180,6 +180,37 @@ def _trained(windows: np.ndarray, labels: np.ndarray, times: np.ndarray, words:
     return Field({w: float(x) for w, x in zip(words, weight[1:])}, float(weight[0]), step)
 
 
+def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights of a logistic regression with a small penalty, by Newton steps that are halved until the loss falls.
+
+    The first column is 1. More marginals never make a document less toxic, so columns whose weight would be negative are left out.
+    """
+    use = np.ones(x.shape[1], dtype=bool)
+    while True:
+        part, w = x[:, use], np.zeros(int(use.sum()))
+
+        def loss(w: np.ndarray, part: np.ndarray = part) -> float:
+            z = part @ w
+            return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * w @ w)
+
+        for _ in range(200):
+            q = 1 / (1 + np.exp(-np.clip(part @ w, -700, 700)))
+            grad = part.T @ (q - y) + ridge * w
+            step = np.linalg.solve((part * (q * (1 - q))[:, None]).T @ part + ridge * np.eye(len(w)), grad)
+            size, now = 1.0, loss(w)
+            while size > 1e-9 and loss(w - size * step) > now - 1e-4 * size * float(grad @ step):
+                size /= 2
+            w = w - size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
+        out = np.zeros(x.shape[1])
+        out[use] = w
+        if (out[1:] >= 0).all():
+            return out
+        use &= out >= 0
+        use[0] = True
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Field:
     """Learn from documents with a label; about ``sample_docs`` of them, whatever the input's size."""
     spark = docs.sparkSession
@@ -241,12 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 
     pairs = map_texts(sample.withColumn("y", F.col("toxic")), sums, "u double, v double", key="y", text="text").collect()
     x, y = np.array([(1.0, r["u"], r["v"]) for r in pairs]), np.array([r["y"] for r in pairs], dtype=float)
-    curve = np.zeros(3)
-    for _ in range(50):  # Newton steps with a small penalty
-        q = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        grad = x.T @ (y - q) - 0.01 * curve
-        hess = (x * (q * (1 - q))[:, None]).T @ x + 0.01 * np.eye(3)
-        curve += np.clip(np.linalg.solve(hess, grad), -1, 1)
+    curve = _curve(x, y)
     model.curve = tuple(map(float, curve))
     return model
 

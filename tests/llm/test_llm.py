@@ -142,6 +142,32 @@ def test_training_counts_equal_windows_as_often_as_they_occur():
     assert np.allclose(once.step, counted.step) and np.isclose(once.other, counted.other) and all(np.isclose(once.words[w], counted.words[w]) for w in "ab")
 
 
+def test_calibration_of_separable_documents():
+    """Many documents that a marginal tells apart all but a few times: the curve rises, whatever their number, and its loss is least."""
+    rng = np.random.default_rng(2)
+    for n, wrong in ((50, 0), (2_000, 0), (20_000, 3), (20_000, 400)):
+        y = (rng.random(n) < 0.1).astype(float)
+        x = np.stack([np.ones(n), np.where(y > 0, 13.0, -13.8) + rng.normal(0, 0.1, n), np.where(y > 0, rng.gamma(4, 0.4, n), 0.0)], axis=1)
+        y[rng.choice(n, wrong, replace=False)] = 1 - y[:wrong]
+        w = toxicity._curve(x, y)
+        assert (w[1:] >= 0).all() and w[1:].max() > 0
+        clean = x[:, 1] < 0
+        assert ((x @ w >= 0) == ~clean).mean() > 0.999
+        loss = lambda w: float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.05 * w @ w)  # noqa: B023, E731
+        assert all(loss(w) <= loss(np.maximum(w + d, [-np.inf, 0, 0])) + 1e-6 for d in rng.normal(0, 0.05, (50, 3)))
+
+
+def test_toxicity_on_the_larger_table(spark):
+    """Held-out rows of the check's larger table: nearly all toxic documents are found and clean ones left alone."""
+    sf = "/root/testdata/check_l"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = labels.where(toxicity.fold_of(F.col("doc_id"), 5) == 0)
+    model = toxicity.fit(docs, labels.where(toxicity.fold_of(F.col("doc_id"), 5) != 0))
+    got = toxicity.score(docs.join(held, "doc_id", "left_semi"), model).join(held, "doc_id").groupBy("toxic", "predicted").count().collect()
+    count = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert count[(1, 1)] > 0.95 * (count[(1, 1)] + count.get((1, 0), 0)) and count.get((0, 1), 0) < 0.01 * count[(0, 0)]
+
+
 def test_language_accuracy(spark):
     got = {r.doc_id: r for r in Q.op10_langid(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").collect()
