@@ -74,7 +74,7 @@ def join_spread(big: DataFrame, small: DataFrame, on: list[str], count: str, *,
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python workers by their bytes: long texts otherwise make large ones. The same for all operators."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -44,7 +44,7 @@ BLOCK = 256
 TURNS = 8
 NEAREST = 2
 #: Words whose hashes a worker remembers.
-VOCABULARY = 1 << 18
+VOCABULARY = 1 << 17
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle; it is broadcast as 2**22 / 64 rows at most.
 FILTER_BITS = 1 << 22
 

@@ -47,16 +47,12 @@ class Encoder:
     """Texts to ids, made once in each worker."""
 
     def __init__(self, json_path: str | None = None, ranks_path: str | None = None) -> None:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers as public
         import tiktoken
-        from tokenizers import Tokenizer
 
-        path = json_path or public.path("byte_bpe_50k.json")
-        self._library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
+        self._path = json_path or public.path("byte_bpe_50k.json")
+        self._library = None  # takes far more memory, so it is made when a text asks for it
+        with open(self._path, encoding="utf-8") as f:
             file = json.load(f)
         with open(ranks_path or public.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -65,7 +61,7 @@ class Encoder:
         if odd := [t["content"] for t in file["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]:
             raise ValueError(f"added tokens that are not matched as they stand: {odd}")
         steps = file["pre_tokenizer"]
-        if file["normalizer"] or steps != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or len(ranks) + len(added) != self._library.get_vocab_size():
+        if file["normalizer"] or steps != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or len(file["model"]["vocab"].keys() | added.keys()) != len(ranks) + len(added):
             raise ValueError("the two files are not of one encoding")
         self._added = added
         # Longest first: of tokens that begin at the same place the library takes the longest.
@@ -73,6 +69,13 @@ class Encoder:
 
     def library(self, texts: list[str]) -> list[list[int]]:
         """Ids by the tokenizers library."""
+        if self._library is None:
+            import os
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
         return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, text: str) -> list[int]:
