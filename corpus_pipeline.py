@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's
 documents. All but the last keep the columns of documents.
+
+Defined results: null and empty texts are not toxic, link with nothing, hold no secrets, are left out of the mix and so
+of the sequences. Null ids go on like others; repeated rows are one group of near-duplicates, of which one stays. Without
+labels, or where no word marks toxic documents, none is rejected. Empty tables give no rows.
 """
 
 from __future__ import annotations
