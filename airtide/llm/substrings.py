@@ -83,14 +83,13 @@ def pieces(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         none = np.empty(0, dtype=np.int64)
         return none, none, none, none
     at = np.arange(n - GRAM + 1)
-    low = run_hashes(w, at, at + GRAM)
+    grams = low = run_hashes(w, at, at + GRAM)
     size, width = 1, WINDOW - GRAM + 1  # smallest of so many grams from each on
     while 2 * size <= width:
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
     low = np.minimum(low[: len(low) - width + size], low[width - size :])
-    start = np.append(0, np.flatnonzero(low[1:] != low[:-1]) + 1)
-    place = np.arange(len(low)) - np.repeat(start, np.diff(np.append(start, len(low))))
-    start = np.flatnonzero(place % width == 0)  # one gram again and again may be smallest for longer
+    # A piece ends where the smallest hash changes or its gram leaves, even if an equal gram follows: that one is an occurrence of its own.
+    start = np.append(0, np.flatnonzero((low[1:] != low[:-1]) | (grams[: len(low) - 1] == low[:-1])) + 1)
     count = np.diff(np.append(start, len(low)))
     content = run_hashes(w, start, start + count + WINDOW - 1)
     return low[start].view(np.int64), content.view(np.int64), start, count

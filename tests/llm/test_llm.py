@@ -233,6 +233,26 @@ def test_repeated_windows_by_index_and_by_hash(spark, monkeypatch):
     against_sql(substrings.substring_table(docs), substrings.substring_sql(), documents=table)
 
 
+def test_pieces_and_windows_of_texts_that_repeat_themselves(spark):
+    """Texts of one word, of a few words again and again, and of passages that come twice in one text and nowhere else."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(40)
+    texts = [["a"] * 300, fresh(3) * 60, fresh(29) * 4, fresh(34) * 3, [*passage, *fresh(5), *passage], fresh(200), [*fresh(36) * 2, "end"], ["b"] * 35, ["b"] * 36]
+    for words in texts:
+        w = substrings.word_hashes(" ".join(words))
+        _, _, start, count = substrings.pieces(w)
+        assert start.tolist() == [0, *np.cumsum(count)[:-1].tolist()] and count.sum() == len(w) - 34 and count.max() <= substrings.WINDOW - substrings.GRAM + 1
+    for k in range(len(texts)):  # each alone, so that nothing else repeats its windows
+        docs = spark.createDataFrame([(k, " ".join(texts[k]))], "doc_id long, text string")
+        got = substrings.substring_table(docs).first()
+        grams: dict = {}
+        for i in range(len(texts[k]) - 34):
+            grams.setdefault(tuple(texts[k][i : i + 35]), []).append(i)
+        gone = {i + j for at in grams.values() if len(at) > 1 for i in at for j in range(35)}
+        assert got.n_removed == len(gone), k
+
+
 def test_fm_index_matching_statistics():
     rng = np.random.default_rng(4)
     for least, kinds in ((4, 3), (2, 9), (6, 2)):
